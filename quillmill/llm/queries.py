@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokencount
+from . import bpe, langid, tokencount
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by segmentation-marginalised unigram pieces."""
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
