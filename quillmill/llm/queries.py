@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, tokencount
+from . import bpe, langid, linededup, tokencount
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that many documents share, kept only in the last of them."""
+    return linededup.line_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op3_line_dedup"] = linededup.ORACLE
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
