@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, tokencount
+from . import bpe, langid, linededup, simhash, tokencount
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_line_dedup"] = linededup.ORACLE
 
 
+@_query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the groups that near ones form."""
+    return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
