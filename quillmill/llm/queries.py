@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, simhash, tokencount
+from . import bpe, embed, langid, linededup, simhash, tokencount
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label that are close to each other, and the components they form."""
+    return embed.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op9_embedding_dedup"] = embed.ORACLE
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
