@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed, langid, linededup, simhash, tokencount
+from . import bpe, embed, langid, linededup, simhash, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_line_dedup"] = linededup.ORACLE
 
 
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, read back through the merged capture index."""
+    return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op4_warc"] = warc.ORACLE
+
+
 @_query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the groups that near ones form."""
