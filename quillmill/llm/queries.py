@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed, langid, linededup, simhash, tokencount, warc
+from . import bpe, embed, html, langid, linededup, simhash, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of web pages, by wrappers induced for each host."""
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @_query
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a label that are close to each other, and the components they form."""
