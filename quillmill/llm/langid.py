@@ -30,6 +30,8 @@ WORD_CHARS = 32
 #: Probability of a character that no piece spells, and what every piece is taken to have been seen beside its count.
 UNKNOWN, UNSEEN = 1e-7, 0.02
 FOLDS, HELD_OUT = 5, 0
+#: Languages, a row each, that may be broadcast; with more of them the texts are shuffled.
+BROADCAST_LANGS = 10_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -148,6 +150,8 @@ def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     own = docs.select("doc_id", "lang", "text").where((_fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # A rate for each language first, so that the window below sorts few rows.
     rates = own.groupBy("lang").count().select("lang", (F.lit(1.5 * most) / F.col("count")).alias("rate"))
+    if rates.count() <= BROADCAST_LANGS:
+        rates = F.broadcast(rates)
     hashed = own.withColumn("hash", F.xxhash64("doc_id", "text"))
     near = hashed.join(rates, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("hash")
