@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed, html, langid, linededup, simhash, tokencount, warc
+from . import bpe, decontam, embed, html, langid, linededup, simhash, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_warc"] = warc.ORACLE
 
 
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or nearly one."""
+    return decontam.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op5_decontamination"] = decontam.ORACLE
+
+
 @_query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the groups that near ones form."""
