@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embed, html, langid, linededup, simhash, tokencount, warc
+from . import bpe, decontam, embed, html, langid, linededup, simhash, suffix, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of strings that repeat anywhere, removed."""
+    return suffix.repeat_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of web pages, by wrappers induced for each host."""
