@@ -27,6 +27,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 16 << 20
 #: Payloads of fewer bytes are always written out.
 LEAST_BYTES = 0
+#: Payloads that several pages have, about 60 bytes each, that may be broadcast; with more of them the pages are shuffled.
+BROADCAST_PAYLOADS = 500_000
 RUN = (
     "run string, seq long, url_key string, captured string, page_id long, url string, offset long, length long, "
     "record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -46,6 +48,9 @@ def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     own = pages.select("page_id", "url", captured.alias("captured"), html.alias("html"))
     own = own.withColumn("n_bytes", F.octet_length("html").cast("long")).withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     shared = own.where(F.col("n_bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = settle(shared, "shared-payloads")
+    if shared.count() <= BROADCAST_PAYLOADS:
+        shared = F.broadcast(shared)
     own = own.join(shared, "sha", "left")
     first = F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first"))
     return own.withColumn("first", first).withColumn("digest", base32(F.hex("sha"))).drop("sha")
