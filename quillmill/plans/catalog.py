@@ -2,5 +2,329 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analytics, hierarchy, metadata, rerank, retrieve
+from ..streaming import ingest
+from .sql_queries import DUCK, SQL
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(name: str, statement: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if t in statement:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(statement)
+
+    QUERIES[name], ORACLES[name] = query, DUCK.get(name, statement)
+
+
+for _name, _statement in SQL.items():
+    _sql(_name, _statement)
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# Text
+
+_TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n, len(list_distinct({_TOKENS})) AS different FROM documents")
+def token_stats(spark, d):
+    t = T.tokens(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("different"))
+
+
+@query()
+def sentence_chunks(spark, d):
+    """Documents cut to pages and chunks, as they are indexed."""
+    return T.chunk_table(table(spark, d, "documents"))
+
+
+@query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * 100 + 1 : i * 100 + 100], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 99) // 100)) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")
+def word_windows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return T.word_windows(docs, "text", 100).select("doc_id", F.col("window_no").cast("long").alias("window_no"), "window_text")
+
+
+@query(f"SELECT doc_id, CASE WHEN len(ws) < 500 THEN text WHEN lang = 'en' THEN lang ELSE array_to_string(ws[1:500], ' ') END AS chosen FROM (SELECT *, {_WORDS} AS ws FROM documents)")
+def text_selection(spark, d):
+    docs = table(spark, d, "documents").withColumn("summary", F.when(F.col("lang") == "en", F.col("lang")))
+    return docs.select("doc_id", T.selected_text(F.col("text"), F.col("summary"), 500).alias("chosen"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in T.BRIEF) + " THEN 'brief' ELSE 'detailed' END AS style FROM conversations")
+def answer_style(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.answer_style(F.col("text")).alias("style"))
+
+
+_CLOUD = (
+    "list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), chr(10), ' '), '\\b[nur]\\b', ' ', 'g'), '\\\\u[0-9a-f]{4}', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), ' '), "
+    "lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(T.NOT_COUNTED)) + "], w))"
+)
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_CLOUD}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 1000")
+def wordcloud_freq(spark, d):
+    """The thousand most frequent words, a top-k report."""
+    return analytics.word_frequencies(table(spark, d, "documents"))
+
+
+@query("SELECT c_custkey, lower(regexp_replace(regexp_replace(trim(c_name), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g')) AS name FROM customer")
+def identifiers(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.identifier(F.col("c_name")).alias("name"))
+
+
+# Retrieval
+
+_KNN = """
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) - 1 AS rank
+  FROM {queries} q JOIN embeddings e ON {on}) WHERE rank < {k}
+"""
+_FIFTIETH = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names} | ({"rank": F.col("rank").cast("long")} if "rank" in df.columns else {}))
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query(f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ({_KNN.format(queries=_FIFTIETH, on='true', k=10)})")
+def knn_topk(spark, d):
+    """Ten nearest vectors of every fiftieth."""
+    return _round(retrieve.knn(table(spark, d, "embeddings"), _asked(spark, d), 10), "score")
+
+
+@query(f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ({_KNN.format(queries=_FIFTIETH, on='q.label = e.label', k=10)})")
+def knn_filtered(spark, d):
+    return _round(retrieve.knn(table(spark, d, "embeddings"), _asked(spark, d), 10, filtered=True), "score")
+
+
+def _bm25_sql(k: int) -> str:
+    return f"""
+WITH own AS (SELECT doc_id, {_TOKENS} AS ts FROM documents
+), whole AS (SELECT count(*) AS n, avg(len(ts)) AS mean_length FROM own
+), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM own) GROUP BY term
+), raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df, whole
+), idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw
+), tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM own) GROUP BY ALL
+), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL
+), scored AS (SELECT query_id, doc_id, sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
+  FROM tf JOIN asked USING (term) JOIN idf USING (term), whole GROUP BY query_id, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM scored)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank < {k} AND score > 0"""
+
+
+def _bm25(spark, d, k: int) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieve.bm25(docs, questions, k).withColumnRenamed("chunk_id", "doc_id")
+
+
+@query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})")
+def bm25_topk(spark, d):
+    """Ten best documents of every benchmark item by BM25."""
+    return _round(_bm25(spark, d, 10), "score")
+
+
+def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, d, "embeddings")
+    questions = vectors.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = retrieve.knn(vectors, questions.withColumnRenamed("vec_id", "query_id"), 30).select("query_id", F.col("vec_id").alias("document_id"), "rank")
+    return dense, _bm25(spark, d, 20).select("query_id", F.col("doc_id").alias("document_id"), "rank")
+
+
+_ITEMS = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"
+_HYBRID = f"""
+WITH lists AS (SELECT query_id, 0 AS list_id, rank, vec_id AS document_id FROM ({_KNN.format(queries=_ITEMS, on='true', k=30)})
+  UNION ALL SELECT query_id, 1, rank, doc_id FROM ({_bm25_sql(20)})
+), fused AS (SELECT query_id, document_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf_score, min(list_id * 1000 + rank) AS seen FROM lists GROUP BY ALL)
+SELECT query_id, document_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, seen) - 1 AS rank FROM fused"""
+
+
+@query(f"SELECT query_id, document_id, rank, round(rrf_score, 6) AS rrf_score FROM ({_HYBRID})")
+def hybrid_search(spark, d):
+    """Nearest vectors and BM25, fused by reciprocal ranks."""
+    dense, sparse = _lists(spark, d)
+    return _round(retrieve.hybrid(dense, sparse, ["document_id"]), "rrf_score").select("query_id", "document_id", "rank", "rrf_score")
+
+
+@query(f"""
+WITH ranked AS (SELECT h.query_id, h.rank, h.document_id AS chunk_id, s.source AS document_id FROM ({_HYBRID}) h JOIN documents s ON s.doc_id = h.document_id
+), n AS (SELECT query_id, count(DISTINCT document_id) AS n FROM ranked GROUP BY query_id
+), r AS (SELECT ranked.*, n, min(rank) OVER (PARTITION BY query_id, document_id) AS first, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS i FROM ranked JOIN n USING (query_id)
+), k AS (SELECT *, greatest(ceil(CASE WHEN n <= 2 THEN 20 WHEN n <= 5 THEN 50 WHEN n <= 10 THEN 100 ELSE least(100, n * 10) END / n), 3) AS per FROM r
+), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, rank) - 1 AS position FROM k WHERE i <= per)
+SELECT query_id, position, document_id, chunk_id FROM p WHERE position < least(per * n, 100)""")
+def balanced_select(spark, d):
+    """The fused lists with about as many rows of each source."""
+    dense, sparse = _lists(spark, d)
+    ranked = retrieve.hybrid(dense, sparse, ["document_id"]).withColumnRenamed("document_id", "chunk_id")
+    source = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
+    return retrieve.balanced(ranked.join(source, "chunk_id"), 3, 100).select("query_id", F.col("position").cast("long").alias("position"), "document_id", "chunk_id")
+
+
+@query(f"""
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0
+), per AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.label AS document_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) - 1 AS rank
+  FROM q JOIN embeddings e ON e.label IN (1, 2, 3)) WHERE rank < 4
+), have AS (SELECT query_id, count(*) AS have FROM per GROUP BY query_id
+), more AS (SELECT k.query_id, e.label AS document_id, k.vec_id AS chunk_id, k.rank FROM ({_KNN.format(queries=_FIFTIETH, on='true', k=12)}) k JOIN embeddings e ON e.vec_id = k.vec_id LEFT JOIN have h ON h.query_id = k.query_id WHERE k.rank < 12 - coalesce(have, 0)
+), both_ AS (SELECT query_id, document_id, chunk_id, 0 AS part, document_id AS a, rank AS b FROM per UNION ALL SELECT query_id, document_id, chunk_id, 1, rank, 0 FROM more)
+SELECT * FROM (SELECT query_id, document_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY part, a, b, chunk_id) - 1 AS position FROM both_) WHERE position < 12""")
+def multi_document_topk(spark, d):
+    """Vectors of three stated labels, evenly."""
+    vectors, asked = table(spark, d, "embeddings"), _asked(spark, d)
+    label = vectors.select("vec_id", F.col("label").alias("document_id"))
+    parts = None
+    for one in (1, 2, 3):
+        own = retrieve.knn(vectors.where(F.col("label") == one), asked, 4).withColumn("document_id", F.lit(one)).withColumn("position", F.lit(one))
+        parts = own if parts is None else parts.unionByName(own)
+    overall = retrieve.knn(vectors, asked, 12).join(label, "vec_id")
+    out = retrieve.multi_document(parts.withColumnRenamed("vec_id", "chunk_id"), overall.withColumnRenamed("vec_id", "chunk_id"), 3, total=12)
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+_TFIDF = f"""
+WITH own AS (SELECT conv_id AS query_id, turn AS chunk_id, {_TOKENS} AS ts FROM conversations
+), n AS (SELECT query_id, count(*) AS n FROM own GROUP BY query_id
+), tf AS (SELECT query_id, chunk_id, term, count(*) / any_value(length) AS tf FROM (SELECT query_id, chunk_id, len(ts) AS length, unnest(ts) AS term FROM own) GROUP BY query_id, chunk_id, term
+), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY query_id, term
+), w AS (SELECT query_id, chunk_id, term, tf * ln((n + 1) / (df + 1)) AS weight FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) WHERE tf * ln((n + 1) / (df + 1)) <> 0
+), norm AS (SELECT query_id, chunk_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY query_id, chunk_id)
+SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round(sum(a.weight * b.weight) / (any_value(na.norm) * any_value(nb.norm)), 6) AS cosine
+FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND a.chunk_id < b.chunk_id
+JOIN norm na ON na.query_id = a.query_id AND na.chunk_id = a.chunk_id JOIN norm nb ON nb.query_id = b.query_id AND nb.chunk_id = b.chunk_id
+GROUP BY a.query_id, a.chunk_id, b.chunk_id"""
+
+
+def _turns(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), "text")
+
+
+@query(_TFIDF)
+def tfidf_cosine_pairs(spark, d):
+    """Cosines of the turns of each conversation."""
+    return rerank.cosine_pairs(rerank.tfidf(_turns(spark, d))).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def mmr_rerank(spark, d):
+    """The turns of each conversation, relevant and different ones first."""
+    turns = _turns(spark, d)
+    scored = rerank.fallback_scores(turns.withColumn("rank", F.col("chunk_id")))
+    return rerank.mmr(scored.select("query_id", "chunk_id", "relevance"), rerank.cosine_pairs(rerank.tfidf(turns)), 100).withColumn("mmr", F.round("mmr", 6))
+
+
+@query("SELECT conv_id AS query_id, turn AS chunk_id, round(1 - (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / count(*) OVER (PARTITION BY conv_id), 6) AS relevance FROM conversations")
+def fallback_scores(spark, d):
+    scored = rerank.fallback_scores(_turns(spark, d).withColumn("rank", F.col("chunk_id")))
+    return scored.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+
+
+# Conversations, citations, records
+
+_RECENT = "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4"
+
+
+@query(_RECENT)
+def recent_history(spark, d):
+    return analytics.recent_history(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+def _cited(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("document_id"), (F.col("l_partkey") % 5).alias("page_no"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("title"))
+
+
+_CITED = "(SELECT l_orderkey AS query_id, l_suppkey AS document_id, l_partkey % 5 AS page_no, l_linenumber AS rank, l_returnflag AS title FROM lineitem)"
+
+
+@query(f"SELECT query_id, document_id, page_no, rank, title FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page_no ORDER BY rank, title) AS r FROM {_CITED}) WHERE r = 1")
+def unique_citations(spark, d):
+    return analytics.unique_citations(_cited(spark, d)).select("query_id", "document_id", "page_no", "rank", "title")
+
+
+@query(f"SELECT query_id, document_id, arg_min(title, row(rank, title)) AS title, string_agg(DISTINCT page_no::VARCHAR, ',' ORDER BY page_no::VARCHAR) AS pages FROM {_CITED} GROUP BY query_id, document_id")
+def source_groups(spark, d):
+    return analytics.source_groups(_cited(spark, d))
+
+
+@query(f"SELECT u.query_id, u.document_id, u.page_no, c.title FROM (SELECT o_orderkey AS query_id, o_custkey % 100 AS document_id, o_custkey % 5 AS page_no FROM orders) u JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page_no ORDER BY rank, title) AS r FROM {_CITED}) c ON c.r = 1 AND c.query_id = u.query_id AND c.document_id = u.document_id AND c.page_no = u.page_no")
+def citation_join(spark, d):
+    used = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).alias("document_id"), (F.col("o_custkey") % 5).alias("page_no"))
+    return analytics.resolve_citations(used, _cited(spark, d)).select("query_id", "document_id", "page_no", "title")
+
+
+@query("""
+WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, r_name AS title, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation
+  UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer
+), tree AS (SELECT id, title, parent_id, 0 AS level, id AS path FROM nodes WHERE parent_id IS NULL
+  UNION ALL SELECT n.id, n.title, n.parent_id, level + 1, path || '/' || n.id FROM nodes n JOIN tree t ON n.parent_id = t.id)
+SELECT id, title, parent_id, level, path FROM tree""")
+def mindmap_tree(spark, d):
+    """Regions, nations, suppliers and customers as one forest."""
+    node = lambda t, p, key, name, up, parent: table(spark, d, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.col(name).alias("title"), (F.concat(F.lit(up), F.col(parent).cast("string")) if parent else F.lit(None).cast("string")).alias("parent_id"), F.lit(0).alias("position"))
+    nodes = node("region", "r", "r_regionkey", "r_name", "", None).unionByName(node("nation", "n", "n_nationkey", "n_name", "r", "n_regionkey"))
+    nodes = nodes.unionByName(node("supplier", "s", "s_suppkey", "s_name", "n", "s_nationkey")).unionByName(node("customer", "c", "c_custkey", "c_name", "n", "c_nationkey"))
+    return hierarchy.forest(nodes)
+
+
+@query("SELECT 'u' || conv_id AS user_id, 1::BIGINT AS threads, 0::BIGINT AS documents, count(*) AS chats FROM conversations GROUP BY conv_id")
+def metadata_totals(spark, d):
+    return metadata.totals(metadata.from_conversations(table(spark, d, "conversations")))
+
+
+@query("SELECT 'u' || conv_id AS user_id, 'new' AS name, count(*) + 1 AS chats, max(turn) AS last_ts FROM conversations GROUP BY conv_id")
+def metadata_append(spark, d):
+    """A chat more in every thread, which is renamed, and its first chat put behind and taken away again."""
+    users = metadata.from_conversations(table(spark, d, "conversations"))
+    users = users.withColumn("threads", metadata.rename_thread("t1", "new", 5))
+    users = users.withColumn("threads", metadata.append("t1", "chats", F.slice(F.element_at("threads", "t1")["chats"], 1, 1), 6))
+    t = F.element_at("threads", "t1")
+    return users.select("user_id", t["name"].alias("name"), F.size(t["chats"]).cast("long").alias("chats"), F.array_max(F.transform(t["chats"], lambda c: c["ts"])).alias("last_ts"))
+
+
+@query("SELECT 'u' || conv_id AS user_id, count(*) - 1 AS chats FROM conversations GROUP BY conv_id")
+def metadata_delete_chat(spark, d):
+    users = metadata.from_conversations(table(spark, d, "conversations")).withColumn("threads", metadata.delete_chat("t1", 0))
+    return users.select("user_id", F.size(F.element_at("threads", "t1")["chats"]).cast("long").alias("chats"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """Tumbling windows over events, an extension; the same plan runs on a stream."""
+    out = ingest.windowed_counts(table(spark, d, "events"))
+    return out.withColumn("total", F.round("total", 6))
+
+
+@query("SELECT quality, count(*) AS documents, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY quality")
+def label_filter(spark, d):
+    own = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 0"), "doc_id")
+    return own.groupBy("quality").agg(F.count("*").alias("documents"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
