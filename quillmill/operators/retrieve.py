@@ -116,11 +116,10 @@ def fuse(lists: DataFrame, key: list[str], payload: list[str] | None = None, k:
 
 def hybrid(dense: DataFrame, sparse: DataFrame, key: list[str], payload: list[str] | None = None) -> DataFrame:
     """The fusion of a dense and a sparse list; a question without sparse results keeps the dense list, rrf_score null."""
-    has = sparse.select("query_id").distinct().withColumn("_has", F.lit(True))
     both = dense.withColumn("list_id", F.lit(0)).unionByName(sparse.withColumn("list_id", F.lit(1)))
-    # Dealt out anew: Spark 4.1 may take the union of two lists to be dealt by query_id when it is not.
-    fused = fuse(both.repartition("query_id"), key, payload).join(has, "query_id", "left")  # fused with nothing, a list keeps its order
-    return fused.withColumn("rrf_score", F.when(F.col("_has"), F.col("rrf_score"))).drop("_has")
+    both = both.withColumn("_sparse", F.max("list_id").over(Window.partitionBy("query_id")))
+    fused = fuse(both, key, [*(payload or []), "_sparse"])  # fused with nothing, a list keeps its order
+    return fused.withColumn("rrf_score", F.when(F.col("_sparse") == 1, F.col("rrf_score"))).drop("_sparse")
 
 
 def balanced(ranked: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
@@ -130,10 +129,10 @@ def balanced(ranked: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
     With n documents k is 20 (n up to 2), 50 (5), 100 (10), else the smaller of most and 10 n; each document gives
     max(ceil(k / n), least) rows and the whole is cut to most."""
     by_doc, of_doc = Window.partitionBy("query_id", "document_id"), Window.partitionBy("query_id", "document_id").orderBy("rank")
-    docs = ranked.groupBy("query_id").agg(F.count_distinct("document_id").alias("n"))
     k = F.when(F.col("n") <= 2, 20).when(F.col("n") <= 5, 50).when(F.col("n") <= 10, 100).otherwise(F.least(F.lit(most), F.col("n") * 10))
     each = F.greatest(F.ceil(k / F.col("n")), F.lit(least))
-    rows = ranked.withColumn("_first", F.min("rank").over(by_doc)).withColumn("_in", F.row_number().over(of_doc)).join(docs, "query_id")
+    rows = ranked.withColumn("_first", F.min("rank").over(by_doc)).withColumn("_in", F.row_number().over(of_doc))
+    rows = rows.withColumn("n", F.size(F.collect_set("document_id").over(Window.partitionBy("query_id"))))
     rows = rows.withColumn("_each", each).where(F.col("_in") <= F.col("_each"))
     order = Window.partitionBy("query_id").orderBy("_first", "rank")
     rows = rows.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < F.least(F.col("_each") * F.col("n"), F.lit(most)))
