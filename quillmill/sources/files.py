@@ -43,7 +43,7 @@ def markup_text(text: Column) -> Column:
     # The character references of XML, and the blank.
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(plain, "[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
 def printable_runs(content: Column) -> Column:
@@ -69,9 +69,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as a table with names that SQL takes."""
-    from ..operators.sheets import clean_cells, sql_columns
+    import csv
 
-    return clean_cells(sql_columns(spark.read.csv(path, header=True, inferSchema=True)))
+    from ..operators.sheets import clean_cells, sql_name, unique_names
+
+    # Spark numbers repeated names in a way of its own, so they are taken from the first line.
+    head = spark.read.text(path).first()
+    table = spark.read.csv(path, header=True, inferSchema=True)
+    return clean_cells(table.toDF(*unique_names([sql_name(n) for n in next(csv.reader([head.value]))])) if head else table)
 
 
 def read_parsed(spark: SparkSession, path: str, schema: str = "id string, title string, full_text string, content array<struct<number:int,text:string>>") -> DataFrame:
