@@ -134,7 +134,7 @@ def with_codec(
 def token_ids(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and the token ids of each whole text, as an array; a null or empty text has none."""
     each = lambda codec, ids, texts: list(zip(ids, codec.encode_batch(texts)))
-    return with_codec(docs, each, "doc_id long, ids array<int>", vocabulary, pattern)
+    return with_codec(docs, each, "doc_id long, ids array<long>", vocabulary, pattern)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

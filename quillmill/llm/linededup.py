@@ -93,8 +93,8 @@ class LineRuns:
         return out
 
 
-def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
-    """docs with a column ``line_dedup``: text (the kept lines), n_lines, n_dropped.
+def kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
+    """For each row of docs: row (all its columns), text (the kept lines), n_lines, n_dropped.
 
     A key is a line, stripped and with A-Z lower-cased. Keys of at least 20 characters in at least ``least_docs``
     documents keep their lines only in the largest doc_id that has them, all of them there; other lines stay. Null and
@@ -129,22 +129,18 @@ def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int
     joined = whole.join(lost, ["_id", "_no_id", "_same"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
     kept = F.when(F.col("_lost").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = F.struct(kept.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
-    return joined.select("_row.*", out.alias("line_dedup"))
+    return joined.select(F.col("_row").alias("row"), kept.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the kept lines of every document."""
-    kept = with_kept_lines(docs.select("doc_id", "text"))
-    return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("kept_sha256"))
+    return kept_lines(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with each text reduced to its kept lines; n_chars, where there is one, follows."""
-    kept = with_kept_lines(docs)
-    text = F.col("line_dedup.text")
-    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return kept.select(*[new[n].alias(n) if n in new else F.col(f"`{n}`") for n in docs.columns])
+    new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return kept_lines(docs).select(*[new[n].alias(n) if n in new else F.col(f"row.`{n}`") for n in docs.columns])
 
 
 #: The same in DuckDB.
