@@ -84,7 +84,7 @@ class Pieces:
             out = got if out is None else np.minimum(out, got)
         return out
 
-    def lattices(self, words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, int, dict]]:
+    def lattices(self, words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, int, dict]]:
         """For words of one length at a time: their places in the list, that length with the mark, and by (start, end) the pieces there."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(length):

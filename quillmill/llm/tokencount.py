@@ -20,7 +20,7 @@ from .shared import slices, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches that a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Appended to a serialised model: field 3, the normaliser, with field 3 of it, the space put before a text, off.
 _NO_PREFIX = b"\x1a\x02\x18\x00"
