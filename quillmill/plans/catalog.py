@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, hierarchy, metadata, rerank, retrieve
 from ..streaming import ingest
+from ..session import read_spread
 from .sql_queries import DUCK, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that queries spend the most on a row of."""
+    return read_spread(spark, f"{sf_dir}/documents.parquet")
+
+
 def _sql(name: str, statement: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
@@ -60,7 +66,7 @@ def token_stats(spark, d):
 @query()
 def sentence_chunks(spark, d):
     """Documents cut to pages and chunks, as they are indexed."""
-    return T.chunk_table(table(spark, d, "documents"))
+    return T.chunk_table(documents(spark, d))
 
 
 @query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * 100 + 1 : i * 100 + 100], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 99) // 100)) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")
@@ -89,7 +95,7 @@ _CLOUD = (
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_CLOUD}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 1000")
 def wordcloud_freq(spark, d):
     """The thousand most frequent words, a top-k report."""
-    return analytics.word_frequencies(table(spark, d, "documents"))
+    return analytics.word_frequencies(documents(spark, d))
 
 
 @query("SELECT c_custkey, lower(regexp_replace(regexp_replace(trim(c_name), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g')) AS name FROM customer")
@@ -143,7 +149,7 @@ SELECT query_id, rank, doc_id, score FROM ranked WHERE rank < {k} AND score > 0"
 
 
 def _bm25(spark, d, k: int) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieve.bm25(docs, questions, k).withColumnRenamed("chunk_id", "doc_id")
 

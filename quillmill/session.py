@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,3 +23,12 @@ def session(cores: int | None = None, shuffle_partitions: int | None = None) ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def read_spread(spark: SparkSession, path: str, most: int = 32) -> DataFrame:
+    """A Parquet table; one in so few pieces that most cores would stand idle is dealt out first.
+
+    Larger tables are left as they are read."""
+    df = spark.read.parquet(path)
+    cores = min(most, spark.sparkContext.defaultParallelism)
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
