@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import read_spread
 from . import bpe, decontam, embed, html, langid, linededup, simhash, suffix, tokencount, warc
 
 QUERIES: dict = {}
@@ -18,19 +19,19 @@ def _query(f):
 @_query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE, encoded and decoded."""
-    return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return bpe.round_trip(read_spread(spark, f"{sf_dir}/documents.parquet"))
 
 
 @_query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, by segmentation-marginalised unigram pieces."""
-    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return langid.identify(read_spread(spark, f"{sf_dir}/documents.parquet"))
 
 
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share, kept only in the last of them."""
-    return linededup.line_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linededup.line_digests(read_spread(spark, f"{sf_dir}/documents.parquet"))
 
 
 ORACLES["op3_line_dedup"] = linededup.ORACLE
@@ -39,7 +40,7 @@ ORACLES["op3_line_dedup"] = linededup.ORACLE
 @_query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, read back through the merged capture index."""
-    return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.page_records(read_spread(spark, f"{sf_dir}/pages.parquet"))
 
 
 ORACLES["op4_warc"] = warc.ORACLE
@@ -48,7 +49,7 @@ ORACLES["op4_warc"] = warc.ORACLE
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or nearly one."""
-    return decontam.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.contaminated(read_spread(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 ORACLES["op5_decontamination"] = decontam.ORACLE
@@ -57,19 +58,19 @@ ORACLES["op5_decontamination"] = decontam.ORACLE
 @_query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the groups that near ones form."""
-    return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.simhash_components(read_spread(spark, f"{sf_dir}/documents.parquet"))
 
 
 @_query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of strings that repeat anywhere, removed."""
-    return suffix.repeat_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return suffix.repeat_digests(read_spread(spark, f"{sf_dir}/documents.parquet"))
 
 
 @_query
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of web pages, by wrappers induced for each host."""
-    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html.extract(read_spread(spark, f"{sf_dir}/pages.parquet"))
 
 
 @_query
@@ -84,4 +85,4 @@ ORACLES["op9_embedding_dedup"] = embed.ORACLE
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
-    return tokencount.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokencount.token_counts(read_spread(spark, f"{sf_dir}/documents.parquet"))
