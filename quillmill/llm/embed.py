@@ -67,7 +67,7 @@ def buckets(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, dtype=float)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -139,19 +139,21 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _compare(blocks: DataFrame, least: float) -> DataFrame:
     """(node, links, root): within each block, how many vectors each node links with and a node it is tied to."""
 
-    def group(rows: dict[str, list]) -> tuple[list, list, list] | None:
-        x, n = unit(rows["embedding"]), np.array(rows["n"])
-        joins = np.array(rows["joins"]).reshape(len(n), TABLES, PROBES)
-        part, bucket = np.array(rows["part"]), rows["bucket"][0]
-        if rows["i"][0] == rows["j"][0]:
-            left = right = np.arange(len(n))
-        else:
-            left, right = np.nonzero(part == rows["i"][0])[0], np.nonzero(part == rows["j"][0])[0]
-        i, j = linked(x, joins, bucket, left, right, least)
+    def lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The values of a column of lists one after the other, and where each list begins."""
+        column = table.column(name).chunk(0)
+        starts = column.offsets.to_numpy()
+        return column.flatten().to_numpy(), starts - starts[0]
+
+    def group(x: np.ndarray, n: np.ndarray, joins: np.ndarray, part: np.ndarray, bucket: int, i: int, j: int, node: np.ndarray) -> tuple | None:
+        left = right = np.arange(len(n))
+        if i != j:
+            left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+        i, j = linked(unit(x), joins.reshape(len(n), TABLES, PROBES), bucket, left, right, least)
         if not len(i):
             return None
         links = np.bincount(i, n[j], len(n)) + np.bincount(j, n[i], len(n))
-        some, node = np.nonzero(links)[0], np.array(rows["node"])
+        some = np.nonzero(links)[0]
         return node[some].tolist(), links[some].astype(np.int64).tolist(), node[roots(len(n), i, j)[some]].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +168,20 @@ def _compare(blocks: DataFrame, least: float) -> DataFrame:
         """The complete groups of the table; returns the rows of the last one, which may go on."""
         if not table.num_rows:
             return None
-        place = table.column("place").combine_chunks().dictionary_encode()
-        code = (place.indices if isinstance(place, pa.DictionaryArray) else place.combine_chunks().indices).to_numpy()
-        keys = np.stack([code, *(table.column(c).to_numpy() for c in ("bucket", "i", "j"))])
+        table = table.combine_chunks()
+        place = table.column("place").chunk(0).dictionary_encode().indices.to_numpy()
+        bucket, i, j, part, n, node = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "part", "n", "node"))
+        (vectors, begins), (joins, _) = lists(table, "embedding"), lists(table, "joins")
+        joins = joins.reshape(table.num_rows, -1)
+        keys = np.stack([place, bucket, i, j])
         starts = np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1, [table.num_rows]])
         out: tuple[list, list, list] = ([], [], [])
         for at, to in zip(starts[:-1] if last else starts[:-2], starts[1:] if last else starts[1:-1]):
-            if to - at > 1 and (got := group(table.slice(at, to - at).to_pydict())):
-                for a, b in zip(out, got):
-                    a.extend(b)
+            if to - at > 1:
+                x = vectors[begins[at] : begins[to]].reshape(to - at, -1)
+                if got := group(x, n[at:to], joins[at:to], part[at:to], bucket[at], i[at], j[at], node[at:to]):
+                    for a, b in zip(out, got):
+                        a.extend(b)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "links", "root"])
         return None if last else table.slice(starts[-2])
