@@ -136,7 +136,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
     found = settle(matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct(), "leaks")
     found = _small(found, found.count(), BROADCAST_DOCS)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_same")), "left_anti")
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._id")) & (F.xxhash64("d.text") == F.col("f._same")), "left_anti")
 
 
 #: The same in DuckDB, for items of at least five words.

@@ -43,7 +43,7 @@ def base32(hexed: Column) -> Column:
 
 def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, captured, html, n_bytes, digest, first: first is the page that holds the payload, null for that page itself."""
-    captured = F.coalesce(F.col("captured"), F.lit("")) if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    captured = F.regexp_replace(F.coalesce(F.col("captured").cast("string"), F.lit("")), r"[\x00-\x20\x7f]", "_") if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     html = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", captured.alias("captured"), html.alias("html"))
     own = own.withColumn("n_bytes", F.octet_length("html").cast("long")).withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))

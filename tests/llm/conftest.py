@@ -12,8 +12,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """The rows above, with further columns whose names operators use themselves."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, line_dedup string, same string, fp string, component string, shingles string, kept string"
-    rows = [(i, t, "en" if i and i % 2 else None, "s", len(t or ""), "x", "x", "x", "x", "x", "x", "x") for i, t in ODD]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, line_dedup string, same string, fp string, component string, shingles string, kept string, _id string"
+    rows = [(i, t, "en" if i and i % 2 else None, "s", len(t or ""), "x", "x", "x", "x", "x", "x", "x", "x") for i, t in ODD]
     return spark.createDataFrame(rows, schema)
 
 

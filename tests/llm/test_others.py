@@ -41,7 +41,7 @@ def test_leaks(spark, odd, none):
 def test_archives(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb"
     rows = [(3, "http://WWW.b.org/x?q=1#t", "same"), (1, "http://a.org/y", "same"), (2, None, tricky), (5, "not a url \r\n", None), (4, "http://[bad", ""), (1, "http://a.org/y", "same"), (None, "http://c.org", "same"), (7, "http://a.org/y", "é漢")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, digest string, captured int")
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     first = {"same": 1, tricky: 2, "": 4, "é漢": 7}
     want = Counter((i, len((t or "").encode()), digest(t), "response" if first[t or ""] == i else "revisit", None if first[t or ""] == i else first[t or ""]) for i, _, t in rows)
