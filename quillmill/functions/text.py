@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 CHUNK_CHARS, OVERLAP_CHARS = 512, 100
 WINDOW_WORDS, FULL_TEXT_WORDS, ONE_CALL_WORDS = 10_000, 8_000, 11_000
@@ -56,6 +58,36 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS)
     return F.aggregate(sentences(text), start, add, end)
 
 
+def pieces(text: str, size: int = CHUNK_CHARS, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+    """text in pieces of at most ``size`` characters, cut behind the first of the marks that it has, and behind the next where that is not enough."""
+    if len(text) <= size:
+        return [text] if text else []
+    for n, mark in enumerate(marks):
+        if mark in text:
+            *rest, last = text.split(mark)
+            return [p for part in [*(r + mark for r in rest), last] for p in pieces(part, size, marks[n + 1 :])]
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def cut_chunks(texts: pd.Series) -> pd.Series:
+    """Chunks of texts without sentences (T3): pieces put together up to the size, each chunk beginning with the last pieces of the one before."""
+
+    def cut(text: str | None) -> list[str]:
+        out: list[str] = []
+        now: list[str] = []
+        for p in pieces(text or ""):
+            if now and sum(map(len, now)) + len(p) > CHUNK_CHARS:
+                out.append("".join(now).strip())
+                while now and (sum(map(len, now)) > OVERLAP_CHARS or sum(map(len, now)) + len(p) > CHUNK_CHARS):
+                    now.pop(0)
+            now.append(p)
+        out.append("".join(now).strip())
+        return [c for c in out if c]
+
+    return texts.map(cut)
+
+
 def pages(text: Column, mark: str = "\n\n") -> Column:
     """Pages of a text without any (S17): one up to 5,000 characters, else sections packed to about 3,000."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
@@ -63,7 +95,7 @@ def pages(text: Column, mark: str = "\n\n") -> Column:
     def add(state: Column, s: Column) -> Column:
         full = (F.length(state["now"]) + F.length(s) > PAGE_CHARS) & (state["now"] != "")
         done = F.when(full, F.concat(state["done"], F.array(_strip(state["now"])))).otherwise(state["done"])
-        now = F.when(full, F.concat(s, F.lit(mark))).otherwise(F.concat(state["now"], s, F.lit(mark)))
+        now = F.when(full | (state["now"] == ""), s).otherwise(F.concat(state["now"], F.lit(mark), s))
         return F.struct(done.alias("done"), now.alias("now"))
 
     def end(state: Column) -> Column:

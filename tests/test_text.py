@@ -50,3 +50,11 @@ def test_small_ones(spark):
     assert one(spark, "%%", T.identifier) == "unnamed_table"
     assert one(spark, "The n page café u like\nx", T.cloud_words) == ["the", "caf", "x"]
     assert one(spark, "w " * 11001, T.summary_calls) == 3
+
+
+def test_cut_chunks(spark):
+    text = "word " * 300 + "x" * 1200
+    got = one(spark, text, T.cut_chunks)
+    assert all(len(c) <= 512 for c in got) and got[0] == ("word " * 102).strip() and got[-1] == "x" * 176
+    assert got[1].startswith("word") and sum(c.count("word") for c in got) > 300 and one(spark, None, T.cut_chunks) == []
+    assert "".join(T.pieces(text)) == text
