@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -334,3 +334,43 @@ def event_windows(spark, d):
 def label_filter(spark, d):
     own = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 0"), "doc_id")
     return own.groupBy("quality").agg(F.count("*").alias("documents"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
+_RANKED = "SELECT p_brand AS query_id, {n} AS list_id, rank, p_partkey AS document_id FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY {by} DESC, p_partkey) - 1 AS rank FROM part) WHERE rank < 20"
+
+
+@query(f"""
+WITH lists AS ({_RANKED.format(n=0, by='p_retailprice')} UNION ALL {_RANKED.format(n=1, by='p_size')}
+), fused AS (SELECT query_id, document_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf_score, min(list_id * 1000 + rank) AS seen FROM lists GROUP BY ALL)
+SELECT query_id, document_id, round(rrf_score, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, seen) - 1 AS rank FROM fused""")
+def rrf_fusion(spark, d):
+    """Two rankings of each brand's parts, fused."""
+    parts = table(spark, d, "part")
+    ranked = None
+    for n, by in enumerate(("p_retailprice", "p_size")):
+        order = Window.partitionBy("p_brand").orderBy(F.desc(by), "p_partkey")
+        own = parts.select(F.col("p_brand").alias("query_id"), F.lit(n).alias("list_id"), (F.row_number().over(order) - 1).alias("rank"), F.col("p_partkey").alias("document_id")).where("rank < 20")
+        ranked = own if ranked is None else ranked.unionByName(own)
+    return _round(retrieve.fuse(ranked, ["document_id"]), "rrf_score")
+
+
+@query("""
+WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+), up AS (SELECT id AS below, id, parent_id FROM nodes UNION ALL SELECT below, n.id, n.parent_id FROM up JOIN nodes n ON up.parent_id = n.id)
+SELECT id, count(*) AS n FROM up GROUP BY id""")
+def subtree_sizes(spark, d):
+    return hierarchy.subtree_sizes(mindmap_tree(spark, d))
+
+
+@query("SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY source")
+def joined_text(spark, d):
+    """The texts of each source behind one another."""
+    return analytics.joined_text(documents(spark, d), ["source"], "doc_id")
+
+
+@query(f"SELECT query_id, count(DISTINCT document_id) + coalesce(any_value(web), 0) AS sources FROM {_CITED} LEFT JOIN (SELECT o_orderkey AS query_id, count(*) AS web FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderkey) USING (query_id) GROUP BY query_id")
+def source_counts(spark, d):
+    web = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("query_id"))
+    cited = _cited(spark, d)
+    return analytics.source_counts(cited, web.join(cited.select("query_id"), "query_id", "left_semi"))

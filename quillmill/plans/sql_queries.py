@@ -15,6 +15,13 @@ SQL: dict[str, str] = {
     "sql_join_self": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "sql_join_many": "SELECT r_name, count(*) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name",
     "sql_join_range": "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_size BETWEEN s_suppkey AND s_suppkey + 2 AND p_retailprice > s_acctbal",
+    "sql_join_using": "SELECT n_name, r_name FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r USING (n_regionkey)",
+    "sql_join_natural": "SELECT n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r",
+    "sql_join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
+    "sql_join_theta": "SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey",
+    "sql_is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL",
+    "sql_not_in": "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')",
+    "sql_greatest_least": "SELECT s_suppkey, greatest(s_suppkey, 50) AS g, least(s_suppkey, 50) AS l, coalesce(nullif(s_suppkey, 3), -1) AS c FROM supplier",
     "sql_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)",
     "sql_semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
