@@ -4,6 +4,11 @@ Equal fingerprints are one entry. Each entry lies in a table under both 32-bit h
 fingerprints within 3 bits have a half in which they differ by one bit at most, so every entry looks up the ball of
 radius one around each of its halves (only the half's zero bits are flipped: the other of the two does the rest),
 and whole distances are verified.
+
+Texts that are alike to 0.8 or more are some 10 bits apart, up to 20 (see ``decontam``), and so near lie two in a
+thousand of all pairs of unlike fingerprints: within such a radius the number of candidates is a square of the input.
+``similar_groups`` therefore finds its candidates by bands of min-hashes of the same shingles, which two texts share by
+their similarity alone, and verifies them by the exact similarity of their sets of shingles.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -20,16 +25,29 @@ from .shared import settle, slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 HALF = 0xFFFFFFFF
+#: Words of a shingle and similarity of sets of shingles from which texts are near copies.
+SIMILAR_SHINGLE, LEAST_SIMILARITY = 5, 0.8
+#: Bands of so many min-hashes each: of the pairs at similarity 0.8, 7 in 100,000 share none; further up fewer.
+BANDS, ROWS = 24, 5
+#: Texts with candidates that may be broadcast, an id and a hash each.
+BROADCAST_TEXTS = 200_000
+
+
+def runs_of_words(text: str, shingle: int) -> list[bytes]:
+    """A text's word shingles, A-Z lower-cased; the whole text if it is shorter, none if there is no word."""
+    words = text.encode().lower().split()  # of bytes: splits at and lowers ASCII only
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles, A-Z lower-cased; 0 if there is no word."""
     import xxhash
 
-    words = text.encode().lower().split()  # of bytes: splits at and lowers ASCII only
-    if not words:
+    joined = runs_of_words(text, shingle)
+    if not joined:
         return 0
-    joined = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
     one = xxhash.xxh64_intdigest
     bits = np.zeros(64, np.int64)
     for at in range(0, len(joined), 65_536):
@@ -86,10 +104,126 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The different hashes of a text's word shingles, in order."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in runs_of_words(text, shingle)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a set's bands; none of an empty set."""
+    import xxhash
+
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(SEED)
+    salt, factor = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        for i in range(BANDS * ROWS):
+            least[i] = min(least[i], ((part ^ salt[i]) * factor[i]).min())
+    raw = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(raw[i].tobytes(), i) for i in range(BANDS)]
+
+
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, same, node, n, bands) of every document; node is a hash of its set of shingles, n the set's size."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_set(t or "", shingle) for t in part.column(2).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(list(map(len, sets)), pa.int64()), keys], names=["doc_id", "same", "node", "n", "bands"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, "doc_id long, same long, node long, n long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the documents that heads (head.no_id, head.id, head.same) name, a row each node."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_set(t or "", shingle) for t in part.column(0).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = settle(_named(heads).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    texts = _keyed(docs, F.col("text").alias("_text")).join(wanted, KEY, "left_semi").dropDuplicates(KEY).select("_text")
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(doc_id, same, node, component_id, head) as ``groups`` has them, of links between documents whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    Texts without a word are alike. In a band that many share, all are compared with one of them first; only those that
+    no link ties to the rest by then are compared with each of it, so a group of near copies does not make all its pairs."""
+    own = settle(shingled(docs, shingle), "shingled")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("same"))).alias("head")
+    entries = settle(own.groupBy("node").agg(first, F.max("n").alias("n"), F.first("bands").alias("bands")), "entries")
+    keys = entries.select("node", "n", "head", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count("*").alias("many")).where("many > 1").drop("many")
+    crowded = settle(keys.join(shared, "key"), "crowded")
+    sets = settle(sets_of(docs, crowded, shingle), "sets")
+
+    def fits(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach the similarity."""
+        both = pairs.distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b").join(sets.select(F.col("node").alias("a"), "shingles"), "a")
+        both = both.select("a", "b", F.size(F.array_intersect("shingles", "theirs")).alias("both"), (F.size("shingles") + F.size("theirs")).alias("sum"))
+        return both.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
+
+    star = crowded.where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"))).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    tied = settle(components(alike(star)), "tied")
+    to = F.coalesce("component", "c.node").alias("to")
+    placed = crowded.alias("c").join(tied.alias("t"), F.expr("c.node = t.node"), "left").select("c.node", "n", "key", to)
+    several = placed.groupBy("key").agg(F.min("to").alias("lo"), F.max("to").alias("hi")).where("lo <> hi").select("key")
+    rest = settle(placed.join(several, "key"), "rest")
+    parts = rest.select("key", "to").distinct()
+    across = parts.withColumnRenamed("to", "x").join(parts.withColumnRenamed("to", "y"), "key").where("x < y")
+    across = across.join(rest.select("key", F.col("to").alias("x"), F.col("node").alias("a"), "n"), ["key", "x"])
+    across = across.join(rest.select("key", F.col("to").alias("y"), F.col("node").alias("b"), F.col("n").alias("m")), ["key", "y"]).where(fits(F.col("n"), F.col("m")))
+    links_ = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(alike(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    tied = components(links_).withColumnRenamed("node", "at")
+    entries = entries.join(tied, F.col("node") == F.col("at"), "left").select("node", "head", F.coalesce("component", "node").alias("root"))
+    heads = entries.groupBy("root").agg(F.min("head").alias("head"))
+    of_node = entries.select("node", "root").join(heads, "root").select("node", "head")
+    return own.select("doc_id", "same", "node").join(of_node, "node").select("doc_id", "same", "node", F.col("head.id").alias("component_id"), "head")
+
+
+KEY = ["_no_id", "_id", "_same"]
+
+
+def _named(heads: DataFrame) -> DataFrame:
+    return heads.select("head.*").select(F.col("no_id").alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
+
+
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_same"))
+
+
+def _standing(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are heads of grouped, one of each."""
+    heads = _named(grouped.select("head").distinct())
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
+    return _keyed(docs, row).join(heads, KEY, "left_semi").dropDuplicates(KEY).select("_row.*")
+
+
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stand for their groups: one of each, the one with the smallest doc_id."""
-    heads = groups(docs, shingle, radius).select("head.*").distinct().select(F.col("no_id").alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
-    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
-    keyed = docs.select(row, F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_same"))
-    kept = keyed.join(heads, ["_no_id", "_id", "_same"], "left_semi")
-    return kept.dropDuplicates(["_no_id", "_id", "_same"]).select("_row.*")
+    return _standing(docs, groups(docs, shingle, radius))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """The same for the groups of similar texts."""
+    return _standing(docs, similar_groups(docs, shingle, least))

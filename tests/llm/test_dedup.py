@@ -90,6 +90,41 @@ def test_links_find_every_pair(spark):
     assert {frozenset((r.a, r.b)) for r in simhash.links(entries).collect()} == want and want
 
 
+def test_similar_texts_are_one(spark, odd, none):
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+        rows.append((10 * g, " ".join(words)))
+        want.add(10 * g)
+        # Each edited word breaks five shingles: similarity 0.96 to 0.81, and 0.74, which stays.
+        for k, edits in enumerate([1, 2, 4], 1):
+            edited = list(words)
+            for e in range(edits):
+                edited[20 + 40 * e] = "edit"
+            rows.append((10 * g + k, " ".join(edited)))
+        edited = list(words)
+        for e in range(9):
+            edited[10 + 20 * e] = "other"
+        rows.append((10 * g + 9, " ".join(edited)))
+        want.add(10 * g + 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_similar(docs).collect()} == want
+    assert simhash.keep_one_each(docs).count() > len(want)
+    kept = simhash.keep_one_similar(odd)
+    assert kept.columns == odd.columns and simhash.keep_one_similar(none).count() == 0
+
+
+def test_similar_groups_by_brute_force(spark, sf_dir, odd, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df, rows in ((odd, texts), (docs, [(r.doc_id, r.text) for r in docs.collect()])):
+        sets = [set(simhash.shingle_set(t or "").tolist()) for _, t in rows]
+        linked = [[a == b or len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+        own = labels(groups(len(rows), linked), [i for i, _ in rows])
+        got = simhash.similar_groups(df).select("doc_id", "component_id").collect()
+        assert Counter(map(tuple, got)) == Counter((i, c) for (i, _), c in zip(rows, own))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(5, 5), (3, 2)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
