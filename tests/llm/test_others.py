@@ -85,6 +85,14 @@ def test_wrapper_finds_template_and_slot(spark):
     assert html.extract(pages).count() == 16 and html.extract(pages.limit(0)).count() == 0
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    one = "<body><div class=top>Our shop, open daily</div><div class=x><p>{a}</p></div><div class=end>Visit us again</div></body>"
+    two = "<body><table class=frame><tr><td>Old site, kept for readers</td></tr></table><div class=y><p>{a}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", (two if i % 20 == 0 else one).format(a=f"Text {i} of its own, {i * i} " * 3)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {i: (f"Text {i} of its own, {i * i} " * 3).strip() for i in range(200)}
+
+
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
     assert html.main_text("<p a='x>y<b>z") and html.main_text("</p></div>a<b>b") == "ab" and html.main_text("<script>x") == ""
