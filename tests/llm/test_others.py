@@ -93,6 +93,16 @@ def test_every_layout_of_a_host_has_its_template(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == {i: (f"Text {i} of its own, {i * i} " * 3).strip() for i in range(200)}
 
 
+def test_articles_in_several_parts(spark):
+    parts = "<body><nav>Menu</nav><article><p>Part one</article><div><article><p>Part two, longer</article></div><article class=comment>Reader</article></body>"
+    assert html.main_text(parts) == "Part one\nPart two, longer"
+    page = "<body><div class=top>Our shop, open daily</div><div class=x><header><h1>Head {i}</h1></header><div class=lead>Lead {i}</div><div class=b><p>{a}</p><p>{b}</p></div></div><div class=end>Visit us again</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i=i, a=f"First part of text {i} " * 20, b=f"second {i * i}")) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Head {i}\nLead {i}\n" + (f"First part of text {i} " * 20).strip() + f"\nsecond {i * i}" for i in range(12)}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
     assert html.main_text("<p a='x>y<b>z") and html.main_text("</p></div>a<b>b") == "ab" and html.main_text("<script>x") == ""
