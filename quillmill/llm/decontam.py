@@ -1,11 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-A window of a document has as many word shingles as a benchmark item. Its SimHash is looked up in a multi-index of the
+A window of a document has as many word shingles as a benchmark item; a shorter document is one window as a whole. Its SimHash is looked up in a multi-index of the
 items' SimHashes: with one block of bits more than the radius, every fingerprint within the radius shares a block.
 Candidates are verified by the exact weighted Jaccard similarity of their shingles, repeats counted.
 
-Not every window is fingerprinted. One that reaches the similarity t with an item of m shingles holds at least
-2tm / (1 + t) of the item's, and moving it to its first such shingle loses none of them. So the windows that begin at
+Not every window is fingerprinted. One of w shingles that reaches the similarity t with an item of m holds at least
+t(w + m) / (1 + t) of the item's, and moving it to its first such shingle loses none of them. So the windows that begin at
 a shingle of an item and hold that many of it are all that can match; this leaves no match out.
 """
 
@@ -80,11 +80,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SIMILARI
     """(doc_id, same, item_id, start, similarity) of each document and item of which some window reaches ``least``.
 
     The window is the most similar one, the first among equals; start counts words, same is a hash of the text. Null and
-    empty texts and items match nothing, nor does a text with fewer words than the item needs. Repeated items match each;
+    empty texts and items match nothing. A text shorter than the item is its own window, with its own length. Repeated items match each;
     repeated documents and doc_ids are told apart by text only. Empty tables give an empty result; other columns are
     not read."""
     items = item_shingles(benchmark, size)
-    need = F.ceil(F.col("m") * (2 * least / (1 + least)) - 1e-9).cast("int")
+    wide = F.least("long", "m")  # shingles of a window
+    need = F.ceil((wide + F.col("m")) * (least / (1 + least)) - 1e-9).cast("int")
     of_items = items.select("item_id", "k", "m", F.explode(F.array_distinct("shingles")).alias("shingle"))
     of_items = _small(of_items, of_items.count(), BROADCAST_SHINGLES)
     ks = [r.k for r in items.select("k").distinct().collect()]  # 1 to size
@@ -100,27 +101,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SIMILARI
     hits = each.join(of_items, ["k", "shingle"]).groupBy("doc_id", "same", "long", "item_id", "k", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     hits = hits.withColumn("need", need).where(F.size("at") >= F.col("need"))
     starts = F.filter("at", lambda p, i: F.get("at", i + F.col("need") - 1) < p + F.col("m"))
-    starts = hits.select("doc_id", "same", "item_id", "k", "m", "long", F.explode(starts).alias("p"))
+    starts = hits.select("doc_id", "same", "item_id", "k", "m", "long", wide.alias("wide"), F.explode(starts).alias("p"))
     start = F.greatest(F.lit(0), F.least("p", F.col("long") - F.col("m"))).alias("start")  # at a text's end the window moves back
-    windows = settle(starts.select("doc_id", "same", "item_id", "k", "m", start).distinct(), "windows")
+    windows = settle(starts.select("doc_id", "same", "item_id", "k", "m", "wide", start).distinct(), "windows")
     # Their fingerprints, from the documents that have some.
     found = windows.select("doc_id", "same").distinct()
     found = _small(found, found.count(), BROADCAST_DOCS)
     null_safe = docs.select("doc_id", "text").withColumn("same", F.xxhash64("text")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.same = f.same"), "left_semi")
     again = shingled(null_safe.dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words_of(F.col("text")).alias("words")), [])
     w = windows.alias("w").join(again.alias("a"), F.expr("w.doc_id <=> a.doc_id AND w.same = a.same AND w.k = a.k"))
-    w = w.select("w.*", F.slice("a.shingles", F.col("w.start") + 1, F.col("w.m")).alias("shingles"))
+    w = w.select("w.*", F.slice("a.shingles", F.col("w.start") + 1, F.col("w.wide")).alias("shingles"))
     w = settle(with_simhash(w, "fingerprint").withColumn("window", F.monotonically_increasing_id()), "fingerprints")
     # The multi-index; a window is looked up among the items that it holds shingles of.
     index = with_simhash(items, "theirs").select("item_id", "theirs", blocks("theirs", radius).alias("b")).select("item_id", "theirs", "b.*")
     probe = w.select("window", "item_id", "fingerprint", blocks("fingerprint", radius).alias("b")).select("window", "item_id", "fingerprint", "b.*")
     near = probe.join(index, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= radius).select("window").distinct()
     # The exact similarity of those.
-    ours = w.join(near, "window", "left_semi").select("window", "doc_id", "same", "item_id", "start", "m", F.explode("shingles").alias("shingle"))
-    ours = ours.groupBy("window", "doc_id", "same", "item_id", "start", "m", "shingle").agg(F.count("*").alias("n"))
+    ours = w.join(near, "window", "left_semi").select("window", "doc_id", "same", "item_id", "start", "m", "wide", F.explode("shingles").alias("shingle"))
+    ours = ours.groupBy("window", "doc_id", "same", "item_id", "start", "m", "wide", "shingle").agg(F.count("*").alias("n"))
     theirs = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("n2"))
-    shared = ours.join(theirs, ["item_id", "shingle"]).groupBy("window", "doc_id", "same", "item_id", "start", "m").agg(F.sum(F.least("n", "n2")).alias("both"))
-    scored = shared.withColumn("similarity", F.col("both") / (2 * F.col("m") - F.col("both"))).where(F.col("similarity") >= least - 1e-12)
+    shared = ours.join(theirs, ["item_id", "shingle"]).groupBy("window", "doc_id", "same", "item_id", "start", "m", "wide").agg(F.sum(F.least("n", "n2")).alias("both"))
+    scored = shared.withColumn("similarity", F.col("both") / (F.col("wide") + F.col("m") - F.col("both"))).where(F.col("similarity") >= least - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     return scored.groupBy("doc_id", "same", "item_id").agg(best).select("doc_id", "same", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
 

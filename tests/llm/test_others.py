@@ -38,6 +38,18 @@ def test_leaks(spark, odd, none):
     assert [(r.item_id, r.start) for r in two] == [(13, 1)]
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(30)]  # 26 shingles
+    cuts = [(1, words[:27]), (2, words[3:]), (3, words[2:28]), (4, words[:24]), (5, words[:25]), (6, ["x", *words[:26]]), (7, words[1:15] + words[17:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in cuts], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(words))], "item_id long, text string")
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = {i: len(shingles(w) & shingles(words)) / len(shingles(w) | shingles(words)) for i, w in cuts}
+    want = {i: round(s, 6) for i, s in want.items() if s >= 0.8}
+    assert {r.doc_id: r.similarity for r in decontam.contaminated(docs, bench).collect()} == want and set(want) == {1, 2, 3, 5, 6}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {4, 7}
+
+
 def test_archives(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb"
     rows = [(3, "http://WWW.b.org/x?q=1#t", "same"), (1, "http://a.org/y", "same"), (2, None, tricky), (5, "not a url \r\n", None), (4, "http://[bad", ""), (1, "http://a.org/y", "same"), (None, "http://c.org", "same"), (7, "http://a.org/y", "é漢")]
