@@ -1,89 +1,145 @@
 """Removal of long byte strings that repeat, by column-wise sorting of suffixes.
 
-A string of SPAN bytes that repeats holds, in each of its places, the same anchor: its GRAM-byte substring with the
-smallest hash, the first among equals. So the starts in a document are cut into runs with one anchor, and only runs
-with equal anchors can repeat each other; their bytes are a segment. Equal segments repeat wholly. The others are
-sorted by the column-wise construction of a collection's Burrows-Wheeler transform and common prefixes: one symbol of
-each segment is inserted a round, from the last column to the first, and the order and the common prefixes of
-neighbours are updated; where they reach SPAN, the string at that column repeats. Aligned at their anchors, segments
-have fewer than two SPANs of columns, however long the documents are: a round for every byte of the longest document
-over the whole collection, with a pass over external files each, would be as many Spark jobs as that document has bytes.
+Two equal strings of PASSAGE bytes hold the same anchor at the same place: their GRAM-byte substring with the smallest
+hash, the first among equals. So the starts in a document are cut into runs with one anchor, and only runs with equal
+anchors can repeat each other; a run and the SPAN bytes behind its last start are its segment. The segments of an anchor
+are a small collection, aligned at the anchor, and are sorted by the column-wise construction of a collection's
+Burrows-Wheeler transform and common prefixes: one symbol of each segment is inserted a round, from the last column to the
+first, and order and common prefixes of neighbours are updated from those of the round before; where they reach SPAN, the
+string at that column repeats. Equal segments are inserted once, with how many they are. Aligned so, a collection has
+COLUMNS rounds however long the documents are: a round for every byte of the longest document over the whole corpus, with
+a pass over external files each, would be as many Spark jobs as that document has bytes. What the steps pass on lies in
+files of the shared folder, which tasks read one after the other in the order of their anchors.
+
+An anchor with more segments than one task should sort is split: its segments are cut again by longer anchors (GRAMS),
+down to single strings, so that no common passage gathers in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle, slices
 
-SPAN, GRAM = 400, 120
-#: Anchor places in a string, and columns of aligned segments.
-PLACES, COLUMNS = SPAN - GRAM + 1, SPAN - GRAM + SPAN
-#: Starts that a task looks at together, and segments that it sorts together.
-CHUNK, SORTED = 1 << 20, 8192
-#: Anchors with more different segments are handled by the digests of their strings instead, which split over tasks.
-LARGEST = 4096
+#: Bytes of a string that is removed if it repeats, and of one that is counted as a repeated passage.
+SPAN, PASSAGE = 400, 240
+#: Bytes of the anchors of a string, and of those that split the segments of a frequent anchor further.
+GRAMS = (80, 200, PASSAGE)
+#: Columns of aligned segments.
+COLUMNS = PASSAGE - GRAMS[0] + SPAN
+#: Bytes that a task looks at together, segments that it sorts together, and those of one anchor beyond which it is split.
+CHUNK, SORTED, GROUP = 1 << 20, 8192, 8192
+#: Hot anchors that may be broadcast.
+BROADCAST_ANCHORS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
+_POSITION = np.uint64((1 << 22) - 1)
+_tables: list[np.ndarray] = []
 
 
-def _tables() -> list[np.ndarray]:
-    """A random value for each byte; powers of the base and of its inverse, modulo 2 ** 64."""
-    if not _powers:
-        n = CHUNK + SPAN + 1
+def tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, and two random values for each byte."""
+    if not _tables:
+        n = 2 * CHUNK + SPAN + 1
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(n, b, np.uint64)
             p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-        _powers.append(np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64))
-    return _powers
-
-
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a SPAN-byte string in data: the place of its anchor; and for each place the hash of its gram."""
-    power, inverse, value = _tables()
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[data] * power[:n], out=sums[1:])
-    gram = (sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1]
-    mixed = (gram ^ (gram >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    low = np.uint64((1 << 22) - 1)
-    least = (mixed & ~low) | np.arange(len(mixed), dtype=np.uint64)  # the first among equals
-    width = 1
-    while 2 * width <= PLACES:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < PLACES:
-        least = np.minimum(least[: width - PLACES], least[PLACES - width :])
-    return (least & low).astype(np.int64), gram.view(np.int64)
-
-
-def runs(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(hash of the anchor, its place, first and last start, both relative to the anchor) of each run in a text."""
-    data = np.frombuffer(text, np.uint8)
-    for at in range(0, len(data) - SPAN + 1, CHUNK):
-        place, gram = anchors(data[at : at + CHUNK + SPAN - 1])
-        first = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1])
-        last = np.concatenate([first[1:], [len(place)]]) - 1
-        a = place[first]
-        yield from zip(gram[a].tolist(), (at + a).tolist(), (first - a).tolist(), (last - a).tolist())
+            _tables.append(np.multiply.accumulate(p))
+        _tables.extend(np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64))
+    return _tables
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-def sort_columns(rows: np.ndarray, group: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Where strings of ``span`` symbols repeat within a group of aligned segments: a boolean for each segment and column.
+def sums_of(data: np.ndarray, which: int) -> np.ndarray:
+    """Prefix sums from which ``stretch`` gets the hash of any stretch of data."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(tables()[2 + which][data] * tables()[0][: len(data)], out=out[1:])
+    return out
 
-    rows: a segment each, symbols 0 to 255, 256 where it has none. group: rising numbers."""
+
+def stretch(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return (sums[stop] - sums[start]) * tables()[1][start]
+
+
+def anchors(data: np.ndarray, gram: int, span: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a string of ``span`` bytes in data: the place of its anchor; and for each place the hash of its gram."""
+    at = np.arange(len(data) - gram + 1)
+    grams = stretch(sums_of(data, 0), at, at + gram)
+    least = (mixed(grams) & ~_POSITION) | at.astype(np.uint64)  # the first among equals
+    places, width = span - gram + 1, 1
+    while 2 * width <= places:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < places:
+        least = np.minimum(least[: width - places], least[places - width :])
+    return (least & _POSITION).astype(np.int64), grams
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all texts: number of the text, hash of the anchor, its place, first and last start, stop and hash of the segment, for each run."""
+    out = []
+    pieces: list[tuple[int, int, bytes]] = []
+    held = 0
+
+    def look() -> None:
+        data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        size = np.array([len(p) for _, _, p in pieces])
+        end = np.cumsum(size)
+        owner = np.repeat(np.arange(len(pieces)), size)
+        place, grams = anchors(data, GRAMS[0])
+        start = np.arange(len(place))
+        own = owner[: len(place)]
+        # No string reaches into the next text; a piece of a longer text leaves its last bytes to the next piece.
+        whole = np.array([at + len(p) == len(texts[t]) for t, at, p in pieces])
+        stop = np.where(whole, end - PASSAGE + 1, end - SPAN + 1)
+        good = start < stop[own]
+        cut = np.ones(len(place), bool)
+        cut[1:] = (place[1:] != place[:-1]) | (own[1:] != own[:-1])
+        first = np.nonzero(cut & good)[0]
+        if not len(first):
+            return
+        ends = np.append(np.nonzero(cut)[0], len(place))
+        last = np.minimum(ends[np.searchsorted(ends, first, side="right")], stop[own[first]]) - 1
+        to = np.minimum(last + SPAN, end[own[first]])
+        a = place[first]
+        digest = mixed(stretch(sums_of(data, 1), first, to) + mixed(((a - first) << 40 | (to - first) << 20 | (last - first)).astype(np.uint64)))
+        back = np.array([at for _, at, _ in pieces])[own[first]] - (end - size)[own[first]]
+        out.append((np.array([t for t, _, _ in pieces])[own[first]], grams[a].view(np.int64), a + back, first + back, last + back, to + back, digest.view(np.int64)))
+
+    for t, text in enumerate(texts):
+        if len(text) < PASSAGE:
+            continue
+        for at in range(0, max(1, len(text) - SPAN + 1), CHUNK):
+            pieces.append((t, at, text[at : at + CHUNK + SPAN - 1] if at + CHUNK + SPAN - 1 < len(text) else text[at:]))
+            held += len(pieces[-1][2])
+            if held >= CHUNK:
+                look()
+                pieces, held = [], 0
+            if at + CHUNK + SPAN - 1 >= len(text):
+                break
+    if pieces:
+        look()
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(7))
+
+
+def sort_columns(rows: np.ndarray, group: np.ndarray, many: np.ndarray | None = None) -> np.ndarray:
+    """The longest common prefix of the suffix of each segment at each column with that of another segment of its group.
+
+    rows: a segment each, symbols 0 to 255, 256 where it has none. group: rising numbers. many: whether a segment stands
+    for several equal ones, which have all of the suffix in common."""
     m, columns = rows.shape
-    repeats = np.zeros((m, columns), bool)
+    longest = np.zeros((m, columns), np.int16)
     order = np.arange(m)
     common = np.zeros(m + 1, np.int32)  # common[i]: of the suffixes of order[i - 1] and order[i]
+    length = np.zeros(m, np.int32)
     for c in range(columns - 1, -1, -1):
         symbol = rows[order, c].astype(np.int64)
         key = group[order] * 257 + symbol
@@ -101,48 +157,54 @@ def sort_columns(rows: np.ndarray, group: np.ndarray, span: int = SPAN) -> np.nd
                 least[~near] = np.minimum.reduceat(common, far)[::2]
             new[same] = least + 1
         order, common = order[moved], new
-        found = np.nonzero(common >= span)[0]
-        repeats[order[found], c] = True
-        repeats[order[found - 1], c] = True
-    return repeats
+        longest[order, c] = np.maximum(common[:-1], common[1:])
+        if many is not None:
+            length = np.where(rows[:, c] < 256, length + 1, 0)
+            longest[many, c] = np.maximum(longest[many, c], length[many])
+    return longest
+
 
+def _base(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, packed): a number for each row, and its text (null: empty) as compressed UTF-8."""
 
-def _run_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "lo", "hi", "segment", "doc", "same", "place"]
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in slices(batch, 64):
-                out: list[list] = [[] for _ in names]
-                for doc, same, text in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = text.encode()
-                    for anchor, place, lo, hi in runs(raw):
-                        digest = hashlib.blake2b(b"%d %d " % (lo, hi) + raw[place + lo : place + hi + SPAN], digest_size=8).digest()
-                        for column, x in zip(out, (anchor, lo, hi, int.from_bytes(digest, "little", signed=True), doc, same, place)):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+            for part in slices(batch):
+                packed = [pack.compress((t or "").encode()) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "row", "packed"])
 
-    long = docs.where(F.octet_length("text") >= SPAN)
-    return long.mapInArrow(run, "anchor long, lo long, hi long, segment long, doc long, same long, place long")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    return settle(numbered.mapInArrow(run, "doc_id long, row long, packed binary"), "texts")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """docs with each text compressed, for the shuffles."""
-    import zstandard
+def _runs(base: DataFrame) -> DataFrame:
+    """(anchor, segment, row, place, lo, hi) of all runs; starts count from the anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([pack.compress(t.encode()) for t in part.column(3).to_pylist()], pa.binary())], names=["doc_id", "doc", "same", "packed"])
+            for part in slices(batch, 1024):
+                number = part.column(0).to_numpy()
+                t, anchor, place, first, last, _, digest = runs([unpack.decompress(p) if p else b"" for p in part.column(1).to_pylist()])
+                if len(t):
+                    columns = [anchor, digest, number[t], place, (first - place).astype(np.int32), (last - place).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "row", "place", "lo", "hi"])
+
+    return base.select("row", "packed").mapInArrow(run, "anchor long, segment long, row long, place long, lo int, hi int")
 
-    return docs.select("doc_id", "doc", "same", "text").mapInArrow(run, "doc_id long, doc long, same long, packed binary")
 
+SEGMENT = "anchor long, segment long, n long, row long, place long, lo int, hi int, bytes binary"
 
-def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted segments, one document's with each classes' first."""
-    each = F.struct("anchor", "lo", "hi", "place", "n", "k")
-    by_doc = wanted.groupBy("doc", "same").agg(F.collect_list(each).alias("parts"))
-    texts = _packed(docs).dropDuplicates(["doc", "same"]).join(by_doc, ["doc", "same"]).select("doc", "same", "packed", "parts")
+
+def _segments(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """SEGMENT rows of classes (anchor, segment, n, row, place, lo, hi), with the bytes from each one's row."""
+    by_row = classes.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "n", "place", "lo", "hi")).alias("parts"))
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "segment", "n", "row", "place")] + [("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -151,45 +213,45 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 out = []
-                for doc, same, packed, parts in zip(*(c.to_pylist() for c in part.columns)):
+                for row, packed, parts in zip(*(c.to_pylist() for c in part.columns)):
                     raw = unpack.decompress(packed)
-                    for p in parts:
-                        out.append(p | {"doc": doc, "same": same, "bytes": raw[p["place"] + p["lo"] : p["place"] + p["hi"] + SPAN]})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out += [p | {"row": row, "bytes": raw[p["place"] + p["lo"] : p["place"] + p["hi"] + SPAN]} for p in parts]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "lo", "hi", "place", "n", "k", "doc", "same")] + [("bytes", pa.binary())])
-    return texts.mapInArrow(run, "anchor long, lo long, hi long, place long, n long, k long, doc long, same long, bytes binary")
+    return base.select("row", "packed").join(by_row, "row").select("row", "packed", "parts").mapInArrow(run, SEGMENT)
 
 
-SPANS = "doc long, same long, start long, stop long"
+FOUND = "anchor long, segment long, n long, row long, place long, cut array<int>, seen array<int>"
 
 
-def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal stretches that strings at these rising starts cover, start and stop."""
+def spans(starts: np.ndarray, size: int) -> list[int]:
+    """The maximal stretches that strings of this size at these rising starts cover: start, stop, start, stop."""
     if not len(starts):
         return []
-    cut = np.nonzero(np.diff(starts) > SPAN)[0]
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + SPAN).tolist()))
+    gap = np.nonzero(np.diff(starts) > size)[0]
+    return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + size], axis=1).ravel().tolist()
 
 
 def _compared(segments: DataFrame) -> DataFrame:
-    """Spans of the segments of one place each that repeat strings of others with their anchor, by column-wise sorting."""
+    """FOUND rows: of each segment the stretches that strings of SPAN and of PASSAGE bytes cover which its anchor's others hold too."""
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, lo = table.column("anchor").to_numpy(), table.column("lo").to_numpy()
+        zero = PASSAGE - GRAMS[0]  # the column of the anchor
         rows = np.full((len(anchor), COLUMNS), 256, np.uint16)
-        for r, (at, raw) in enumerate(zip((lo + PLACES - 1).tolist(), table.column("bytes").to_pylist())):
+        for r, (at, raw) in enumerate(zip((lo + zero).tolist(), table.column("bytes").to_pylist())):
             rows[r, at : at + len(raw)] = np.frombuffer(raw, np.uint8)
-        group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
-        repeats = sort_columns(rows, group)
-        out = []
-        single = (table.column("n").to_numpy() == 1) & repeats.any(axis=1)
-        doc, same, place = (table.column(c).to_numpy() for c in ("doc", "same", "place"))
-        for r in np.nonzero(single)[0]:
-            out += [(doc[r], same[r], a, b) for a, b in _spans(np.nonzero(repeats[r])[0] - (PLACES - 1) + place[r])]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc", "same", "start", "stop"])
+        group = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
+        longest = sort_columns(rows, group, table.column("n").to_numpy() > 1)
+        cut, seen, at = [], [], []
+        for r in np.nonzero((longest >= PASSAGE).any(axis=1))[0]:
+            at.append(r)
+            cut.append(spans(np.nonzero(longest[r] >= SPAN)[0] - zero, SPAN))
+            seen.append(spans(np.nonzero(longest[r] >= PASSAGE)[0] - zero, PASSAGE))
+        if at:
+            kept = table.select(["anchor", "segment", "n", "row", "place"]).take(pa.array(at)).combine_chunks()
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (cut, seen)]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns] + lists, names=[*kept.column_names, "cut", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -212,61 +274,96 @@ def _compared(segments: DataFrame) -> DataFrame:
         if rows:
             yield from compare(pa.Table.from_batches(rest).combine_chunks())
 
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, SPANS)
+    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, FOUND)
 
 
-def _digested(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: a row for each string, grouped by its digest."""
+def _cut_again(segments: DataFrame, gram: int) -> DataFrame:
+    """The segments cut into runs by longer anchors, SEGMENT rows with what they were a part of: (up: anchor, segment, n, row, place)."""
+    fields = [(c, pa.int64()) for c in ("anchor", "segment", "n", "place")] + [("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())]
+    up = [(f"up_{c}", pa.int64()) for c in ("anchor", "segment", "n", "row", "place")]
+    schema = pa.schema(fields + up)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch):
                 out = []
                 for r in part.to_pylist():
-                    for i in range(r["hi"] - r["lo"] + 1):
-                        d = hashlib.blake2b(r["bytes"][i : i + SPAN], digest_size=16).digest()
-                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), r["doc"], r["same"], r["place"] + r["lo"] + i, r["n"]))
+                    data = np.frombuffer(r["bytes"], np.uint8)
+                    place, grams = anchors(data, gram)
+                    place = place[: r["hi"] - r["lo"] + 1]
+                    first = np.nonzero(np.append(True, place[1:] != place[:-1]))[0]
+                    last = np.append(first[1:], len(place)) - 1
+                    to = np.minimum(last + SPAN, len(data))
+                    a = place[first]
+                    offset = (a + r["lo"] + (1 << 20)).astype(np.uint64)
+                    anchor = mixed(grams[a] + mixed(offset + np.int64(r["anchor"]).astype(np.uint64))).view(np.int64)
+                    digest = mixed(stretch(sums_of(data, 1), first, to) + mixed(((first + r["lo"] + 4096) << 40 | (to - first) << 20 | (last - first)).astype(np.uint64))).view(np.int64)
+                    over = {f"up_{c}": r[c] for c in ("anchor", "segment", "n", "row", "place")}
+                    for x, y, f, l, t in zip(anchor.tolist(), digest.tolist(), first.tolist(), last.tolist(), to.tolist()):
+                        out.append(over | {"anchor": x, "segment": y, "n": r["n"], "place": 0, "lo": r["lo"] + f, "hi": r["lo"] + l, "bytes": r["bytes"][f:t]})
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["h1", "h2", "doc", "same", "start", "n"])
-
-    each = settle(segments.mapInArrow(digests, "h1 long, h2 long, doc long, same long, start long, n long"), "digests")
-    often = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return each.where("n = 1").join(often, ["h1", "h2"]).select("doc", "same", "start", (F.col("start") + SPAN).alias("stop"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of the row: doc and same, a hash of id and text."""
-    text = F.coalesce("text", F.lit(""))
-    same = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), same.alias("same"), text.alias("text"))
-
-
-def repeated_spans(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(doc, same, start, stop), of docs as from _keyed: stretches that strings cover which start elsewhere too; they overlap."""
-    table = settle(_run_table(docs.select("doc", "same", "text")), "runs")
-    key = ["anchor", "lo", "hi", "segment"]
-    classes = table.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc", "same", "place")).alias("first"))
-    classes = settle(classes, "classes")
-    whole = classes.where("n > 1").select(*key)
-    spans = table.join(whole, key).select("doc", "same", (F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi") + SPAN).alias("stop"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("anchor", "k")
-    wanted = classes.join(several, "anchor").select("anchor", "lo", "hi", "n", "k", "first.*")
-    segments = settle(_segments(docs, wanted), "segments")
-    few, many = segments.where(F.col("k") <= largest), segments.where(F.col("k") > largest)
-    spans = spans.unionAll(_compared(few))
-    return spans if many.isEmpty() else spans.unionAll(_digested(many))
-
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-def strip_repeats(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every document.
+    text = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in schema)
+    return segments.mapInArrow(run, text)
+
+
+def _resolved(segments: DataFrame, group: int, level: int = 0) -> DataFrame:
+    """FOUND rows of the segments; an anchor with over ``group`` of them is split by longer anchors first."""
+    hot = settle(segments.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > group).select("anchor"), "hot")
+    if hot.isEmpty():
+        return _compared(segments)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
+    found = _compared(segments.join(hot, "anchor", "left_anti").select(segments.columns))
+    much = segments.join(hot, "anchor", "left_semi").select(segments.columns)
+    if level + 1 == len(GRAMS):  # a string of PASSAGE bytes each, the same in all of its anchor; only equal ones share SPAN bytes
+        none = F.array().cast("array<int>")
+        cut = F.when((F.col("n") > 1) & (F.octet_length("bytes") >= SPAN), F.array(F.col("lo"), F.col("lo") + SPAN)).otherwise(none)
+        return found.unionAll(much.select("anchor", "segment", "n", "row", "place", cut, F.array(F.col("lo"), F.col("lo") + PASSAGE)))
+    parts = settle(_cut_again(much, GRAMS[level + 1]), "parts")
+    first = F.min(F.struct("up_anchor", "up_segment", "lo", "hi", "bytes")).alias("f")
+    classes = parts.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), first)
+    zero = F.lit(0).cast("long")
+    classes = settle(classes.select("anchor", "segment", "n", zero.alias("row"), zero.alias("place"), "f.lo", "f.hi", "f.bytes"), "part-classes")
+    finer = _resolved(classes, group, level + 1).select("anchor", "segment", "cut", "seen")
+    again = parts.drop("n", "place", "lo", "hi", "bytes").join(finer, ["anchor", "segment"])
+    return found.unionAll(again.select(*[F.col(f"up_{c}").alias(c) for c in ("anchor", "segment", "n", "row", "place")], "cut", "seen"))
+
+
+def repeats(base: DataFrame, group: int = GROUP) -> DataFrame:
+    """(row, place, cut, seen), of texts as from _base: stretches, relative to place, of strings that start elsewhere too."""
+    all_runs = settle(_runs(base), "runs")
+    several = all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    shared = settle(all_runs.join(several, "anchor", "left_semi").select(all_runs.columns), "shared-runs")
+    first = F.min(F.struct("row", "place", "lo", "hi")).alias("first")
+    classes = settle(shared.groupBy("anchor", "segment").agg(F.count("*").alias("n"), first), "classes")
+    segments = settle(_segments(base, classes.select("anchor", "segment", "n", "first.*")), "segments")
+    found = settle(_resolved(segments, group), "found")
+    one = found.where("n = 1").select("row", "place", "cut", "seen")
+    equal = shared.join(found.where("n > 1").select("anchor", "segment", "cut", "seen"), ["anchor", "segment"])
+    return one.unionAll(equal.select("row", "place", "cut", "seen"))
+
+
+def strip_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated and kept (bytes) of every document.
 
     A byte goes if some string of SPAN bytes that covers it starts anywhere else too, in this document or another;
-    strings do not cross documents and are judged on the input. A null text is empty. Shorter texts keep all. Repeated
-    rows are documents each and so repeat each other. An empty table gives an empty result; other columns are not read."""
-    docs = _keyed(docs)
-    spans = repeated_spans(docs, largest).groupBy("doc", "same").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = _packed(docs).join(spans, ["doc", "same"], "left").select("doc_id", "packed", "spans")
+    strings do not cross documents and are judged on the input. n_repeated counts the bytes that strings of PASSAGE bytes
+    cover which start elsewhere too, removed or not. A null text is empty. Shorter texts keep all. Repeated
+    rows are documents each and so repeat each other; null doc_ids are no less. An empty table gives an empty result; other
+    columns are not read."""
+    base = _base(docs)
+    found = repeats(base, group).groupBy("row").agg(F.collect_list(F.struct("place", "cut", "seen")).alias("found"))
+    joined = base.join(found, "row", "left").select("doc_id", "packed", "found")
+
+    def stretches(found: list, which: str) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, b in sorted((f["place"] + a, f["place"] + b) for f in found for a, b in zip(f[which][::2], f[which][1::2])):
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -275,24 +372,23 @@ def strip_repeats(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 out = []
-                for doc, packed, spans in zip(*(c.to_pylist() for c in part.columns)):
-                    raw, kept, at, gone, n = unpack.decompress(packed) if packed else b"", [], 0, 0, 0
-                    stop = -1
-                    for a, b in sorted((s["start"], s["stop"]) for s in spans or []):
-                        if a > stop:
-                            kept.append(raw[at:a])
-                            n += 1
-                            gone += b - a
-                            at = stop = b
-                        elif b > stop:
-                            gone += b - stop
-                            at = stop = b
-                    out.append((doc, len(raw), gone, n, b"".join([*kept, raw[at:]])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.binary(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                for doc, packed, found in zip(*(c.to_pylist() for c in part.columns)):
+                    raw, kept, at = unpack.decompress(packed), [], 0
+                    gone = stretches(found or [], "cut")
+                    for a, b in gone:
+                        kept.append(raw[at:a])
+                        at = b
+                    seen = sum(b - a for a, b in stretches(found or [], "seen"))
+                    out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), seen, b"".join([*kept, raw[at:]])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 5 + (pa.binary(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
+
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+
+
+def digest(kept: Column) -> Column:
+    return F.sha2(kept, 256)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes of every document."""
-    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, the SHA-256 of the kept bytes and n_repeated of every document."""
+    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", digest(F.col("kept")).alias("kept_sha256"), "n_repeated")

@@ -132,28 +132,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def covered(raw):
+def covered(raw, span=suffix.SPAN):
     seen = defaultdict(list)
     for k, t in enumerate(raw):
-        for s in range(len(t) - suffix.SPAN + 1):
-            seen[t[s : s + suffix.SPAN]].append((k, s))
+        for s in range(len(t) - span + 1):
+            seen[t[s : s + span]].append((k, s))
     out = [np.zeros(len(t), bool) for t in raw]
     for places in seen.values():
         if len(places) > 1:
             for k, s in places:
-                out[k][s : s + suffix.SPAN] = True
+                out[k][s : s + span] = True
     return out
 
 
 def repeats(rows):
     raw = [t.encode() for _, t in rows]
     out = []
-    for (i, _), t, c in zip(rows, raw, covered(raw)):
+    for (i, _), t, c, p in zip(rows, raw, covered(raw), covered(raw, suffix.PASSAGE)):
         spans = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
-        out.append((i, len(t), int(c.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~c])))
+        out.append((i, len(t), int(c.sum()), spans, int(p.sum()), bytes(np.frombuffer(t, np.uint8)[~c])))
     return Counter(out)
 
 
+def stripped(docs, *group):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, bytes(r.kept)) for r in suffix.strip_repeats(docs, *group).collect())
+
+
 def mixed():
     import random
 
@@ -165,20 +169,29 @@ def mixed():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("largest", [suffix.LARGEST, 3])
-def test_suffixes(spark, none, largest):
+@pytest.mark.parametrize("group", [suffix.GROUP, 3, 1])
+def test_suffixes(spark, none, group):
     rows = mixed()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.strip_repeats(docs, largest).collect())
-    assert got == repeats(rows)
+    assert stripped(docs, group) == repeats(rows)
     assert suffix.strip_repeats(none).count() == 0
 
 
 def test_suffixes_of_odd_rows(spark, odd, texts):
     short = odd.where("text is null OR length(text) < 10000")
     rows = [(i, t) for i, t in texts if len(t) < 10_000]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.strip_repeats(short).collect())
-    assert got == repeats(rows)
+    assert stripped(short) == repeats(rows)
+
+
+def test_runs_do_not_depend_on_pieces(monkeypatch):
+    texts = [t.encode() for _, t in mixed()]
+    whole = {tuple(map(int, x)) for x in zip(*suffix.runs(texts))}
+    starts = lambda found: {(t, s) for t, _, _, a, b, _, _ in found for s in range(a, b + 1)}
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    cut = {tuple(map(int, x)) for x in zip(*suffix.runs(texts))}
+    assert starts(whole) == starts(cut) == {(t, s) for t, x in enumerate(texts) for s in range(len(x) - suffix.PASSAGE + 1)}
+    anchor = lambda found: {(t, s): (h, p) for t, h, p, a, b, _, _ in found for s in range(a, b + 1)}
+    assert anchor(whole) == anchor(cut)
 
 
 def test_columns_by_brute_force():
@@ -187,7 +200,7 @@ def test_columns_by_brute_force():
     rows[30:, :25] = rows[:30, :25]
     rows[5, 30:] = 256
     group = np.repeat([0, 1, 2], 20)
-    got = suffix.sort_columns(rows, group, 6)
+    got = suffix.sort_columns(rows, group) >= 6
     for i in range(60):
         for c in range(40):
             s = rows[i, c : c + 6]
