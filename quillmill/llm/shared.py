@@ -25,6 +25,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read again; what was made of it must be settled."""
+    files = df.inputFiles()
+    if files:
+        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table in the shared folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

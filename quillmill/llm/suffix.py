@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle, slices
+from .shared import forget, settle, slices
 
 #: Bytes of a string that is removed if it repeats, and of one that is counted as a repeated passage.
 SPAN, PASSAGE = 400, 240
@@ -333,12 +333,15 @@ def _resolved(segments: DataFrame, group: int, level: int = 0) -> DataFrame:
 def repeats(base: DataFrame, group: int = GROUP) -> DataFrame:
     """(row, place, cut, seen), of texts as from _base: stretches, relative to place, of strings that start elsewhere too."""
     all_runs = settle(_runs(base), "runs")
-    several = all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # Written first, so that the join may split the runs of a frequent anchor.
+    several = settle(all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "shared-anchors")
     shared = settle(all_runs.join(several, "anchor", "left_semi").select(all_runs.columns), "shared-runs")
+    forget(all_runs)
     first = F.min(F.struct("row", "place", "lo", "hi")).alias("first")
     classes = settle(shared.groupBy("anchor", "segment").agg(F.count("*").alias("n"), first), "classes")
     segments = settle(_segments(base, classes.select("anchor", "segment", "n", "first.*")), "segments")
     found = settle(_resolved(segments, group), "found")
+    forget(segments)
     one = found.where("n = 1").select("row", "place", "cut", "seen")
     equal = shared.join(found.where("n > 1").select("anchor", "segment", "cut", "seen"), ["anchor", "segment"])
     return one.unionAll(equal.select("row", "place", "cut", "seen"))
