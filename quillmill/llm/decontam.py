@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-A window of a document has as many word shingles as a benchmark item; a shorter document is one window as a whole. Its SimHash is looked up in a multi-index of the
-items' SimHashes: with one block of bits more than the radius, every fingerprint within the radius shares a block.
+A window of a document has as many word shingles as a benchmark item; a shorter document is one window as a whole. Its
+SimHash is looked up in a multi-index of the SimHashes of all items of that size: with one block of bits more than the
+radius, every fingerprint within the radius shares a block, so the blocks alone say which items a window may match.
 Candidates are verified by the exact weighted Jaccard similarity of their shingles, repeats counted.
 
 Not every window is fingerprinted. One of w shingles that reaches the similarity t with an item of m holds at least
-t(w + m) / (1 + t) of the item's, and moving it to its first such shingle loses none of them. So the windows that begin at
-a shingle of an item and hold that many of it are all that can match; this leaves no match out.
+t(w + m) / (1 + t) shingles of items of that size, and moving it to its first such shingle loses none of them. So windows
+that begin at such a shingle and hold that many are all that can match; which item they belong to is left to the index.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.8
 RADIUS = 20
 #: Shingles of items, and documents with candidates, that may be broadcast; beyond it joins shuffle.
 BROADCAST_SHINGLES, BROADCAST_DOCS = 500_000, 200_000
-#: Counters of 16 bits, four in a long.
-LANES = 0x0001000100010001
 
 
 def words_of(text: Column) -> Column:
@@ -43,18 +42,15 @@ def with_shingles(df: DataFrame, size: int) -> DataFrame:
 
 
 def with_simhash(df: DataFrame, name: str) -> DataFrame:
-    """df with the SimHash of its ``shingles``, an array of 64-bit hashes: a bit is set if it is in over half of them. Up to 32,767 hashes."""
+    """df with the SimHash of its ``shingles``, an array of 64-bit hashes: a bit is set if it is in over half of them."""
+    one = F.lit(1).cast("long")
 
-    def lanes(k: int) -> Column:
-        """How often bits k, 16 + k, 32 + k and 48 + k are set, in a lane of 16 bits each."""
-        return F.aggregate("shingles", F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)))
+    def bit(b: Column) -> Column:
+        often = F.aggregate("shingles", F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(one))
+        return F.when(often * 2 > F.size("shingles"), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))
 
-    def bit(k: int, lane: int) -> Column:
-        often = F.shiftrightunsigned(F.get("counts", F.lit(k)), 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.size("shingles")
-        return F.when(often, F.shiftleft(F.lit(1).cast("long"), 16 * lane + k)).otherwise(F.lit(0).cast("long"))
-
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [bit(k, lane) for k in range(16) for lane in range(4)])
-    return df.withColumn("counts", F.array(*[lanes(k) for k in range(16)])).withColumn(name, bits).drop("counts")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
+    return df.withColumn(name, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
 def blocks(fingerprint: str, radius: int = RADIUS) -> Column:
@@ -86,38 +82,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SIMILARI
     items = item_shingles(benchmark, size)
     wide = F.least("long", "m")  # shingles of a window
     need = F.ceil((wide + F.col("m")) * (least / (1 + least)) - 1e-9).cast("int")
-    of_items = items.select("item_id", "k", "m", F.explode(F.array_distinct("shingles")).alias("shingle"))
-    of_items = _small(of_items, of_items.count(), BROADCAST_SHINGLES)
+    of_size = items.select("k", "m", F.explode("shingles").alias("shingle")).distinct()
+    of_size = _small(of_size, of_size.count(), BROADCAST_SHINGLES)
     ks = [r.k for r in items.select("k").distinct().collect()]  # 1 to size
     if not ks:
         return docs.sparkSession.createDataFrame([], "doc_id long, same long, item_id long, start int, similarity double")
     own = docs.select("doc_id", F.xxhash64("text").alias("same"), words_of(F.col("text")).alias("words"))
 
-    def shingled(rows: DataFrame, more: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [with_shingles(rows, k).select("doc_id", "same", F.lit(k).alias("k"), "shingles", *more) for k in ks])
+    def shingled(rows: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [with_shingles(rows, k).select("doc_id", "same", F.lit(k).alias("k"), "shingles") for k in ks])
 
     # Where shingles of items stand. The outer form: with the other, Spark derives a filter that computes all shingles a second time, the hashes anew for each.
-    each = shingled(own, []).select("doc_id", "same", "k", F.size("shingles").alias("long"), F.posexplode_outer("shingles").alias("pos", "shingle"))
-    hits = each.join(of_items, ["k", "shingle"]).groupBy("doc_id", "same", "long", "item_id", "k", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    each = shingled(own).select("doc_id", "same", "k", F.size("shingles").alias("long"), F.posexplode_outer("shingles").alias("pos", "shingle"))
+    hits = each.join(of_size, ["k", "shingle"]).groupBy("doc_id", "same", "long", "k", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     hits = hits.withColumn("need", need).where(F.size("at") >= F.col("need"))
     starts = F.filter("at", lambda p, i: F.get("at", i + F.col("need") - 1) < p + F.col("m"))
-    starts = hits.select("doc_id", "same", "item_id", "k", "m", "long", wide.alias("wide"), F.explode(starts).alias("p"))
+    starts = hits.select("doc_id", "same", "k", "m", "long", wide.alias("wide"), F.explode(starts).alias("p"))
     start = F.greatest(F.lit(0), F.least("p", F.col("long") - F.col("m"))).alias("start")  # at a text's end the window moves back
-    windows = settle(starts.select("doc_id", "same", "item_id", "k", "m", "wide", start).distinct(), "windows")
+    windows = settle(starts.select("doc_id", "same", "k", "m", "wide", start).distinct(), "windows")
     # Their fingerprints, from the documents that have some.
     found = windows.select("doc_id", "same").distinct()
     found = _small(found, found.count(), BROADCAST_DOCS)
     null_safe = docs.select("doc_id", "text").withColumn("same", F.xxhash64("text")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.same = f.same"), "left_semi")
-    again = shingled(null_safe.dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words_of(F.col("text")).alias("words")), [])
+    again = shingled(null_safe.dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words_of(F.col("text")).alias("words")))
     w = windows.alias("w").join(again.alias("a"), F.expr("w.doc_id <=> a.doc_id AND w.same = a.same AND w.k = a.k"))
     w = w.select("w.*", F.slice("a.shingles", F.col("w.start") + 1, F.col("w.wide")).alias("shingles"))
     w = settle(with_simhash(w, "fingerprint").withColumn("window", F.monotonically_increasing_id()), "fingerprints")
-    # The multi-index; a window is looked up among the items that it holds shingles of.
-    index = with_simhash(items, "theirs").select("item_id", "theirs", blocks("theirs", radius).alias("b")).select("item_id", "theirs", "b.*")
-    probe = w.select("window", "item_id", "fingerprint", blocks("fingerprint", radius).alias("b")).select("window", "item_id", "fingerprint", "b.*")
-    near = probe.join(index, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= radius).select("window").distinct()
+    # The multi-index: blocks of bits, among items of the window's size.
+    index = with_simhash(items, "theirs").select("item_id", "k", "m", "theirs", blocks("theirs", radius).alias("b")).select("item_id", "k", "m", "theirs", "b.*")
+    index = _small(index, items.count() * (radius + 1), BROADCAST_SHINGLES)
+    probe = w.select("window", "k", "m", "fingerprint", blocks("fingerprint", radius).alias("b")).select("window", "k", "m", "fingerprint", "b.*")
+    near = probe.join(index, ["k", "m", "block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= radius).select("window", "item_id").distinct()
     # The exact similarity of those.
-    ours = w.join(near, "window", "left_semi").select("window", "doc_id", "same", "item_id", "start", "m", "wide", F.explode("shingles").alias("shingle"))
+    ours = w.join(near, "window").select("window", "doc_id", "same", "item_id", "start", "m", "wide", F.explode("shingles").alias("shingle"))
     ours = ours.groupBy("window", "doc_id", "same", "item_id", "start", "m", "wide", "shingle").agg(F.count("*").alias("n"))
     theirs = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("n2"))
     shared = ours.join(theirs, ["item_id", "shingle"]).groupBy("window", "doc_id", "same", "item_id", "start", "m", "wide").agg(F.sum(F.least("n", "n2")).alias("both"))
@@ -134,7 +131,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
+    """The rows of docs, all columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay. Of rows with one doc_id only those with a text that matches go; equal rows go
+    or stay together. With an empty table of items all rows stay; an empty docs gives an empty result. Columns of any name
+    are passed on."""
     found = settle(matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct(), "leaks")
     found = _small(found, found.count(), BROADCAST_DOCS)
     return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._id")) & (F.xxhash64("d.text") == F.col("f._same")), "left_anti")
@@ -155,11 +156,11 @@ WITH d AS (
 ), icount AS (
   SELECT item_id, m, s, count(*) AS n2 FROM ish GROUP BY ALL
 ), win AS (
-  SELECT DISTINCT r, doc_id, item_id, m, greatest(0, least(pos, long - m)) AS start FROM dsh JOIN icount USING (s)
+  SELECT DISTINCT r, doc_id, item_id, m, least(long, m) AS wide, greatest(0, least(pos, long - m)) AS start FROM dsh JOIN icount USING (s)
 ), held AS (
   SELECT win.*, dsh.s, count(*) AS n FROM win JOIN dsh ON dsh.r = win.r AND dsh.pos >= start AND dsh.pos < start + m GROUP BY ALL
 ), scored AS (
-  SELECT doc_id, item_id, start, sum(least(n, n2)) / (2 * any_value(held.m) - sum(least(n, n2))) AS similarity
+  SELECT doc_id, item_id, start, sum(least(n, n2)) / (any_value(held.m) + any_value(wide) - sum(least(n, n2))) AS similarity
   FROM held JOIN icount USING (item_id, s) GROUP BY r, doc_id, item_id, start
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rank FROM scored WHERE similarity >= 0.8

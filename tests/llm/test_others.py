@@ -50,6 +50,35 @@ def test_leaks_of_texts_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {4, 7}
 
 
+def test_blocks_find_all_fingerprints_within_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 63), 1 << 63, 200, dtype=np.int64)
+    rows = []
+    for i, b in enumerate(base):
+        flips = rng.permutation(64)[: i % 25]
+        rows.append((i, int(b), int(np.bitwise_xor.reduce(np.append(np.array([b]), np.left_shift(np.int64(1), flips))))))
+    df = spark.createDataFrame(rows, "i long, a long, b long")
+    a = df.select("i", decontam.blocks("a").alias("x")).select("i", "x.*")
+    b = df.select("i", decontam.blocks("b").alias("x")).select("i", "x.*")
+    met = {r.i for r in a.join(b, ["i", "block", "bits"]).select("i").distinct().collect()}
+    assert {i for i in range(200) if i % 25 <= decontam.RADIUS} <= met
+
+
+def test_simhash_of_many_shingles(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64) for n in (1, 2, 7, 140_000)]
+    rows[3][:70_001] = -1  # over a half of them have every bit
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "i long, shingles array<long>")
+    got = {r.i: r.fp & (1 << 64) - 1 for r in decontam.with_simhash(df, "fp").select("i", "fp").collect()}
+    for i, x in enumerate(rows):
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        assert got[i] == int.from_bytes(np.packbits(bits * 2 > len(x), bitorder="little").tobytes(), "little")
+
+
 def test_archives(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb"
     rows = [(3, "http://WWW.b.org/x?q=1#t", "same"), (1, "http://a.org/y", "same"), (2, None, tricky), (5, "not a url \r\n", None), (4, "http://[bad", ""), (1, "http://a.org/y", "same"), (None, "http://c.org", "same"), (7, "http://a.org/y", "é漢")]
