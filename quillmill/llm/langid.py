@@ -25,8 +25,10 @@ MARK = "▁"
 SAMPLE_DOCS = 600
 #: Rounds of expectation maximisation after the first estimate.
 ROUNDS = 2
-#: Longer words are scored as consecutive parts of this many characters.
-WORD_CHARS = 32
+#: Words up to this long are taken by exact length; longer ones are filled up to one length with a character that no piece has.
+EXACT, NOTHING = 32, "\U0010ffff"
+#: Characters after which sums are scaled.
+SCALED = 16
 #: Probability of a character that no piece spells, and what every piece is taken to have been seen beside its count.
 UNKNOWN, UNSEEN = 1e-7, 0.02
 FOLDS, HELD_OUT = 5, 0
@@ -84,54 +86,77 @@ class Pieces:
             out = got if out is None else np.minimum(out, got)
         return out
 
-    def lattices(self, words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, int, dict]]:
-        """For words of one length at a time: their places in the list, that length with the mark, and by (start, end) the pieces there."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(length):
-            of_length = np.nonzero(length == n)[0]
-            for at in range(0, len(of_length), most):
-                some = of_length[at : at + most]
-                text = "".join([MARK + words[i] for i in some])
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(some), n + 1).astype(np.uint64)
-                found = {}
-                for start in range(n + 1):
-                    key = np.zeros(len(some), np.uint64)
-                    for end in range(start + 1, min(n + 1, start + self.longest) + 1):
-                        key = key + codes[:, end - 1] * self.powers[end - start - 1]
-                        found[start, end] = self.find(key)
-                yield some, n + 1, found
-
-
-def forward(found: dict, n: int, p: np.ndarray, longest: int) -> list[np.ndarray]:
-    """By end: the summed probability of all segmentations of what lies before, a column for each language."""
-    sums = [np.ones((len(found[0, 1]), p.shape[1]))]
+    def lattices(self, words: list[str], most: int = 8192, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For words of about one length at a time: their places in the list, their lengths with the mark, and the number of the piece of each (length - 1, start, word).
+
+        Words of up to EXACT characters are taken by length; longer ones go together with up to an eighth shorter ones. A
+        place behind a word's end has no piece."""
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(length, kind="stable")
+        at = 0
+        while at < len(order):
+            least = length[order[at]]
+            limit = least if least <= EXACT else least + least // 8
+            room = max(1, min(most, cells // (int(limit) * self.longest)))
+            some = order[at : at + room]
+            some = some[: np.searchsorted(length[some], limit, side="right")]
+            at += len(some)
+            n = int(length[some[-1]])
+            text = "".join([(MARK + words[i]).ljust(n, NOTHING) for i in some])
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(some), n).T.astype(np.uint64)
+            ids = np.full((min(self.longest, n), n, len(some)), len(self.pieces), np.int32)
+            key = np.zeros((n, len(some)), np.uint64)
+            for size in range(1, len(ids) + 1):
+                key = key[: n - size + 1] + codes[size - 1 :] * self.powers[size - 1]
+                ids[size - 1, : n - size + 1] = self.find(key)
+            yield some, length[some], ids
+
+
+def _here(p: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """The probabilities of pieces of one size; a character that no piece spells has UNKNOWN."""
+    here = p[ids]
+    return np.where((ids == len(p) - 1)[:, None], UNKNOWN, here) if size == 1 else here
+
+
+def forward(ids: np.ndarray, length: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By end: the summed probability of all segmentations of what lies before, a column for each language, times exp of what the second array has.
+
+    Sums are scaled as they go, so that words of any length are summed whole."""
+    longest, n, m = ids.shape
+    sums = np.zeros((n + 1, m, p.shape[1]))
+    logs = np.zeros((n + 1, m, p.shape[1]))
+    sums[0] = 1
     for end in range(1, n + 1):
-        total = 0
-        for start in range(max(0, end - longest), end):
-            here = p[found[start, end]]
-            if start == end - 1:
-                here = np.where((found[start, end] == len(p) - 1)[:, None], UNKNOWN, here)
-            total = total + sums[start] * here
-        sums.append(total)
-    return sums
-
-
-def backward(found: dict, n: int, p: np.ndarray, longest: int) -> list[np.ndarray]:
-    """By start: the summed probability of all segmentations of what lies behind."""
-    sums = [np.ones((len(found[0, 1]), p.shape[1]))] * (n + 1)
+        for size in range(1, min(longest, end) + 1):
+            sums[end] += sums[end - size] * _here(p, ids[size - 1, end - size], size)
+        logs[end] = logs[end - 1]
+        if end % SCALED == 0:
+            by = np.maximum(sums[end], 1e-300)
+            back = slice(max(0, end - longest + 1), end + 1)
+            sums[back] /= by
+            logs[back] += np.log(by)
+    return sums, logs
+
+
+def backward(ids: np.ndarray, length: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by start, of what lies behind up to each word's end."""
+    longest, n, m = ids.shape
+    sums = np.zeros((n + 1, m, p.shape[1]))
+    logs = np.zeros((n + 1, m, p.shape[1]))
+    sums[n, length == n] = 1
     for start in range(n - 1, -1, -1):
-        total = 0
-        for end in range(start + 1, min(n, start + longest) + 1):
-            here = p[found[start, end]]
-            if end == start + 1:
-                here = np.where((found[start, end] == len(p) - 1)[:, None], UNKNOWN, here)
-            total = total + here * sums[end]
-        sums[start] = total
-    return sums
-
-
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= WORD_CHARS else [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
+        sums[start, length == start] = 1
+        inside = length > start
+        for size in range(1, min(longest, n - start) + 1):
+            here = _here(p, ids[size - 1, start], size)
+            sums[start] += np.where(inside[:, None], here * sums[start + size], 0)
+        logs[start] = logs[start + 1]
+        if (n - start) % SCALED == 0:
+            by = np.where(sums[start] > 0, sums[start], 1)
+            on = slice(start, min(n + 1, start + longest))
+            sums[on] /= by
+            logs[on] += np.log(by)
+    return sums, logs
 
 
 def vocabulary(model: str | None = None) -> list[str]:
@@ -168,7 +193,7 @@ def learn(docs: DataFrame, model: str | None = None, most: int = SAMPLE_DOCS, ro
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                frame = pd.DataFrame({"lang": part.column(0).to_pylist(), "word": [[x for w in words_of(t) for x in parts(w)] for t in part.column(1).to_pylist()]})
+                frame = pd.DataFrame({"lang": part.column(0).to_pylist(), "word": [words_of(t) for t in part.column(1).to_pylist()]})
                 rows = frame.explode("word").dropna().groupby(["lang", "word"]).size().reset_index(name="n")
                 if len(rows):
                     yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
@@ -186,16 +211,21 @@ def learn(docs: DataFrame, model: str | None = None, most: int = SAMPLE_DOCS, ro
                     lang = np.array([known[x] for x in batch.column(0).to_pylist()])
                     n = batch.column(2).to_numpy().astype(float)
                     counts = np.zeros((len(langs), len(pieces) + 1))
-                    for some, size, found in table.lattices(words):
+                    for some, length, found in table.lattices(words):
                         for x in np.unique(lang[some]):
                             own = lang[some] == x
-                            mine, weight = {k: v[own] for k, v in found.items()}, n[some][own]
+                            mine, weight = found[:, :, own], n[some][own]
                             if p.any():
                                 q = p[:, [x]]
-                                ahead, behind = forward(mine, size, q, table.longest), backward(mine, size, q, table.longest)
-                            for (start, end), ids in mine.items():
-                                w = weight if not p.any() else weight * (ahead[start] * q[ids] * behind[end] / ahead[size])[:, 0]
-                                counts[x] += np.bincount(ids, w, len(pieces) + 1)
+                                (ahead, up), (behind, down) = forward(mine, length[own], q), backward(mine, length[own], q)
+                                whole = behind[0, :, 0]
+                            for size, ids in enumerate(mine, 1):
+                                ids = ids[: len(ids) - size + 1]
+                                w = np.broadcast_to(weight, ids.shape)
+                                if p.any():
+                                    scale = np.exp(up[: len(ids), :, 0] + down[size:, :, 0] - down[0, :, 0])
+                                    w = weight * ahead[: len(ids), :, 0] * q[ids, 0] * behind[size:, :, 0] * scale / whole
+                                counts[x] += np.bincount(ids.ravel(), w.ravel(), len(pieces) + 1)
                     x, i = np.nonzero(counts[:, :-1])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(i), pa.array(counts[x, i])], names=["lang", "piece", "n"])
 
@@ -214,14 +244,16 @@ def learn(docs: DataFrame, model: str | None = None, most: int = SAMPLE_DOCS, ro
 
 def score_texts(table: Pieces, langs: list[str], p: np.ndarray, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """The most likely language of each text and its share; ``und`` and 0 where there is no letter or no language."""
-    words = [[x for w in words_of(t) for x in parts(w)] if t and langs else [] for t in texts]
+    words = [words_of(t) if t and langs else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     if sizes.sum():
         codes, distinct = pd.factorize(np.array([x for w in words for x in w], dtype=object))
         logs = np.zeros((len(distinct), len(langs)))
-        for some, size, found in table.lattices(list(distinct)):
-            logs[some] = np.log(np.maximum(forward(found, size, p, table.longest)[size], 1e-300))
+        for some, length, found in table.lattices(list(distinct)):
+            sums, scale = forward(found, length, p)
+            own = np.arange(len(some))
+            logs[some] = np.log(np.maximum(sums[length, own], 1e-300)) + scale[length, own]
         full = np.nonzero(sizes)[0]
         total = np.add.reduceat(logs[codes], (np.cumsum(sizes) - sizes)[full], axis=0)
         best[full] = total.argmax(axis=1)
