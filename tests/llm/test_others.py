@@ -154,6 +154,72 @@ def test_simple_tree_matching():
     assert [x.tag for x, _ in html.align(a, b)].count("li") == 1 and len(html.align(a, b)) == 5
 
 
+@pytest.mark.parametrize("cells", [html.CELLS, 4])
+def test_alignment_by_brute_force(monkeypatch, cells):
+    import random
+
+    rng = random.Random(1)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "section", "b"], k=rng.randint(0, 4)))
+
+    def best(a, b):
+        if a.path.rsplit("/")[-1] != b.path.rsplit("/")[-1]:
+            return 0
+        x, y = a.kids, b.kids
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x, 1):
+            for j, q in enumerate(y, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + best(p, q))
+        return table[-1][-1] + 1
+
+    monkeypatch.setattr(html, "CELLS", cells)
+    for _ in range(120):
+        a, b = html.parse(page(2)), html.parse(page(2))
+        pairs = html.align(a, b)
+        below = {id(x): y for x, y in pairs}
+        assert len(below) == len(pairs) == len({id(y) for _, y in pairs})
+        assert all(below[id(x.parent)] is y.parent for x, y in pairs if x.parent is not None)
+        if cells > 4:
+            assert len(pairs) == best(a, b)
+
+
+def test_pages_of_very_many_siblings():
+    a = html.parse("<body><h1>q</h1>" + "<p>x</p>" * 50_000)
+    b = html.parse("<body>" + "<p>x</p>" * 49_000 + "<div>e</div>")
+    assert len(html.align(a, b)) == 49_002
+    frame = html.Frame("<body><div class=top>Shop</div><div class=x><p>one</p></div></body>").decide({1: 3, 2: 2, 3: 1}, 3)
+    page = "<body><div class=top>Shop</div><div class=x>" + "".join(f"<p>line {i}<h2>head {i}</h2>" for i in range(25_000)) + "</div></body>"
+    assert html.main_text(page, frame).split("\n") == [x for i in range(25_000) for x in (f"line {i}", f"head {i}")]
+
+
+def test_the_wrapper_decides_where_no_name_does(spark):
+    """Labelled pages of four hosts whose frames outweigh their articles and name nothing."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(4):
+        frame = [say(30) for _ in range(12)]
+        box = ["div", "section", "table", "center"][h]
+        for i in range(3 + 4 * h):
+            lines = [say(6) for _ in range(1 + i % 4)] + ["The end of each of them"][: h % 2]
+            body = "".join(f"<p>{x}</p>" for x in lines[: 1 + i % 4])
+            page = f"<body><{box}>" + "".join(f"<div class=a>{x}</div>" for x in frame[:6]) + f"</{box}><div class=z>{body}</div>" + "".join(f"<div class=b>{x}</div>" for x in frame[6:]) + "</body>"
+            want[len(rows)] = "\n".join(lines[: 1 + i % 4])
+            rows.append((len(rows), f"http://host{h}.org/{i}", page))
+    rows += [(None, "http://host1.org/x", rows[3][2]), (900, "http://host9.org/a", "<body><div>Alone</div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == want | {None: want[3], 900: "Alone"}
+
+
+def test_lines_of_an_article_that_equal_template_stay(spark):
+    page = "<body><p>Welcome</p><article><p>{a}</p><p>Welcome</p><p>Same on all</p></article><p>Bye</p></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(a=f"Text {i}")) for i in range(5)]
+    got = {r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {f"Text {i}\nWelcome\nSame on all" for i in range(5)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))
