@@ -15,6 +15,14 @@ PAGE_CHARS, ONE_PAGE_CHARS = 3_000, 5_000
 BRIEF = ["3 bullet points", "summarize", "brief", "short", "concise", "in short", "quick summary"]
 # Words that are never counted in a word cloud, beside the stop words of the language.
 NOT_COUNTED = "u n r ur nthe said like cyou nhe ni ci us introduction conclusion method results page image img png jpg svg".split()
+# The common English stop words, as a word cloud sees them, without apostrophes.
+ENGLISH = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at "
+    "by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where "
+    "why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn "
+    "didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
 # Blanks of spreadsheets that count as spaces.
 SHEET_BLANKS = " ​‌‍﻿"
 
@@ -145,12 +153,12 @@ def summary_calls(text: Column) -> Column:
 
 
 def cloud_words(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Words that a word cloud counts, repeats included."""
+    """Words that a word cloud counts, repeats included (T13); stop_words are English unless given."""
     clean = F.replace(F.lower(text), F.lit("\n"), F.lit(" "))
     clean = F.regexp_replace(clean, r"\b[nur]\b", " ")
     clean = F.regexp_replace(clean, r"\\u[0-9a-f]{4}", " ")
     clean = F.regexp_replace(clean, r"[^a-z\s]", " ")
-    skip = F.array(*map(F.lit, sorted({*NOT_COUNTED, *(stop_words or [])})))
+    skip = F.array(*map(F.lit, sorted({*NOT_COUNTED, *(ENGLISH if stop_words is None else stop_words)})))
     return F.filter(words(clean), lambda w: ~F.array_contains(skip, w))
 
 

@@ -63,10 +63,30 @@ def source_counts(citations: DataFrame, web: DataFrame) -> DataFrame:
     return both.select("query_id", (F.coalesce("documents", F.lit(0)) + F.coalesce("web", F.lit(0))).alias("sources"))
 
 
-def joined_text(docs: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The texts of each group, one after the other, by a space (A5); for groups whose texts fit in a row."""
+def joined_text(docs: DataFrame, by: list[str], order: str, segment: int = 64) -> DataFrame:
+    """(by, part, text): the texts of each group one after the other, by a space (A5), in parts of ``segment`` numbers of ``order``, a
+    whole column; a writer puts parts behind one another. So no group has to fit in a row."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
-    return docs.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
+    part = F.floor(F.col(order) / segment).cast("long").alias("part")
+    return docs.groupBy(*by, part).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
+
+
+def ordered_distinct(values: Column) -> Column:
+    """An array's different values in the order in which they first come."""
+    return F.array_distinct(values)
+
+
+def token_counter(path: str) -> Callable[[str], int]:
+    """Counts by a tokenizer file of ranks (T11): lines of a base64 token and its rank, as tiktoken reads them."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+"
+    encoding = tiktoken.Encoding(name="given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text))
 
 
 def estimated_tokens(text: Column) -> Column:

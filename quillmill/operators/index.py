@@ -1,11 +1,14 @@
-"""The chunk index: tables by user and thread, upserts and rebuilding."""
+"""The chunk index: chunks, postings and their statistics by user and thread, upserts and rebuilding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_table
+from ..functions.text import chunk_table, tokens
+from .retrieve import ranked_by_terms, statistics
+
+OWNER = ["user_id", "thread_id"]
 
 
 def keep_latest(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -15,13 +18,46 @@ def keep_latest(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFr
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_age")
 
 
-def write_index(chunks: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """K2, K4: the table, partitions by user and thread so that a search reads its own only."""
-    by = [c for c in by or ["user_id", "thread_id"] if c in chunks.columns]
-    (chunks.repartition(*by) if by else chunks).write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_index(chunks: DataFrame, path: str, by: list[str] | None = None, sort: str | None = None) -> None:
+    """K2, K4: a table in partitions by user and thread, so that a search reads its own only. The partitions that ``chunks`` has
+    are replaced, all others stay. A large thread is written by several tasks."""
+    by = [c for c in (OWNER if by is None else by) if c in chunks.columns]
+    dealt = chunks.hint("rebalance", *by) if by else chunks
+    dealt = dealt.sortWithinPartitions(*by, sort) if sort else dealt
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if by else "static").partitionBy(*by).parquet(path)
 
 
 def reindex(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
-    """The whole index anew from parsed documents (doc_id, text)."""
-    write_index(chunk_table(parsed), path, [])
-    return spark.read.parquet(path)
+    """The chunks of parsed documents (doc_id, text, and user_id and thread_id where there are some) anew, with their postings."""
+    by = [c for c in OWNER if c in parsed.columns]
+    chunks = chunk_table(parsed)
+    if by:
+        owned = parsed.select(*by, F.col("doc_id").alias("document_id"))
+        chunks = chunks.join(owned, "document_id")
+    write_index(chunks, f"{path}/chunks", by)
+    write_postings(chunks.select(*by, "chunk_id", F.col("content").alias("text")), path)
+    return spark.read.parquet(f"{path}/chunks")
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """K4: of chunks (chunk_id, text, user_id and thread_id where there are some) the postings, sorted by term, and the statistics
+    of each thread: how many chunks, their mean length, and the df and idf of each term."""
+    by = [c for c in OWNER if c in chunks.columns]
+    own = chunks.select(*by, "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    postings = own.select(*by, "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*by, "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    write_index(postings, f"{path}/postings", by, "term")
+    terms, whole = statistics(own, by)
+    write_index(terms, f"{path}/terms", by, "term")
+    write_index(whole, f"{path}/whole", by)
+
+
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
+    """S20, R4 over a written index: (query_id, rank, chunk_id, score) of the questions (query_id, text), in one thread's partitions if it is named."""
+
+    def read(name: str) -> DataFrame:
+        found = spark.read.parquet(f"{path}/{name}")
+        for column, value in zip(OWNER, (user, thread)):
+            found = found if value is None else found.where(F.col(column) == value)
+        return found.drop(*OWNER)
+
+    return ranked_by_terms(read("postings"), read("terms"), read("whole"), questions, k)

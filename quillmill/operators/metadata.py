@@ -4,7 +4,7 @@ Each edit is a column expression that leaves all other threads as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHAT = "struct<role:string,text:string,ts:bigint>"
@@ -66,11 +66,36 @@ def totals(users: DataFrame) -> DataFrame:
 
 
 def create_users(users: DataFrame, new: DataFrame) -> DataFrame:
-    """M1: users and the new ones whose id and e-mail nobody has yet, names in title case; of equal new ones the first by id."""
-    fresh = new.dropDuplicates(["email"]).join(users.select("email"), "email", "left_anti").join(users.select("user_id"), "user_id", "left_anti")
+    """M1: users and the new ones whose id and e-mail nobody has yet, names in title case. Of new ones with one id or one e-mail only
+    the first by id and name enters; one that gives way to another keeps no e-mail from a third."""
+    fresh = new.join(users.select("email"), "email", "left_anti").join(users.select("user_id"), "user_id", "left_anti")
+    for key in ("user_id", "email"):
+        order = Window.partitionBy(key).orderBy("user_id", "name", "email")
+        fresh = fresh.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
     return users.unionByName(fresh.withColumn("name", F.initcap("name")).select(*users.columns))
 
 
+def extra_done(thread: str, done: Column | None = None) -> Column:
+    """M8: whether a thread's extras are made, from a column ``extras`` (map of thread id to boolean); with ``done`` that map after it is set."""
+    if done is None:
+        return F.coalesce(F.element_at("extras", thread), F.lit(False))
+    rest = F.map_filter(F.coalesce("extras", F.create_map().cast("map<string,boolean>")), lambda k, v: k != thread)
+    return F.map_concat(rest, F.create_map(F.lit(thread), done))
+
+
+def profile(users: DataFrame, user: str) -> DataFrame:
+    """One user's record, without what is private."""
+    return users.where(F.col("user_id") == user).drop("_id", "password")
+
+
+def thread_order(users: DataFrame, by: str = "updated") -> DataFrame:
+    """C4: (user_id, position, thread) of each user's threads by name, or the newest ``created`` or ``updated`` first; ties by thread id."""
+    rows = users.select("user_id", F.explode(F.map_entries("threads")).alias("e")).select("user_id", F.col("e.key").alias("thread"), "e.value.*")
+    first = F.col("name").asc() if by == "name" else F.col(by).desc()
+    order = Window.partitionBy("user_id").orderBy(first, "thread")
+    return rows.select("user_id", (F.row_number().over(order) - 1).alias("position"), "thread")
+
+
 def invalid(users: DataFrame) -> DataFrame:
     """Records that break the rules: no id, an e-mail without @, a chat of a role that there is not."""
     roles = F.exists(F.map_values("threads"), lambda t: F.exists(t["chats"], lambda c: ~c["role"].isin("agent", "user")))

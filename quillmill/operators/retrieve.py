@@ -6,7 +6,6 @@ A ranked list is a table (query_id, rank from 0, document_id, page_no, chunk_ind
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,64 +16,74 @@ from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
-#: Questions that are sent to the tasks at once.
-QUERY_BLOCK = 4096
+#: Vectors, and questions, in a block.
+BLOCK = 4096
 #: Query terms that may be broadcast; beyond it the join shuffles.
 BROADCAST_TERMS = 500_000
 
 
+def _packed(vectors: DataFrame, name: str) -> DataFrame:
+    """vectors (name, embedding, label) in rows of up to BLOCK of them: ids, labels and the numbers as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.array(part.column(1).to_pylist(), dtype=float)
+                columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "labels", "numbers"])
+
+    return vectors.where("embedding IS NOT NULL").select(F.col(name).cast("long"), "embedding", F.col("label").cast("long")).mapInArrow(run, "ids array<long>, labels array<long>, numbers binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors with the largest dot product, ties by vec_id (R2).
 
     vectors: vec_id, embedding, label. queries: the same with query_id; with ``filtered`` only vectors of the query's label
-    count. Each task keeps its own k best of each query, so little is shuffled. Queries go to the tasks in blocks."""
-    names = ["query_id", "vec_id", "score"]
-    parts = []
-    block: list = []
-
-    def scan(block: list) -> DataFrame:
-        ids, labels = [q.query_id for q in block], np.array([q.label for q in block])
-        wanted = np.array([q.embedding for q in block], dtype=float)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), dtype=float)
-                scores = wanted @ x.T
+    count. Blocks of queries meet blocks of vectors on the executors; a task keeps its own k best of each of its queries, so
+    little is shuffled and nothing passes the driver."""
+    blocks = _packed(queries, "query_id").toDF("q_ids", "q_labels", "q_numbers")
+    meeting = _packed(vectors, "vec_id").crossJoin(blocks)  # a stated set of queries against all vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, labels, raw, q_ids, q_labels, q_raw = (batch.column(i)[r].as_py() for i in range(6))
+                own, x, q = np.array(ids), np.frombuffer(raw).reshape(len(ids), -1), np.frombuffer(q_raw).reshape(len(q_ids), -1)
+                scores = q @ x.T
                 if filtered:
-                    scores[labels[:, None] != batch.column(2).to_numpy()[None, :]] = -np.inf
-                for i, row in enumerate(scores):
-                    s, v = np.concatenate([best[i][0], row]), np.concatenate([best[i][1], own])
+                    alike = np.array([-1 if y is None else y for y in q_labels])[:, None] == np.array([-2 if y is None else y for y in labels])[None, :]
+                    scores[~alike] = -np.inf
+                for query, row in zip(q_ids, scores):
+                    s, v = best.get(query, (np.zeros(0), np.zeros(0, np.int64)))
+                    some = np.arange(len(row))
+                    if len(row) > k:  # all that may be among the k best, ties included
+                        some = np.nonzero(row >= np.partition(row, len(row) - k)[len(row) - k])[0]
+                    s, v = np.append(s, row[some]), np.append(v, own[some])
                     top = np.lexsort((v, -s))[:k]
-                    best[i] = s[top], v[top]
-            rows = [(ids[i], int(v), float(s)) for i, found in enumerate(best) for s, v in zip(*found) if s > -np.inf]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-
-        return vectors.select("vec_id", "embedding", "label").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for q in queries.select("query_id", "embedding", "label").toLocalIterator():
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            parts.append(scan(block))
-            block = []
-    parts.append(scan(block)) if block or not parts else None
+                    best[query] = s[top], v[top]
+        rows = [(q, int(v), float(s)) for q, found in best.items() for s, v in zip(*found) if s > -np.inf]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+
+    found = meeting.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "score")
 
 
-def statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of chunks (chunk_id, tokens): the term table (term, df, idf) and a row (n, mean_length).
+def statistics(chunks: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of chunks (chunk_id, tokens): the term table (term, df, idf) and a row (n, mean_length), or those of each value of ``by``.
 
     idf = ln((n - df + 0.5) / (df + 0.5)); where it is negative, EPSILON times the mean over all terms stands for it."""
-    whole = chunks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    df = chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = whole.select("n")
-    idf = df.join(F.broadcast(n)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    return idf.select("term", "df", "idf"), whole
+    by = by or []
+    whole = chunks.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    df = chunks.select(*by, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    beside = lambda left, right: left.join(right, by) if by else left.join(F.broadcast(right))
+    idf = beside(df, whole.select(*by, "n")).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = idf.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
+    idf = beside(idf, mean).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
+    return idf.select(*by, "term", "df", "idf"), whole
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -83,14 +92,23 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     chunks: chunk_id, text. questions: query_id, text; a repeated query term counts again."""
     own = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     terms, whole = statistics(own)
-    asked = questions.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    vocabulary = asked.select("term").distinct()
-    asked = asked.join(terms.select("term", "idf"), "term")
-    if vocabulary.count() <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
     # Only terms that are asked for are counted by chunk.
-    postings = own.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+    postings = own.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(_small_terms(_asked(questions).select("term").distinct()), "term", "left_semi")
     postings = postings.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    return ranked_by_terms(postings, terms, whole, questions, k)
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def _small_terms(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def ranked_by_terms(postings: DataFrame, terms: DataFrame, whole: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The list of ``bm25`` from postings (chunk_id, length, term, tf), terms (term, idf) and one row (n, mean_length)."""
+    asked = _asked(questions).join(terms.select("term", "idf"), "term")
     part = F.col("idf") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = postings.join(asked, "term").join(F.broadcast(whole)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
@@ -153,6 +171,17 @@ def multi_document(per_document: DataFrame, overall: DataFrame, documents: int,
     return first.unionByName(more).withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < total).drop("_part", "_a", "_b")
 
 
+def context(title: Column, content: Column) -> Column:
+    """How a retrieved chunk stands in a prompt."""
+    return F.format_string("[Document: %s]\n\n%s", title, content)
+
+
+def node_context(ranked: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, context): the contents of the k best of each ranked list (query_id, rank, content), by a blank line."""
+    first = F.array_sort(F.collect_list(F.struct("rank", "content")))
+    return ranked.where(F.col("rank") < k).groupBy("query_id").agg(F.array_join(F.transform(first, lambda x: x["content"]), "\n\n").alias("context"))
+
+
 def check_dimension(vectors: DataFrame, size: int) -> DataFrame:
     """vectors, with an error at the first whose length is not ``size``."""
     message = F.concat(F.lit(f"expected {size} components, got "), F.size("embedding").cast("string"))

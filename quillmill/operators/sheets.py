@@ -33,6 +33,38 @@ def header_rows(rows: DataFrame) -> DataFrame:
     return best.join(above.agg(F.array_join(lines, "\n").alias("context")), "sheet", "left")
 
 
+def header_levels(headers: DataFrame, merged: DataFrame, most: int = 10) -> DataFrame:
+    """headers (sheet, header_row, ...) with ``levels``, the rows that name the columns (S9): with cells merged across columns within a
+    row of the header, that row and the one below if it is among the first ten; else the header's row alone.
+
+    merged: sheet, row_no, last_row, column, last_column."""
+    wide = merged.where("last_column > column AND row_no = last_row").select(F.col("sheet").alias("_sheet"), F.col("row_no").alias("_row"))
+    near = headers.join(wide, (F.col("sheet") == F.col("_sheet")) & (F.abs(F.col("_row") - F.col("header_row")) <= 1), "left")
+    first = near.groupBy(*headers.columns).agg(F.min("_row").alias("_row"))
+    two = F.col("_row").isNotNull() & (F.col("_row") + 1 < most)
+    return first.select(*headers.columns, F.when(two, F.array(F.col("_row"), F.col("_row") + 1)).otherwise(F.array("header_row")).alias("levels"))
+
+
+def column_names(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(sheet, names): each sheet's column names by its header of one row or two, flattened and made different.
+
+    headers: sheet, levels. A merged parent names the columns up to the next."""
+    named = rows.join(headers.select("sheet", "levels"), "sheet").where(F.array_contains("levels", F.col("row_no")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"])
+    kind = "array<string>"
+
+    @F.udf(kind)
+    def names(levels: list) -> list[str]:
+        above, below = (levels[0], levels[-1]) if len(levels) > 1 else (None, levels[0])
+        columns, parent = [], None
+        for i, cell in enumerate(below):
+            parent = (above[i] if above and i < len(above) and above[i] else parent) if above else None
+            columns.append((parent, cell) if above else (cell,))
+        return unique_names([sql_name(n) for n in flat_names(columns)])
+
+    return named.groupBy("sheet").agg(names(parts).alias("names"))
+
+
 def sheet_text(rows: DataFrame) -> DataFrame:
     """(sheet, text): the rows of each sheet that are not empty, as a table of bars."""
     clean = F.transform("cells", lambda c: F.coalesce(F.trim(F.regexp_replace(c, "[ ​-‍﻿\n]+", " ")), F.lit("")))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, hierarchy, metadata, rerank, retrieve
+from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve
 from ..streaming import ingest
 from ..session import read_spread
-from .sql_queries import DUCK, SQL
+from . import sqlsurface
+from .sql_queries import DUCK, SQL, SURFACE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,18 @@ for _name, _statement in SQL.items():
     _sql(_name, _statement)
 
 
+def _surface(name: str, statement: str, oracle: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = sqlsurface.session_with(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES if t in statement})
+        return sqlsurface.select(own, statement)
+
+    QUERIES[name], ORACLES[name] = query, oracle
+
+
+for _name, (_statement, _oracle) in SURFACE.items():
+    _surface(_name, _statement, _oracle)
+
+
 def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -88,7 +102,7 @@ def answer_style(spark, d):
 
 _CLOUD = (
     "list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), chr(10), ' '), '\\b[nur]\\b', ' ', 'g'), '\\\\u[0-9a-f]{4}', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), ' '), "
-    "lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(T.NOT_COUNTED)) + "], w))"
+    "lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted({*T.NOT_COUNTED, *T.ENGLISH})) + "], w))"
 )
 
 
@@ -363,9 +377,9 @@ def subtree_sizes(spark, d):
     return hierarchy.subtree_sizes(mindmap_tree(spark, d))
 
 
-@query("SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY source")
+@query("SELECT source, doc_id // 64 AS part, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY ALL")
 def joined_text(spark, d):
-    """The texts of each source behind one another."""
+    """The texts of each source behind one another, in parts."""
     return analytics.joined_text(documents(spark, d), ["source"], "doc_id")
 
 
@@ -374,3 +388,119 @@ def source_counts(spark, d):
     web = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("query_id"))
     cited = _cited(spark, d)
     return analytics.source_counts(cited, web.join(cited.select("query_id"), "query_id", "left_semi"))
+
+
+# Index, records, context
+
+
+@query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})")
+def index_search(spark, d):
+    """The same search over a written index of postings and statistics."""
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/index-{uuid.uuid4().hex}"
+    index.write_postings(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    found = index.search(spark, path, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return _round(found.withColumnRenamed("chunk_id", "doc_id"), "score")
+
+
+@query("SELECT p_partkey AS chunk_id, CASE WHEN p_size % 3 = 0 THEN 'new' ELSE p_name END AS content FROM part WHERE p_size % 3 = 0 OR p_partkey % 2 = 0")
+def index_upsert(spark, d):
+    """Chunks that are written anew replace those of the same id."""
+    parts = table(spark, d, "part").withColumnRenamed("p_partkey", "chunk_id")
+    old = parts.where("chunk_id % 2 = 0").select("chunk_id", F.col("p_name").alias("content"))
+    return index.keep_latest(old, parts.where("p_size % 3 = 0").select("chunk_id", F.lit("new").alias("content")))
+
+
+@query("SELECT conv_id AS query_id, turn % 3 AS document_id, count(*) AS chunks FROM conversations GROUP BY ALL")
+def chunks_per_document(spark, d):
+    return analytics.chunks_per_document(table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") % 3).alias("document_id")))
+
+
+@query("SELECT conv_id, turn, '[Document: ' || role || ']' || chr(10) || chr(10) || text AS context FROM conversations WHERE text IS NOT NULL")
+def prompt_context(spark, d):
+    return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", retrieve.context(F.col("role"), F.col("text")).alias("context"))
+
+
+@query("SELECT conv_id AS query_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations WHERE text IS NOT NULL) WHERE r < 8 GROUP BY conv_id")
+def node_context(spark, d):
+    turns = table(spark, d, "conversations").where("text IS NOT NULL")
+    ranked = turns.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    return retrieve.node_context(ranked.select(F.col("conv_id").alias("query_id"), "rank", F.col("text").alias("content")))
+
+
+@query("SELECT vec_id, 64::BIGINT AS size FROM embeddings")
+def dimension_check(spark, d):
+    return retrieve.check_dimension(table(spark, d, "embeddings"), 64).select("vec_id", F.size("embedding").cast("long").alias("size"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[\x00\n\t]+', ' ', 'g') AS line FROM documents")
+def prompt_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"))
+
+
+@query("SELECT doc_id, trim('answer ' || coalesce(text, '')) AS answer FROM documents")
+def reasoning_strip(spark, d):
+    """Each text as an answer behind marked reasoning, which goes."""
+    marked = F.concat(F.lit("<think>first\nthis</think>answer "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", T.without_reasoning(marked).alias("answer"))
+
+
+@query("SELECT c_custkey, trim(c_name || ' x') AS cell FROM customer")
+def cell_cleaning(spark, d):
+    cell = F.concat(F.lit("\u00a0"), F.col("c_name"), F.lit("\u200b\ufeff\u00a0x\n"))
+    return table(spark, d, "customer").select("c_custkey", T.clean_cell(cell).alias("cell"))
+
+
+@query("SELECT source, list(DISTINCT lang ORDER BY lang) FILTER (WHERE lang IS NOT NULL) AS langs FROM documents GROUP BY source")
+def ordered_distinct(spark, d):
+    docs = table(spark, d, "documents").where("lang IS NOT NULL").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    every = table(spark, d, "documents").select("source").distinct()
+    return every.join(docs.select("source", analytics.ordered_distinct(F.array_sort(F.concat("langs", "langs"))).alias("langs")), "source", "left")
+
+
+_USERS = "SELECT 'u' || conv_id AS user_id"
+
+
+@query(f"{_USERS}, 2::BIGINT AS made, 0::BIGINT AS cleared, 1::BIGINT AS deleted FROM conversations GROUP BY conv_id")
+def metadata_threads(spark, d):
+    """Threads made, cleared and deleted in every record."""
+    users = metadata.from_conversations(table(spark, d, "conversations"))
+    users = users.withColumn("threads", metadata.create_thread("t2", "second", 7)).withColumn("made", F.size("threads").cast("long"))
+    users = users.withColumn("threads", metadata.clear_chats("t1")).withColumn("cleared", F.size(F.element_at("threads", "t1")["chats"]).cast("long"))
+    users = users.withColumn("threads", metadata.delete_thread("t2"))
+    return users.select("user_id", "made", "cleared", F.size("threads").cast("long").alias("deleted"))
+
+
+@query(f"{_USERS}, 'd' || conv_id || '_2' AS doc_id FROM conversations GROUP BY conv_id")
+def metadata_find_document(spark, d):
+    users = metadata.from_conversations(table(spark, d, "conversations"))
+    own = F.array(*[F.struct(F.concat(F.lit("d"), F.substring("user_id", 2, 20), F.lit(f"_{i}")).alias("doc_id"), F.lit(f"file{i}").alias("file_name")) for i in (1, 2)])
+    users = users.withColumn("threads", metadata.append("t1", "documents", own, 3))
+    return users.select("user_id", metadata.find_document("t1", "file2")["doc_id"].alias("doc_id"))
+
+
+@query(f"{_USERS}, position, CASE WHEN position = 0 THEN 't1' ELSE 't2' END AS thread FROM (SELECT DISTINCT conv_id FROM conversations), range(2) p(position)")
+def thread_order(spark, d):
+    users = metadata.from_conversations(table(spark, d, "conversations")).withColumn("threads", metadata.create_thread("t2", "abc", -1))
+    return metadata.thread_order(users, "updated").withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"{_USERS}, conv_id % 2 = 0 AS before, true AS after FROM conversations GROUP BY conv_id")
+def extra_done_flag(spark, d):
+    users = metadata.from_conversations(table(spark, d, "conversations")).withColumn("extras", F.create_map(F.lit("t1"), F.substring("user_id", 2, 20).cast("long") % 2 == 0))
+    return users.withColumn("before", metadata.extra_done("t1")).withColumn("extras", metadata.extra_done("t1", F.lit(True))).select("user_id", "before", metadata.extra_done("t1").alias("after"))
+
+
+@query("SELECT c_custkey::VARCHAR AS user_id, c_name AS name, c_custkey || '@x' AS email FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 's' || s_suppkey, 'New User', 's' || s_suppkey || '@x' FROM supplier")
+def create_users(spark, d):
+    """Suppliers as new users twice, and customers that are users already."""
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("name"), F.concat(F.col("c_custkey").cast("string"), F.lit("@x")).alias("email"))
+    key = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    s = table(spark, d, "supplier").select(key.alias("user_id"), F.lit("new user").alias("name"), F.concat(key, F.lit("@x")).alias("email"))
+    again = s.withColumn("user_id", F.concat(F.lit("z"), "user_id"))
+    return metadata.create_users(c, s.unionByName(again).unionByName(c))
+
+
+@query("SELECT 'u7' AS user_id, count(*) AS chats FROM conversations WHERE conv_id = 7 HAVING count(*) > 0")
+def user_profile(spark, d):
+    found = metadata.profile(metadata.from_conversations(table(spark, d, "conversations")).withColumn("password", F.lit("x")), "u7")
+    return metadata.totals(found).select("user_id", "chats")

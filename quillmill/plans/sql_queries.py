@@ -61,3 +61,12 @@ DUCK = {
     "sql_intdiv": "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS week FROM lineitem",
     "sql_scalar_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
+
+#: Statements as the tables' users write them, which go through the guard and the translation, and the same in DuckDB.
+SURFACE = {
+    "surface_concat": ("SELECT n_regionkey, group_concat(DISTINCT n_regionkey) AS names, total(n_nationkey) AS total FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(DISTINCT n_regionkey::VARCHAR, ',') AS names, sum(n_nationkey)::DOUBLE AS total FROM nation GROUP BY n_regionkey"),
+    "surface_like": ("SELECT \"c_custkey\", [c_name] FROM customer WHERE c_name LIKE 'cUSTOMER%1' AND c_mktsegment GLOB '[A-F]*I?G'", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE 'cUSTOMER%1' AND regexp_matches(c_mktsegment, '^[A-F].*I.G$')"),
+    "surface_limit": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS price FROM orders ORDER BY o_orderkey LIMIT 10, 25", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS price FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10"),
+    "surface_cast": ("SELECT p_partkey, CAST(p_size || 'x' AS INTEGER) AS size, CAST(p_size AS TEXT) AS text, max(p_size, 20) AS most, min(p_size, NULL) AS least, ifnull(NULL, p_size) AS own FROM part", "SELECT p_partkey, p_size::BIGINT AS size, p_size::VARCHAR AS text, greatest(p_size, 20) AS most, NULL::INTEGER AS least, p_size AS own FROM part"),
+    "surface_dates": ("SELECT strftime('%Y-%m', o_orderdate) AS month, COUNT(*) AS n FROM orders GROUP BY strftime('%Y-%m', o_orderdate)", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY ALL"),
+}

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import office
 
 #: Formats by extension.
-TEXT, MARKUP, TABLES, OFFICE = ["txt"], ["html", "htm", "xml", "md"], ["csv"], ["xlsx", "docx", "pptx", "odt", "epub"]
-#: Accepted at the gate but not readable with what is installed here: they raise.
-UNREADABLE = ["pdf", "doc", "xls", "ppt", "rtf", "jpg", "jpeg", "png", "bmp", "tiff", "webp"]
+TEXT, MARKUP, TABLES, OFFICE = ["txt"], ["html", "xml", "md"], ["csv"], ["xlsx", "docx", "pptx", "odt", "epub"]
+#: Accepted at the gate but not readable with what is installed here: their rows say so.
+UNREADABLE = ["pdf", "xls", "ppt", "rtf", "jpg", "jpeg", "png", "tiff", "bmp", "gif"]
+#: Read as what printable text they hold.
+FALLBACK = ["doc"]
 
 
 def extension(path: Column) -> Column:
@@ -19,7 +21,7 @@ def extension(path: Column) -> Column:
 
 def accepted(files: DataFrame) -> DataFrame:
     """Those files (path, ...) whose extension is known."""
-    return files.where(extension(F.col("path")).isin(TEXT + MARKUP + TABLES + OFFICE + UNREADABLE))
+    return files.where(extension(F.col("path")).isin(TEXT + MARKUP + TABLES + OFFICE + FALLBACK + UNREADABLE))
 
 
 def markdown_text(text: Column) -> Column:
@@ -51,20 +53,37 @@ def printable_runs(content: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit("([ -~]{5,})"), 1), "\n")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page_no, text) of all readable files under path (S2); a file of a format that cannot be read here raises."""
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_no, text, images, error) of all known files under path (S2); a file that cannot be read is one row with the reason.
+
+    images: what a Markdown file shows; a .doc gives its runs of printable characters."""
     files = accepted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)).withColumn("ext", extension(F.col("path")))
     text = F.decode("content", "UTF-8")
+    unreadable = F.col("ext").isin(UNREADABLE)
     simple = files.where(~F.col("ext").isin(OFFICE)).select(
         "path",
         F.lit(1).alias("page_no"),
-        F.when(F.col("ext").isin(UNREADABLE), F.raise_error(F.concat(F.lit("no reader for "), F.col("path"))))
+        F.when(unreadable, F.lit(None))
         .when(F.col("ext") == "md", markdown_text(text))
         .when(F.col("ext").isin(MARKUP), markup_text(text))
+        .when(F.col("ext").isin(FALLBACK), printable_runs(F.col("content")))
         .otherwise(text)
         .alias("text"),
+        F.when(F.col("ext") == "md", markdown_images(text)).otherwise(F.array().cast("array<string>")).alias("images"),
+        F.when(unreadable, F.concat(F.lit("no reader for "), "ext")).alias("error"),
     )
-    return simple.unionByName(office.pages(files.where(F.col("ext").isin(OFFICE))))
+    none = F.array().cast("array<string>").alias("images")
+    return simple.unionByName(office.pages(files.where(F.col("ext").isin(OFFICE))).select("path", "page_no", "text", none, "error"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_no, text) of the files that can be read."""
+    return read_all(spark, path).where("error IS NULL").select("path", "page_no", "text")
+
+
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the others."""
+    return read_all(spark, path).where("error IS NOT NULL").select("path", "error")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -29,10 +29,17 @@ def xml_text(raw: bytes) -> str:
     """The text of an XML part: a line for each paragraph, heading or row, headings of word processors marked by their level."""
     out: list[str] = []
 
+    def cell(node: ElementTree.Element) -> str:
+        return " ".join("".join(t.text or "" for t in p.iter() if _local(str(t.tag)) in ("t", "span")) or "".join(p.itertext()) for p in node.iter() if _local(str(p.tag)) == "p").strip()
+
     def walk(node: ElementTree.Element) -> None:
         name = _local(node.tag) if isinstance(node.tag, str) else ""
         if name in ("script", "style", "head"):
             return
+        if name == "tbl":  # a table of a word processor or a slide: a line of bars for each row
+            for row in (r for r in node if _local(str(r.tag)) == "tr"):
+                out.append("\n| " + " | ".join(" ".join(cell(c).split()) for c in row if _local(str(c.tag)) == "tc") + " |\n")
+            return
         out.append(node.text or "")
         level = next((re.search(r"\d", v) for x in node.iter() if _local(str(x.tag)) == "pStyle" for v in x.attrib.values() if "eading" in v), None) if name == "p" else None
         if level:
@@ -96,25 +103,60 @@ def rows(files: DataFrame) -> DataFrame:
     return files.where("ext = 'xlsx'").select("path", "content").mapInArrow(run, "path string, sheet string, row_no int, cells array<string>, width int")
 
 
+def merges(files: DataFrame) -> DataFrame:
+    """(path, sheet, row_no, last_row, column, last_column) of the merged cells of all workbooks, from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out = [(path, *m) for m in merged_cells(raw.as_py())]
+                if out:
+                    kinds = [pa.string(), pa.string()] + [pa.int32()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["path", "sheet", "row_no", "last_row", "column", "last_column"])
+
+    return files.where("ext = 'xlsx'").select("path", "content").mapInArrow(run, "path string, sheet string, row_no int, last_row int, column int, last_column int")
+
+
+def merged_cells(raw: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    for sheet in (s for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"):
+        target = targets[next(v for k, v in sheet.attrib.items() if _local(k) == "id")].removeprefix("/xl/")
+        for m in (m for m in ElementTree.fromstring(book.read(f"xl/{target}")).iter() if _local(m.tag) == "mergeCell"):
+            (a, x), (b, y) = (re.match(r"([A-Z]+)(\d+)", c).groups() for c in (m.get("ref", "A1").split(":") * 2)[:2])
+            yield sheet.get("name", ""), int(x) - 1, int(y) - 1, _column(a), _column(b)
+
+
+def _column(letters: str) -> int:
+    return sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1
+
+
 def pages(files: DataFrame) -> DataFrame:
-    """(path, page_no, text) of files (path, content, ext) in these formats; a sheet or slide is a page."""
+    """(path, page_no, text, error) of files (path, content, ext) in these formats; a sheet or slide is a page, a broken file a row with the reason."""
+    schema = pa.schema([("path", pa.string()), ("page_no", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw, ext in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if ext == "xlsx":
-                    sheets: dict[str, list[str]] = {}
-                    for sheet, _, cells in sheet_cells(raw.as_py()):
-                        if any(cells):
-                            sheets.setdefault(sheet, [f"# {sheet}"]).append("| " + " | ".join(c or "" for c in cells) + " |")
-                    texts = ["\n".join(x) for x in sheets.values()]
-                else:
-                    book = zipfile.ZipFile(io.BytesIO(raw.as_py()))
-                    parts = [n for n in book.namelist() if re.match(PARTS[ext], n)]
-                    number = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
-                    texts = [xml_text(book.read(n)) for n in sorted(parts, key=number)]
-                out = [{"path": path, "page_no": i, "text": t} for i, t in enumerate(texts, 1)]
+                try:
+                    out = [{"path": path, "page_no": i, "text": t, "error": None} for i, t in enumerate(page_texts(raw.as_py(), ext), 1)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, StopIteration, ValueError) as e:
+                    out = [{"path": path, "page_no": 1, "text": None, "error": f"{type(e).__name__}: {e}"[:200]}]
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("page_no", pa.int32()), ("text", pa.string())]))
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return files.select("path", "content", "ext").mapInArrow(run, "path string, page_no int, text string, error string")
 
-    return files.select("path", "content", "ext").mapInArrow(run, "path string, page_no int, text string")
+
+def page_texts(raw: bytes, ext: str) -> list[str]:
+    """The text of each sheet, slide or part of a file."""
+    if ext == "xlsx":
+        sheets: dict[str, list[str]] = {}
+        for sheet, _, cells in sheet_cells(raw):
+            if any(cells):
+                sheets.setdefault(sheet, [f"# {sheet}"]).append("| " + " | ".join(c or "" for c in cells) + " |")
+        return ["\n".join(x) for x in sheets.values()]
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    parts = [n for n in book.namelist() if re.match(PARTS[ext], n)]
+    number = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
+    return [xml_text(book.read(n)) for n in sorted(parts, key=number)]

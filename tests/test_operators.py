@@ -102,3 +102,87 @@ def test_agent_limits():
     state = agent.ask("q", lambda q: [], lambda s: (next(calls), "x"), {"sql_query": lambda s: 1})
     assert state.sql_tries == 6
     assert agent.ask_in_parts("q", lambda q: ["a", "b"], str.upper, lambda q, a: "+".join(a)) == "A+B"
+
+
+def test_writing_one_users_index_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "index")
+    chunks = lambda user, thread, text: spark.createDataFrame([(user, thread, f"{user}{thread}", text)], "user_id string, thread_id string, chunk_id string, content string")
+    for user, thread, text in (("u1", "a", "x"), ("u2", "a", "y"), ("u1", "b", "z"), ("u1", "a", "new")):
+        index.write_index(chunks(user, thread, text), path)
+    assert {(r.user_id, r.thread_id, r.content) for r in spark.read.parquet(path).collect()} == {("u1", "a", "new"), ("u2", "a", "y"), ("u1", "b", "z")}
+
+
+def test_search_in_a_written_index(spark, tmp_path):
+    rows = [("u1", "a", 1, "red fox"), ("u1", "a", 2, "blue whale whale"), ("u1", "a", 3, "green tree"), ("u2", "a", 4, "whale"), ("u2", "a", 5, "fox"), ("u2", "a", 6, "owl")]
+    parsed = spark.createDataFrame(rows, "user_id string, thread_id string, doc_id long, text string")
+    chunks = index.reindex(spark, parsed, str(tmp_path))
+    assert chunks.count() == 6
+    asked = spark.createDataFrame([(1, "whale fox"), (2, "nothing")], "query_id long, text string")
+    got = index.search(spark, str(tmp_path), asked, 5, "u1", "a").orderBy("rank").collect()
+    own = chunks.where("user_id = 'u1'").select("chunk_id", F.col("content").alias("text"))
+    assert [(r.chunk_id, round(r.score, 9)) for r in got] == [(r.chunk_id, round(r.score, 9)) for r in retrieve.bm25(own, asked, 5).orderBy("rank").collect()] and len(got) == 2
+    index.reindex(spark, parsed.where("user_id = 'u2'").limit(1), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/postings").where("user_id = 'u1'").count() > 0
+
+
+def test_new_users_have_one_id_and_one_address(spark):
+    kind = "user_id string, name string, email string"
+    users = spark.createDataFrame([("a", "A", "a@x")], kind)
+    new = spark.createDataFrame([("d", "dan b", "d@x"), ("b", "bea", "d@x"), ("b", "ann", "e@x"), ("c", "c", "a@x"), ("a", "q", "q@x")], kind)
+    assert {tuple(r) for r in metadata.create_users(users, new).collect()} == {("a", "A", "a@x"), ("b", "Ann", "e@x"), ("d", "Dan B", "d@x")}
+
+
+def test_statements_mean_what_their_users_mean(spark):
+    import sqlite3
+
+    rows = [(1, "Alpha", 1.5, "12abc"), (2, "beta", None, "x"), (3, "ALPHABET", 2.5, None), (4, "it's", 4.0, "3.7")]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE goods (id INTEGER, name TEXT, price REAL, code TEXT)")
+    con.executemany("INSERT INTO goods VALUES (?, ?, ?, ?)", rows)
+    spark.createDataFrame(rows, "id long, name string, price double, code string").createOrReplaceTempView("goods")
+    for sql in (
+        "SELECT id, name FROM goods WHERE name LIKE 'alpha%' ORDER BY id",
+        "SELECT id FROM goods WHERE name GLOB 'A*' ORDER BY id",
+        "SELECT id FROM goods WHERE name GLOB '[a-c]?ta' OR name = 'it''s' ORDER BY id",
+        'SELECT "id", [name] AS "the name" FROM goods ORDER BY "id" LIMIT 1, 2',
+        "SELECT id FROM goods ORDER BY id LIMIT 2 OFFSET 1;",
+        "SELECT id FROM (SELECT id FROM goods ORDER BY id LIMIT 3) ORDER BY id DESC",
+        "SELECT total(price) AS t, total(id) AS i FROM goods WHERE id > 10",
+        "SELECT iif(price > 2, 'high', 'low') AS p, ifnull(price, 0) AS q FROM goods ORDER BY id",
+        "SELECT CAST(code AS INTEGER) AS i, CAST(code AS REAL) AS r, CAST(id AS TEXT) AS t FROM goods ORDER BY id",
+        "SELECT max(id, 2) AS m, min(price, 2.0) AS n, max(id, max(2, 3)) AS o FROM goods ORDER BY id",
+        "SELECT max(id) AS m, min(name) AS n, count(*) AS c FROM goods -- all of them",
+        "SELECT group_concat(DISTINCT 5) AS g, length(group_concat(name)) AS h, length(group_concat(id, ' - ')) AS k FROM goods",
+        "SELECT name || '(,)' || id AS x FROM goods WHERE name <> 'LIKE \"a\"' AND id == 1",
+        "SELECT strftime('%Y/%m/%d', '2024-03-05 10:00:00') AS d",
+    ):
+        got = sqlsurface.execute(spark, sql)
+        assert got["success"], (sql, got)
+        assert [tuple(r.values()) for r in got["data"]] == con.execute(sql).fetchall(), (sql, sqlsurface.translated(sql))
+
+
+def test_blocks_of_questions(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], i % 3 if i % 10 else None) for i in range(120)] + [(500, None, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    asked = vectors.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(retrieve, "BLOCK", 8)
+    for filtered in (False, True):
+        got = {(r.query_id, r["rank"], r.vec_id) for r in retrieve.knn(vectors, asked, 6, filtered).collect()}
+        want = set()
+        for q, e, y in rows[:-1]:
+            if q % 7 == 0:
+                near = sorted((-float(np.dot(e, v)), i) for i, v, z in rows[:-1] if not filtered or (z is not None and z == y))
+                want |= {(q, n, i) for n, (_, i) in enumerate(near[:6])}
+        assert got == want
+
+
+def test_token_counter(tmp_path):
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(ranks)))
+    count = analytics.token_counter(str(tmp_path / "ranks"))
+    assert (count("abc"), count("abcab d"), count("")) == (1, 4, 0)

@@ -43,10 +43,43 @@ def test_workbook_header(spark, folder):
     assert tuple(sheets.header_rows(office.rows(book)).first()) == ("S1", 2, "Report")
 
 
-def test_unreadable_formats_raise(spark, tmp_path):
+def test_files_that_cannot_be_read_do_not_end_the_job(spark, folder, tmp_path):
     (tmp_path / "x.pdf").write_text("%PDF")
-    with pytest.raises(Exception, match="no reader"):
-        files.read_documents(spark, str(tmp_path)).collect()
+    (tmp_path / "y.gif").write_bytes(b"GIF89a")
+    (tmp_path / "z.docx").write_text("no archive")
+    (tmp_path / "old.doc").write_bytes(b"\x00\x01some words\x00ab\x02more words")
+    (tmp_path / "skip.webp").write_text("x")
+    got = {r.path.rpartition("/")[2]: r for r in files.read_all(spark, folder).collect()}
+    assert {n for n, r in got.items() if r.error} == {"x.pdf", "y.gif", "z.docx"} and "no reader" in got["x.pdf"].error
+    assert got["old.doc"].text == "some words\nmore words" and got["c.md"].images == ["p.png"] and "skip.webp" not in got
+    assert files.rejects(spark, folder).count() == 3 and files.read_documents(spark, folder).where("path LIKE '%.txt'").count() == 1
+
+
+def test_tables_of_documents_keep_their_cells():
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    raw = f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Above</w:t></w:r></w:p><w:tbl><w:tr>{cell("a")}{cell("b")}</w:tr><w:tr>{cell("1")}{cell("")}</w:tr></w:tbl></w:body></w:document>'
+    assert office.xml_text(raw.encode()) == "Above\n| a | b |\n| 1 | |"
+
+
+def test_merged_headers_name_columns(spark):
+    cells = [["Sales", None, "Cost", None], ["Q1", "Q2", "Q1", "Q2"], ["1", "2", "3", "4"]]
+    rows = spark.createDataFrame([("s", i, c, 4) for i, c in enumerate(cells)], "sheet string, row_no int, cells array<string>, width int")
+    merged = spark.createDataFrame([("s", 0, 0, 0, 1), ("s", 0, 0, 2, 3)], "sheet string, row_no int, last_row int, column int, last_column int")
+    headers = spark.createDataFrame([("s", 1)], "sheet string, header_row int")
+    levels = sheets.header_levels(headers, merged)
+    assert levels.first().levels == [0, 1]
+    assert sheets.column_names(rows, levels).first().names == ["sales_q1", "sales_q2", "cost_q1", "cost_q2"]
+    alone = sheets.header_levels(headers, merged.limit(0))
+    assert alone.first().levels == [1] and sheets.column_names(rows, alone).first().names == ["q1", "q2", "q1_2", "q2_2"]
+
+
+def test_merged_cells_are_read(tmp_path, spark):
+    with zipfile.ZipFile(tmp_path / "m.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData/><mergeCells><mergeCell ref="A1:D1"/></mergeCells></worksheet>')
+    book = spark.read.format("binaryFile").load(f"{tmp_path}/m.xlsx").withColumn("ext", F.lit("xlsx"))
+    assert tuple(office.merges(book).first())[1:] == ("S1", 0, 0, 0, 3)
 
 
 def test_csv(spark, tmp_path):

@@ -48,7 +48,8 @@ def test_small_ones(spark):
     assert one(spark, " a​​b\nc ", T.clean_cell) == "a b c"
     assert one(spark, "1st col%%", T.identifier) == "t_1st_col"
     assert one(spark, "%%", T.identifier) == "unnamed_table"
-    assert one(spark, "The n page café u like\nx", T.cloud_words) == ["the", "caf", "x"]
+    assert one(spark, "The n page café u like\nx", T.cloud_words) == ["caf", "x"]  # English stop words go
+    assert one(spark, "The n page café u like\nx", lambda c: T.cloud_words(c, [])) == ["the", "caf", "x"]
     assert one(spark, "w " * 11001, T.summary_calls) == 3
 
 
