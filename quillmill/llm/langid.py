@@ -287,7 +287,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text is in some learned language with a score of at least ``least``."""
+    """The rows of docs, all columns, whose text is in some learned language with a score of at least ``least``.
+
+    Null and empty texts, and texts without a letter, go; so do all rows if nothing could be learned. Repeated rows stay or go
+    together, ids may be null or repeated. Equally likely languages share the score, so that with a tie of three all are
+    below a half. An empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.pandas_udf("double")

@@ -83,14 +83,17 @@ class LineRuns:
             self._put(merged, level + 1)
 
     def repeated(self, least: int = LEAST_DOCS) -> DataFrame:
-        """(h1, h2, owner) of the hashes that at least so many documents have, as a table of its own; the runs are given up."""
+        """(h1, h2, owner) of the hashes that at least so many documents have, as a table of its own."""
         names = [n for level in self.levels for n in level]
         if not names:
             return self.spark.createDataFrame([], "h1 long, h2 long, owner long")
-        out = settle(self._merged(names).where(F.col("docs") >= least).select("h1", "h2", "owner"), "line-repeats")
-        for n in names:
+        return settle(self._merged(names).where(F.col("docs") >= least).select("h1", "h2", "owner"), "line-repeats")
+
+    def drop(self) -> None:
+        """Give up all runs."""
+        for n in [n for level in self.levels for n in level]:
             self._forget(n)
-        return out
+        self.levels = []
 
 
 def kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -111,11 +114,14 @@ def kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BAT
     keyed.where(F.size("lines") > 0).withColumn("batch", F.coalesce(number, F.lit(batches))).write.partitionBy("batch").parquet(path)
     keyed = spark.read.schema(T.StructType([*keyed.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
     runs = LineRuns(spark)
-    for b in range(batches + 1):
-        part = keyed.where(F.col("batch") == b)
-        if not part.isEmpty():
-            runs.add(part)
-    repeated = runs.repeated(least_docs)
+    try:
+        for b in range(batches + 1):
+            part = keyed.where(F.col("batch") == b)
+            if not part.isEmpty():
+                runs.add(part)
+        repeated = runs.repeated(least_docs)
+    finally:
+        runs.drop()
     if repeated.count() <= BROADCAST_KEYS:
         repeated = F.broadcast(repeated)
     each = keyed.select("doc_id", "same", F.explode("lines").alias("l")).select("doc_id", "same", "l.*")
@@ -138,7 +144,10 @@ def line_digests(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with each text reduced to its kept lines; n_chars, where there is one, follows."""
+    """docs with each text reduced to its kept lines; n_chars, where there is one, follows.
+
+    All rows stay. Null texts become empty; nulls, ties, repeated rows and ids, empty tables and other columns are as in
+    ``kept_lines``."""
     new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {})
     return kept_lines(docs).select(*[new[n].alias(n) if n in new else F.col(f"row.`{n}`") for n in docs.columns])
 

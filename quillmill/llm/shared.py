@@ -13,7 +13,10 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that all executors share, as named in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    base = base or LOCAL_CHECKPOINTS
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

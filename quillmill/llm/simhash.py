@@ -220,10 +220,14 @@ def _standing(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that stand for their groups: one of each, the one with the smallest doc_id."""
+    """The rows of docs, all columns, that stand for their groups: one of each, the one with the smallest doc_id.
+
+    Of rows with this doc_id it is the one whose text has the smallest hash; of equal rows one stays. Null and empty texts are
+    alike and form one group. A row without a doc_id stands only for a group in which none has one. An empty table gives an
+    empty result; columns of any name are passed on."""
     return _standing(docs, groups(docs, shingle, radius))
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The same for the groups of similar texts."""
+    """The same for the groups of similar texts; texts without a word, null ones among them, are one group."""
     return _standing(docs, similar_groups(docs, shingle, least))

@@ -26,27 +26,34 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _NO_PREFIX = b"\x1a\x02\x18\x00"
 
 
-class Counter:
-    """Counts tokens inside a task."""
+class Proof:
+    """What is proven on a model before any text is seen; made once, on the driver, and sent to all tasks."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
-        self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if self.is_normal(i)]
+        whole, own = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
+        pieces = [own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece goes on past a word mark: stretches are not independent")
-        if len(self.whole.encode("a")) != len(self.model.encode(" a")) or len(self.model.encode("a  b ")) < 4:
+        if len(whole.encode("a")) != len(own.encode(" a")) or len(own.encode("a  b ")) < 4:
             raise ValueError("the model changes white space: its texts cannot be cut here")
         #: A line feed in no piece parts stretches as well: it always stands alone.
         self.cut_lines = not any("\n" in p for p in pieces)
-        self.line = len(self.model.encode("\n"))
-        self.single = {p for p, ids in zip(pieces, self.model.encode(pieces, num_threads=1)) if len(ids) == 1}
-        self.known = dict.fromkeys(self.single, 1)
+        self.line = len(own.encode("\n"))
+        self.single = [p for p, ids in zip(pieces, own.encode(pieces, num_threads=1)) if len(ids) == 1]
+
+
+class Counter:
+    """Counts tokens inside a task."""
+
+    def __init__(self, model: bytes, proof: Proof | None = None):
+        import sentencepiece
 
-    def is_normal(self, i: int) -> bool:
-        return not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))
+        proof = proof or Proof(model)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
+        self.cut_lines, self.line, self.single = proof.cut_lines, proof.line, proof.single
+        self.known = dict.fromkeys(self.single, 1)
 
     def cut(self, text: str) -> list[str]:
         """The stretches of a text without line feeds, which together are the text with its spaces as marks."""
@@ -83,11 +90,12 @@ def token_counts(docs: DataFrame, limit: int = 4096, model: str | None = None) -
     each. An empty table gives an empty result. Other columns of docs are not read. The model, a file of fixed size, is
     read on the driver and broadcast."""
     with open(model or tokenizer_path(MODEL), "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        read = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast((read, Proof(read)))
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
+        counter = Counter(*sent.value)
         for batch in batches:
             rows = []
             for part in slices(batch):

@@ -25,6 +25,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive file holds about so many bytes of payload; a reader holds one file at a time.
 FILE_BYTES = 16 << 20
+#: Captures that a task merges.
+MERGED = 200_000
 #: Payloads of fewer bytes are always written out.
 LEAST_BYTES = 0
 #: Payloads that several pages have, about 60 bytes each, that may be broadcast; with more of them the pages are shuffled.
@@ -78,10 +80,17 @@ def records(roles: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write a record for each page to files of about FILE_BYTES under path."""
-    size = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
-    per_file = max(1, int(FILE_BYTES / (size + 500)))
-    records(with_roles(pages, least_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    """Write a record for each page to files under path, of FILE_BYTES or up to four times that, or one record that is larger.
+
+    Pages are written by classes of size, a job each, in which the largest is at most four times the smallest (4 KB at least); equal
+    payloads lie in one class."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    of_class = F.greatest(F.lit(0), F.floor(F.log(4.0, F.greatest(size, F.lit(1)) / 4096))).cast("int")
+    classes = pages.groupBy(of_class.alias("c")).agg(F.avg(size).alias("mean")).collect()  # 10 at most, as a string has 2 GB
+    for c, mean in [(r.c, r["mean"]) for r in classes] or [(0, 0.0)]:
+        own = pages.where(of_class == c) if len(classes) > 1 else pages
+        per_file = max(1, int(FILE_BYTES / (mean + 500)))
+        records(with_roles(own, least_bytes)).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def url_key(url: str) -> str:
@@ -162,7 +171,7 @@ class LoserTree:
 
     LAST = (1,)
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list):
         self.runs = [iter(r) for r in runs]
         self.k = len(runs)
         self.head = [self._next(i) for i in range(self.k)]
@@ -195,26 +204,36 @@ class LoserTree:
             self._play(i)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in global order: partitions by ranges of the key, each merged from its stretches of the runs."""
+def merge_runs(runs: DataFrame, most: int = MERGED) -> DataFrame:
+    """All captures in global order: partitions by ranges of the key, of about ``most`` captures or fewer, each merged from its stretches of the runs.
+
+    Spark deals the ranges and puts each run's stretch side by side, spilling as it has to; a task holds its range as Arrow and of each
+    stretch the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        table = table.sort_by([("run", "ascending"), ("seq", "ascending")])  # stretches of a run side by side, each in its own order
-        name = table.column("run").to_pylist()
-        starts = [i for i in range(len(name)) if i == 0 or name[i] != name[i - 1]] + [len(name)]
-        keys = list(map(order, zip(*(table.column(c).to_pylist() for c in ("url_key", "captured", "page_id")))))
+        table = pa.Table.from_batches(parts).combine_chunks()
+        name = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = [0, *(np.nonzero(np.diff(name))[0] + 1).tolist(), len(name)]
+
+        def keys(a: int, b: int) -> Iterator[tuple]:
+            for at in range(a, b, 1024):
+                part = table.slice(at, min(1024, b - at))
+                yield from map(order, zip(*(part.column(c).to_pylist() for c in ("url_key", "captured", "page_id"))))
+
         at = starts[:-1].copy()
         merged = np.empty(len(name), np.int64)
-        for n, i in enumerate(LoserTree([keys[a:b] for a, b in zip(starts, starts[1:])])):
+        for n, i in enumerate(LoserTree([keys(a, b) for a, b in zip(starts, starts[1:])])):
             merged[n] = at[i]
             at[i] += 1
-        yield from table.take(pa.array(merged)).to_batches()
+        for first in range(0, len(merged), 8192):
+            yield from table.take(pa.array(merged[first : first + 8192])).to_batches()
 
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(run, RUN)
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // most))
+    dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
+    return dealt.mapInArrow(run, RUN)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:

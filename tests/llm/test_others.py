@@ -92,6 +92,20 @@ def test_archives(spark):
     assert warc.page_records(pages.limit(0)).count() == 0
 
 
+def test_long_payloads_and_small_archives(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, f"http://h.org/{i % 3}", "x" * [10, 3000, 30_000, 2_000_000][i % 4] + str(i // 8)) for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.archive_pages(pages, str(tmp_path / "warc")).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in index} == {(i, len(t), digest(t)) for i, _, t in rows}
+    assert [(r.url_key, r.captured) for r in index] == sorted((r.url_key, r.captured) for r in index)
+    files = [f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
+    assert all(f.stat().st_size < 4 * 20_000 + 10_000 for f in files if f.stat().st_size < 2_000_000) and len(files) > 6
+    few = warc.merge_runs(warc.capture_runs(spark, str(tmp_path / "warc")), 2).collect()
+    assert [r.page_id for r in few] == [r.page_id for r in index]
+
+
 def test_loser_tree():
     import random
 

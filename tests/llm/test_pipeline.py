@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from quillmill.llm import bpe, decontam, langid, linededup, simhash
 
@@ -10,7 +12,7 @@ def test_stages_one_by_one(spark, sf_dir):
     pred = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
     by_hand = docs.where(docs.doc_id.isin([i for i, (lang, score) in pred.items() if lang != "und" and score >= 0.5]))
     by_hand = linededup.drop_repeated_lines(by_hand)
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_components(by_hand).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(by_hand).collect()}
     by_hand = by_hand.where(by_hand.doc_id.isin([i for i, c in groups.items() if i == c]))
     leaks = [r.doc_id for r in decontam.contaminated(by_hand, bench).select("doc_id").distinct().collect()]
     by_hand = by_hand.where(~by_hand.doc_id.isin(leaks))
@@ -18,10 +20,17 @@ def test_stages_one_by_one(spark, sf_dir):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want and 0 < len(want) < docs.count()
 
 
-def test_stages_keep_the_columns(spark, sf_dir, odd):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, tmp_path, odd, none, which):
+    docs = {"odd": odd, "none": none}[which]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = [corpus_pipeline.run(spark, str(tmp_path)).count(), docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+        before = whole[1].count()
+        whole[1] = stage(spark, whole[1], str(tmp_path))
+        assert whole[1].columns == docs.columns and whole[1].count() <= before, name
+    assert whole[0] == whole[1].count() and (whole[0] > 0) == (which == "odd")
 
 
 def test_planted_copies_and_clean_documents(spark, sf_dir):
