@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve
 from ..streaming import ingest
-from ..session import read_spread
+from ..session import read_spread, shared_folder
 from . import sqlsurface
 from .sql_queries import DUCK, SQL, SURFACE
 
@@ -396,7 +396,7 @@ def source_counts(spark, d):
 @query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})")
 def index_search(spark, d):
     """The same search over a written index of postings and statistics."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/index-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index.write_postings(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), path)
     found = index.search(spark, path, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
     return _round(found.withColumnRenamed("chunk_id", "doc_id"), "score")

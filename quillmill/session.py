@@ -32,3 +32,11 @@ def read_spread(spark: SparkSession, path: str, most: int = 32) -> DataFrame:
     df = spark.read.parquet(path)
     cores = min(most, spark.sparkContext.defaultParallelism)
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; on one machine a local one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (base or "/tmp/checkpoints").rstrip("/")
