@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from ..session import shared_folder
 
 
-def forest(nodes: DataFrame, levels: int = 50) -> DataFrame:
+def forest(nodes: DataFrame) -> DataFrame:
     """(id, title, parent_id, level, path) of all nodes that a root reaches (H1).
 
     A null or empty parent makes a root. Nodes with unknown parents, and cycles, are reached by none and go. Of
-    repeated ids the last by ``position`` counts. Deeper than ``levels`` is an error."""
+    repeated ids the last by ``position`` counts. A level is written before the next is made, so trees may be as deep as they
+    are; each node has one parent and is reached once."""
+    spark, path = nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/forest-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
     last = Window.partitionBy("id").orderBy(F.desc("position"))
-    own = nodes.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("id", "title", "parent_id").persist()
-    level = own.where("coalesce(parent_id, '') = ''").select("id", "title", "parent_id", F.lit(0).alias("level"), F.col("id").alias("path"))
-    out = level
-    for depth in range(1, levels + 1):
+    own = written(nodes.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("id", "title", "parent_id"), "nodes")
+    level = written(own.where("coalesce(parent_id, '') = ''").select("id", "title", "parent_id", F.lit(0).alias("level"), F.col("id").alias("path")), "level=0")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
         above = level.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
-        level = own.join(above, own.parent_id == F.col("_up")).select("id", "title", "parent_id", F.lit(depth).alias("level"), F.concat_ws("/", "_path", "id").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionAll(level)
-    raise ValueError(f"the tree is deeper than {levels} levels")
+        level = written(own.join(above, own.parent_id == F.col("_up")).select("id", "title", "parent_id", F.lit(depth).alias("level"), F.concat_ws("/", "_path", "id").alias("path")), f"level={depth}")
+    return spark.read.schema(level.schema).parquet(*[f"{path}/level={d}" for d in range(depth + 1)])
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def test_forest_rules(spark):
     assert {r.id: r.n for r in hierarchy.subtree_sizes(tree).collect()} == {"r": 1, "e": 2, "a": 1}
 
 
+def test_deep_forest(spark):
+    rows = [(str(i), "t", str(i - 1) if i else None, 0) for i in range(60)]
+    tree = hierarchy.forest(spark.createDataFrame(rows, "id string, title string, parent_id string, position int"))
+    assert {(r.id, r.level) for r in tree.collect()} == {(str(i), i) for i in range(60)}
+
+
 def test_records(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "agent", "b")], "conv_id long, turn long, role string, text string")
     users = metadata.from_conversations(turns)
