@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import settle, slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -29,6 +29,8 @@ HALF = 0xFFFFFFFF
 SIMILAR_SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: Bands of so many min-hashes each: of the pairs at similarity 0.8, 7 in 100,000 share none; further up fewer.
 BANDS, ROWS = 24, 5
+#: Texts of a band, and shingles of them, that are compared with each other at once; a larger band is split into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Texts with candidates that may be broadcast, an id and a hash each.
 BROADCAST_TEXTS = 200_000
 
@@ -161,39 +163,89 @@ def sets_of(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (key, node, n, ...) in blocks (i, j): a band of up to BLOCK texts with up to BLOCK_SHINGLES shingles is one; a larger one is split and each two of its parts meet."""
+    parts = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("much") / BLOCK_SHINGLES)).cast("int")
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("much")), "key").withColumn("parts", parts)
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return sized.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("many", "much", "parts", "other")
+
+
+def _ties(sets: list[np.ndarray], to: np.ndarray, part: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of a block: pairs of components ``to`` that a pair of texts at similarity ``least`` or more ties, without circles."""
+    sizes = np.array(list(map(len, sets)))
+    starts = np.cumsum(sizes) - sizes
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    mark = np.zeros(len(times), np.int32)
+    values, counts = np.unique(to, return_counts=True)
+    pairs: set[tuple[int, int]] = set()
+    split = part.min() != part.max()
+    for k in np.nonzero(to != values[counts.argmax()])[0]:  # of two components one at least is not the largest
+        own = at[starts[k] : starts[k] + sizes[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at], starts)
+        mark[own] = 0
+        near = (both >= least * (sizes + sizes[k] - both) - 1e-9) & (to != to[k])
+        if split:
+            near &= part != part[k]
+        pairs.update((int(to[k]), int(x)) for x in np.unique(to[near]))
+    return forest(iter(sorted(pairs)))
+
+
+def _across(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b): components that some block ties; a task keeps one block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            to, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+            if pairs := _ties([r[2] for r in rows], to, part, least):
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "to", "part")]
+            shingles = batch.column("shingles")
+            for r, (key, i, j, to, part) in enumerate(zip(*columns)):
+                if (key, i, j) != now:
+                    if len(rows) > 1:
+                        yield from found()
+                    now, rows = (key, i, j), []
+                rows.append((to, part, shingles[r].values.to_numpy(zero_copy_only=False).copy()))
+        if len(rows) > 1:
+            yield from found()
+
+    keys = ["key", "i", "j"]
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(doc_id, same, node, component_id, head) as ``groups`` has them, of links between documents whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    Texts without a word are alike. In a band that many share, all are compared with one of them first; only those that
-    no link ties to the rest by then are compared with each of it, so a group of near copies does not make all its pairs."""
+    Texts without a word are alike. In a band that several share, all are compared first with the one that shares most
+    bands with most texts, the middle of a group of copies. Where that leaves several components, texts of different ones are
+    compared in blocks, and a block gives no more ties than it has components; so a group of copies never becomes
+    rows of pairs, though comparing texts that share a band and are not tied goes with the square of their number."""
     own = settle(shingled(docs, shingle), "shingled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("same"))).alias("head")
     entries = settle(own.groupBy("node").agg(first, F.max("n").alias("n"), F.first("bands").alias("bands")), "entries")
     keys = entries.select("node", "n", "head", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count("*").alias("many")).where("many > 1").drop("many")
-    crowded = settle(keys.join(shared, "key"), "crowded")
+    members = settle(keys.join(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"), "members")
+    central = members.join(members.groupBy("node").agg(F.sum("many").alias("met")), "node")
+    top = central.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("top"))
+    crowded = settle(members.drop("many").join(top, "key"), "crowded")
     sets = settle(sets_of(docs, crowded, shingle), "sets")
-
-    def fits(n: Column, m: Column) -> Column:
-        return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the similarity."""
-        both = pairs.distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b").join(sets.select(F.col("node").alias("a"), "shingles"), "a")
-        both = both.select("a", "b", F.size(F.array_intersect("shingles", "theirs")).alias("both"), (F.size("shingles") + F.size("theirs")).alias("sum"))
-        return both.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
-
-    star = crowded.where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"))).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-    tied = settle(components(alike(star)), "tied")
+    star = crowded.where("node <> top.node AND least(n, top.n) >= %r * greatest(n, top.n) - 1e-9" % least).select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
+    both = star.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b").join(sets.select(F.col("node").alias("a"), "shingles"), "a")
+    both = both.select("a", "b", F.size(F.array_intersect("shingles", "theirs")).alias("both"), (F.size("shingles") + F.size("theirs")).alias("sum"))
+    tied = settle(components(both.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")), "tied")
     to = F.coalesce("component", "c.node").alias("to")
     placed = crowded.alias("c").join(tied.alias("t"), F.expr("c.node = t.node"), "left").select("c.node", "n", "key", to)
     several = placed.groupBy("key").agg(F.min("to").alias("lo"), F.max("to").alias("hi")).where("lo <> hi").select("key")
     rest = settle(placed.join(several, "key"), "rest")
-    parts = rest.select("key", "to").distinct()
-    across = parts.withColumnRenamed("to", "x").join(parts.withColumnRenamed("to", "y"), "key").where("x < y")
-    across = across.join(rest.select("key", F.col("to").alias("x"), F.col("node").alias("a"), "n"), ["key", "x"])
-    across = across.join(rest.select("key", F.col("to").alias("y"), F.col("node").alias("b"), F.col("n").alias("m")), ["key", "y"]).where(fits(F.col("n"), F.col("m")))
-    links_ = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(alike(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    links_ = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_across(_blocks(rest).join(sets, "node"), least))
     tied = components(links_).withColumnRenamed("node", "at")
     entries = entries.join(tied, F.col("node") == F.col("at"), "left").select("node", "head", F.coalesce("component", "node").alias("root"))
     heads = entries.groupBy("root").agg(F.min("head").alias("head"))

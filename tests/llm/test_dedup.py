@@ -125,6 +125,26 @@ def test_similar_groups_by_brute_force(spark, sf_dir, odd, texts):
         assert Counter(map(tuple, got)) == Counter((i, c) for (i, _), c in zip(rows, own))
 
 
+def test_crowded_bands_by_brute_force(spark, monkeypatch):
+    """Copies of one text with few and with many edits share bands; blocks of four texts, and of one."""
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 10_000, 150)]
+    rows = []
+    for k in range(90):
+        edited = list(words)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            edited[at] = f"e{k}" if k % 3 else "edit"
+        rows.append((k, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    want = labels(groups(len(rows), [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]), range(len(rows)))
+    assert 3 < len(set(want)) < 80
+    for block, shingles in ((1024, 2_000_000), (4, 2_000_000), (1024, 100)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(5, 5), (3, 2)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
