@@ -83,16 +83,16 @@ def sentence_chunks(spark, d):
     return T.chunk_table(documents(spark, d))
 
 
-@query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * 100 + 1 : i * 100 + 100], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 99) // 100)) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")
+@query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * {T.WINDOW_WORDS} + 1 : (i + 1) * {T.WINDOW_WORDS}], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {T.WINDOW_WORDS} - 1) // {T.WINDOW_WORDS})) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")
 def word_windows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return T.word_windows(docs, "text", 100).select("doc_id", F.col("window_no").cast("long").alias("window_no"), "window_text")
+    return T.word_windows(docs, "text").select("doc_id", F.col("window_no").cast("long").alias("window_no"), "window_text")
 
 
-@query(f"SELECT doc_id, CASE WHEN len(ws) < 500 THEN text WHEN lang = 'en' THEN lang ELSE array_to_string(ws[1:500], ' ') END AS chosen FROM (SELECT *, {_WORDS} AS ws FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN len(ws) < {T.FULL_TEXT_WORDS} THEN text WHEN lang = 'en' THEN lang ELSE array_to_string(ws[1:{T.FULL_TEXT_WORDS}], ' ') END AS chosen FROM (SELECT *, {_WORDS} AS ws FROM documents)")
 def text_selection(spark, d):
     docs = table(spark, d, "documents").withColumn("summary", F.when(F.col("lang") == "en", F.col("lang")))
-    return docs.select("doc_id", T.selected_text(F.col("text"), F.col("summary"), 500).alias("chosen"))
+    return docs.select("doc_id", T.selected_text(F.col("text"), F.col("summary")).alias("chosen"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in T.BRIEF) + " THEN 'brief' ELSE 'detailed' END AS style FROM conversations")
@@ -174,17 +174,21 @@ def bm25_topk(spark, d):
     return _round(_bm25(spark, d, 10), "score")
 
 
+#: Entries of the dense and the sparse list that are fused, and of the list that is reranked.
+DENSE, SPARSE, CANDIDATES = 200, 100, 20
+
+
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, d, "embeddings")
     questions = vectors.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    dense = retrieve.knn(vectors, questions.withColumnRenamed("vec_id", "query_id"), 30).select("query_id", F.col("vec_id").alias("document_id"), "rank")
-    return dense, _bm25(spark, d, 20).select("query_id", F.col("doc_id").alias("document_id"), "rank")
+    dense = retrieve.knn(vectors, questions.withColumnRenamed("vec_id", "query_id"), DENSE).select("query_id", F.col("vec_id").alias("document_id"), "rank")
+    return dense, _bm25(spark, d, SPARSE).select("query_id", F.col("doc_id").alias("document_id"), "rank")
 
 
 _ITEMS = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"
 _HYBRID = f"""
-WITH lists AS (SELECT query_id, 0 AS list_id, rank, vec_id AS document_id FROM ({_KNN.format(queries=_ITEMS, on='true', k=30)})
-  UNION ALL SELECT query_id, 1, rank, doc_id FROM ({_bm25_sql(20)})
+WITH lists AS (SELECT query_id, 0 AS list_id, rank, vec_id AS document_id FROM ({_KNN.format(queries=_ITEMS, on='true', k=DENSE)})
+  UNION ALL SELECT query_id, 1, rank, doc_id FROM ({_bm25_sql(SPARSE)})
 ), fused AS (SELECT query_id, document_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf_score, min(list_id * 1000 + rank) AS seen FROM lists GROUP BY ALL)
 SELECT query_id, document_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, seen) - 1 AS rank FROM fused"""
 
@@ -200,7 +204,7 @@ def hybrid_search(spark, d):
 WITH ranked AS (SELECT h.query_id, h.rank, h.document_id AS chunk_id, s.source AS document_id FROM ({_HYBRID}) h JOIN documents s ON s.doc_id = h.document_id
 ), n AS (SELECT query_id, count(DISTINCT document_id) AS n FROM ranked GROUP BY query_id
 ), r AS (SELECT ranked.*, n, min(rank) OVER (PARTITION BY query_id, document_id) AS first, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS i FROM ranked JOIN n USING (query_id)
-), k AS (SELECT *, greatest(ceil(CASE WHEN n <= 2 THEN 20 WHEN n <= 5 THEN 50 WHEN n <= 10 THEN 100 ELSE least(100, n * 10) END / n), 3) AS per FROM r
+), k AS (SELECT *, greatest(ceil(CASE WHEN n <= 2 THEN 20 WHEN n <= 5 THEN 50 WHEN n <= 10 THEN 100 ELSE least(100, n * 10) END / n), 10) AS per FROM r
 ), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, rank) - 1 AS position FROM k WHERE i <= per)
 SELECT query_id, position, document_id, chunk_id FROM p WHERE position < least(per * n, 100)""")
 def balanced_select(spark, d):
@@ -208,7 +212,7 @@ def balanced_select(spark, d):
     dense, sparse = _lists(spark, d)
     ranked = retrieve.hybrid(dense, sparse, ["document_id"]).withColumnRenamed("document_id", "chunk_id")
     source = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
-    return retrieve.balanced(ranked.join(source, "chunk_id"), 3, 100).select("query_id", F.col("position").cast("long").alias("position"), "document_id", "chunk_id")
+    return retrieve.balanced(ranked.join(source, "chunk_id")).select("query_id", F.col("position").cast("long").alias("position"), "document_id", "chunk_id")
 
 
 @query(f"""
@@ -233,7 +237,7 @@ def multi_document_topk(spark, d):
 
 
 _TFIDF = f"""
-WITH own AS (SELECT conv_id AS query_id, turn AS chunk_id, {_TOKENS} AS ts FROM conversations
+WITH own AS (SELECT query_id, doc_id AS chunk_id, {_TOKENS} AS ts FROM ({_bm25_sql(CANDIDATES)}) JOIN documents USING (doc_id)
 ), n AS (SELECT query_id, count(*) AS n FROM own GROUP BY query_id
 ), tf AS (SELECT query_id, chunk_id, term, count(*) / any_value(length) AS tf FROM (SELECT query_id, chunk_id, len(ts) AS length, unnest(ts) AS term FROM own) GROUP BY query_id, chunk_id, term
 ), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY query_id, term
@@ -249,18 +253,24 @@ def _turns(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), "text")
 
 
+def _candidates(spark, d) -> DataFrame:
+    """(query_id, rank, chunk_id, text): what each benchmark item found by BM25, a short list however large the corpus is."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    return _bm25(spark, d, CANDIDATES).select("query_id", "rank", F.col("doc_id").alias("chunk_id")).join(docs, "chunk_id")
+
+
 @query(_TFIDF)
 def tfidf_cosine_pairs(spark, d):
-    """Cosines of the turns of each conversation."""
-    return rerank.cosine_pairs(rerank.tfidf(_turns(spark, d))).withColumn("cosine", F.round("cosine", 6))
+    """Cosines of the candidates of each question."""
+    return rerank.cosine_pairs(rerank.tfidf(_candidates(spark, d))).withColumn("cosine", F.round("cosine", 6))
 
 
 @query()
 def mmr_rerank(spark, d):
-    """The turns of each conversation, relevant and different ones first."""
-    turns = _turns(spark, d)
-    scored = rerank.fallback_scores(turns.withColumn("rank", F.col("chunk_id")))
-    return rerank.mmr(scored.select("query_id", "chunk_id", "relevance"), rerank.cosine_pairs(rerank.tfidf(turns)), 100).withColumn("mmr", F.round("mmr", 6))
+    """The candidates of each question, relevant and different ones first."""
+    found = _candidates(spark, d)
+    scored = rerank.fallback_scores(found.drop("text"))
+    return rerank.mmr(scored.select("query_id", "chunk_id", "relevance"), rerank.cosine_pairs(rerank.tfidf(found)), CANDIDATES).withColumn("mmr", F.round("mmr", 6))
 
 
 @query("SELECT conv_id AS query_id, turn AS chunk_id, round(1 - (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / count(*) OVER (PARTITION BY conv_id), 6) AS relevance FROM conversations")

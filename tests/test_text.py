@@ -59,3 +59,12 @@ def test_cut_chunks(spark):
     assert all(len(c) <= 512 for c in got) and got[0] == ("word " * 102).strip() and got[-1] == "x" * 176
     assert got[1].startswith("word") and sum(c.count("word") for c in got) > 300 and one(spark, None, T.cut_chunks) == []
     assert "".join(T.pieces(text)) == text
+
+
+def test_windows_and_selection_of_long_texts(spark):
+    texts = [None, "", "one", "a b c", "a b c d", " a  b\nc d e f g "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    got = {(r.doc_id, r.window_no): r.window_text for r in T.word_windows(df, "text", 3).collect()}
+    assert got == {(i, k): " ".join((t or "").split()[3 * k : 3 * k + 3]) for i, t in enumerate(texts) for k in range(-(-len((t or "").split()) // 3))}
+    chosen = T.selected_text(F.col("text"), F.when(F.col("doc_id") == 4, F.lit("short")), 4)
+    assert [r.c for r in df.orderBy("doc_id").select(chosen.alias("c")).collect()] == ["", "", "one", "a b c", "short", "a b c d"]
