@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_spread
-from . import bpe, decontam, embed, html, langid, linededup, simhash, suffix, tokencount, warc
+from . import bpe, decontam, embed, html, langid, linededup, prefixtrie, recurrent, repair, simhash, suffix, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,27 @@ ORACLES["op9_embedding_dedup"] = embed.ORACLE
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts with the whole-token shortcut."""
     return tokencount.token_counts(read_spread(spark, f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired by cheapest edits."""
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op11_conversation_repair"] = repair.ORACLE
+
+
+@_query
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text by a recurrent network and by counts."""
+    return recurrent.scores(read_spread(spark, f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations."""
+    return prefixtrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = prefixtrie.ORACLE
