@@ -1,6 +1,6 @@
 """Removal of long byte strings that repeat, by column-wise sorting of suffixes.
 
-Two equal strings of PASSAGE bytes hold the same anchor at the same place: their GRAM-byte substring with the smallest
+Two equal strings of SPAN bytes hold the same anchor at the same place: their GRAM-byte substring with the smallest
 hash, the first among equals. So the starts in a document are cut into runs with one anchor, and only runs with equal
 anchors can repeat each other; a run and the SPAN bytes behind its last start are its segment. The segments of an anchor
 are a small collection, aligned at the anchor, and are sorted by the column-wise construction of a collection's
@@ -13,10 +13,14 @@ files of the shared folder, which tasks read one after the other in the order of
 
 An anchor with more segments than one task should sort is split: its segments are cut again by longer anchors (GRAMS),
 down to single strings, so that no common passage gathers in one task.
+
+Segments count as equal by a cryptographic digest of 128 bits over their bytes (BLAKE2b); hashes that can be met by other
+strings only choose anchors, where a clash costs time and no result, as the bytes themselves are sorted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .shared import forget, settle, slices
 
-#: Bytes of a string that is removed if it repeats, and of one that is counted as a repeated passage.
-SPAN, PASSAGE = 400, 240
+#: Bytes of a string that is removed if it repeats.
+SPAN = 400
 #: Bytes of the anchors of a string, and of those that split the segments of a frequent anchor further.
-GRAMS = (80, 200, PASSAGE)
+GRAMS = (80, 200, SPAN)
 #: Columns of aligned segments.
-COLUMNS = PASSAGE - GRAMS[0] + SPAN
+COLUMNS = SPAN - GRAMS[0] + SPAN
 #: Bytes that a task looks at together, segments that it sorts together, and those of one anchor beyond which it is split.
 CHUNK, SORTED, GROUP = 1 << 20, 8192, 8192
 #: Hot anchors that may be broadcast.
@@ -42,14 +46,14 @@ _tables: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, and two random values for each byte."""
+    """Powers of the base and of its inverse modulo 2 ** 64, and a random value for each byte."""
     if not _tables:
         n = 2 * CHUNK + SPAN + 1
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(n, b, np.uint64)
             p[0] = 1
             _tables.append(np.multiply.accumulate(p))
-        _tables.extend(np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64))
+        _tables.append(np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64))
     return _tables
 
 
@@ -58,10 +62,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sums_of(data: np.ndarray, which: int) -> np.ndarray:
+def sums_of(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``stretch`` gets the hash of any stretch of data."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tables()[2 + which][data] * tables()[0][: len(data)], out=out[1:])
+    np.cumsum(tables()[2][data] * tables()[0][: len(data)], out=out[1:])
     return out
 
 
@@ -69,10 +73,23 @@ def stretch(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return (sums[stop] - sums[start]) * tables()[1][start]
 
 
-def anchors(data: np.ndarray, gram: int, span: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+def digests(raw: bytes, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each segment, over its bytes, where its anchor lies in it and how many starts it has, as two numbers."""
+    blake = hashlib.blake2b
+    view = memoryview(raw)
+    found = []
+    for a, b, x, y in zip(start.tolist(), stop.tolist(), (anchor - start).tolist(), (last - start).tolist()):
+        h = blake(view[a:b], digest_size=16)
+        h.update(b"%d:%d:%d" % (x, y, b - a))
+        found.append(h.digest())
+    both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def anchors(data: np.ndarray, gram: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """For each start of a string of ``span`` bytes in data: the place of its anchor; and for each place the hash of its gram."""
     at = np.arange(len(data) - gram + 1)
-    grams = stretch(sums_of(data, 0), at, at + gram)
+    grams = stretch(sums_of(data), at, at + gram)
     least = (mixed(grams) & ~_POSITION) | at.astype(np.uint64)  # the first among equals
     places, width = span - gram + 1, 1
     while 2 * width <= places:
@@ -84,22 +101,21 @@ def anchors(data: np.ndarray, gram: int, span: int = PASSAGE) -> tuple[np.ndarra
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts: number of the text, hash of the anchor, its place, first and last start, stop and hash of the segment, for each run."""
+    """Of all texts: number of the text, hash of the anchor, its place, first and last start, and both halves of the segment's digest, for each run."""
     out = []
     pieces: list[tuple[int, int, bytes]] = []
     held = 0
 
     def look() -> None:
-        data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        raw = b"".join(p for _, _, p in pieces)
+        data = np.frombuffer(raw, np.uint8)
         size = np.array([len(p) for _, _, p in pieces])
         end = np.cumsum(size)
         owner = np.repeat(np.arange(len(pieces)), size)
         place, grams = anchors(data, GRAMS[0])
         start = np.arange(len(place))
         own = owner[: len(place)]
-        # No string reaches into the next text; a piece of a longer text leaves its last bytes to the next piece.
-        whole = np.array([at + len(p) == len(texts[t]) for t, at, p in pieces])
-        stop = np.where(whole, end - PASSAGE + 1, end - SPAN + 1)
+        stop = end - SPAN + 1  # no string reaches into the next text
         good = start < stop[own]
         cut = np.ones(len(place), bool)
         cut[1:] = (place[1:] != place[:-1]) | (own[1:] != own[:-1])
@@ -110,12 +126,11 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         last = np.minimum(ends[np.searchsorted(ends, first, side="right")], stop[own[first]]) - 1
         to = np.minimum(last + SPAN, end[own[first]])
         a = place[first]
-        digest = mixed(stretch(sums_of(data, 1), first, to) + mixed(((a - first) << 40 | (to - first) << 20 | (last - first)).astype(np.uint64)))
         back = np.array([at for _, at, _ in pieces])[own[first]] - (end - size)[own[first]]
-        out.append((np.array([t for t, _, _ in pieces])[own[first]], grams[a].view(np.int64), a + back, first + back, last + back, to + back, digest.view(np.int64)))
+        out.append((np.array([t for t, _, _ in pieces])[own[first]], grams[a].view(np.int64), a + back, first + back, last + back, *digests(raw, first, to, a, last)))
 
     for t, text in enumerate(texts):
-        if len(text) < PASSAGE:
+        if len(text) < SPAN:
             continue
         for at in range(0, max(1, len(text) - SPAN + 1), CHUNK):
             pieces.append((t, at, text[at : at + CHUNK + SPAN - 1] if at + CHUNK + SPAN - 1 < len(text) else text[at:]))
@@ -181,7 +196,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _runs(base: DataFrame) -> DataFrame:
-    """(anchor, segment, row, place, lo, hi) of all runs; starts count from the anchor's place."""
+    """(anchor, segment, other, row, place, lo, hi) of all runs: segment and other are a digest; starts count from the anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -190,38 +205,43 @@ def _runs(base: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1024):
                 number = part.column(0).to_numpy()
-                t, anchor, place, first, last, _, digest = runs([unpack.decompress(p) if p else b"" for p in part.column(1).to_pylist()])
+                t, anchor, place, first, last, *digest = runs([unpack.decompress(p) if p else b"" for p in part.column(1).to_pylist()])
                 if len(t):
-                    columns = [anchor, digest, number[t], place, (first - place).astype(np.int32), (last - place).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "row", "place", "lo", "hi"])
+                    columns = [anchor, *digest, number[t], place, (first - place).astype(np.int32), (last - place).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "other", "row", "place", "lo", "hi"])
 
-    return base.select("row", "packed").mapInArrow(run, "anchor long, segment long, row long, place long, lo int, hi int")
+    return base.select("row", "packed").mapInArrow(run, "anchor long, segment long, other long, row long, place long, lo int, hi int")
 
 
-SEGMENT = "anchor long, segment long, n long, row long, place long, lo int, hi int, bytes binary"
+SEGMENT = "anchor long, segment long, other long, n long, row long, place long, lo int, hi int, bytes binary"
+#: Segments that are cut out of a text at once.
+SLICE = 4096
 
 
 def _segments(base: DataFrame, classes: DataFrame) -> DataFrame:
-    """SEGMENT rows of classes (anchor, segment, n, row, place, lo, hi), with the bytes from each one's row."""
-    by_row = classes.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "n", "place", "lo", "hi")).alias("parts"))
-    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "segment", "n", "row", "place")] + [("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
+    """SEGMENT rows of classes (anchor, segment, other, n, row, place, lo, hi), with the bytes from each one's row."""
+    by_row = classes.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "other", "n", "place", "lo", "hi")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, 64):
-                out = []
-                for row, packed, parts in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = unpack.decompress(packed)
-                    out += [p | {"row": row, "bytes": raw[p["place"] + p["lo"] : p["place"] + p["hi"] + SPAN]} for p in parts]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for r in range(batch.num_rows):
+                raw = unpack.decompress(batch.column(1)[r].as_py())
+                parts = batch.column(2)[r].values
+                for at in range(0, len(parts), SLICE):  # as many as a long text has, in slices
+                    anchor, segment, other, n, place, lo, hi = parts.slice(at, SLICE).flatten()
+                    starts, stops = place.to_numpy() + lo.to_numpy(), place.to_numpy() + hi.to_numpy() + SPAN
+                    cut = pa.array([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())], pa.binary())
+                    row = pa.array(np.full(len(n), batch.column(0)[r].as_py(), np.int64))
+                    yield pa.RecordBatch.from_arrays([anchor, segment, other, n, row, place, lo, hi, cut], names=[f.split()[0] for f in SEGMENT.split(", ")])
 
     return base.select("row", "packed").join(by_row, "row").select("row", "packed", "parts").mapInArrow(run, SEGMENT)
 
 
-FOUND = "anchor long, segment long, n long, row long, place long, cut array<int>, seen array<int>"
+FOUND = "anchor long, segment long, other long, n long, row long, place long, cut array<int>"
+KEYS = ["anchor", "segment", "other", "n", "row", "place"]
 
 
 def spans(starts: np.ndarray, size: int) -> list[int]:
@@ -233,25 +253,23 @@ def spans(starts: np.ndarray, size: int) -> list[int]:
 
 
 def _compared(segments: DataFrame) -> DataFrame:
-    """FOUND rows: of each segment the stretches that strings of SPAN and of PASSAGE bytes cover which its anchor's others hold too."""
+    """FOUND rows: of each segment the stretches that strings of SPAN bytes cover which its anchor's others hold too."""
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, lo = table.column("anchor").to_numpy(), table.column("lo").to_numpy()
-        zero = PASSAGE - GRAMS[0]  # the column of the anchor
+        zero = SPAN - GRAMS[0]  # the column of the anchor
         rows = np.full((len(anchor), COLUMNS), 256, np.uint16)
         for r, (at, raw) in enumerate(zip((lo + zero).tolist(), table.column("bytes").to_pylist())):
             rows[r, at : at + len(raw)] = np.frombuffer(raw, np.uint8)
         group = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
         longest = sort_columns(rows, group, table.column("n").to_numpy() > 1)
-        cut, seen, at = [], [], []
-        for r in np.nonzero((longest >= PASSAGE).any(axis=1))[0]:
+        cut, at = [], []
+        for r in np.nonzero((longest >= SPAN).any(axis=1))[0]:
             at.append(r)
             cut.append(spans(np.nonzero(longest[r] >= SPAN)[0] - zero, SPAN))
-            seen.append(spans(np.nonzero(longest[r] >= PASSAGE)[0] - zero, PASSAGE))
         if at:
-            kept = table.select(["anchor", "segment", "n", "row", "place"]).take(pa.array(at)).combine_chunks()
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (cut, seen)]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns] + lists, names=[*kept.column_names, "cut", "seen"])
+            kept = table.select(KEYS).take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns), pa.array(cut, pa.list_(pa.int32()))], names=[*KEYS, "cut"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -278,9 +296,9 @@ def _compared(segments: DataFrame) -> DataFrame:
 
 
 def _cut_again(segments: DataFrame, gram: int) -> DataFrame:
-    """The segments cut into runs by longer anchors, SEGMENT rows with what they were a part of: (up: anchor, segment, n, row, place)."""
-    fields = [(c, pa.int64()) for c in ("anchor", "segment", "n", "place")] + [("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())]
-    up = [(f"up_{c}", pa.int64()) for c in ("anchor", "segment", "n", "row", "place")]
+    """The segments cut into runs by longer anchors, SEGMENT rows with what they were a part of: KEYS after up_."""
+    fields = [(c, pa.int64()) for c in ("anchor", "segment", "other", "n", "place")] + [("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())]
+    up = [(f"up_{c}", pa.int64()) for c in KEYS]
     schema = pa.schema(fields + up)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +315,10 @@ def _cut_again(segments: DataFrame, gram: int) -> DataFrame:
                     a = place[first]
                     offset = (a + r["lo"] + (1 << 20)).astype(np.uint64)
                     anchor = mixed(grams[a] + mixed(offset + np.int64(r["anchor"]).astype(np.uint64))).view(np.int64)
-                    digest = mixed(stretch(sums_of(data, 1), first, to) + mixed(((first + r["lo"] + 4096) << 40 | (to - first) << 20 | (last - first)).astype(np.uint64))).view(np.int64)
-                    over = {f"up_{c}": r[c] for c in ("anchor", "segment", "n", "row", "place")}
-                    for x, y, f, l, t in zip(anchor.tolist(), digest.tolist(), first.tolist(), last.tolist(), to.tolist()):
-                        out.append(over | {"anchor": x, "segment": y, "n": r["n"], "place": 0, "lo": r["lo"] + f, "hi": r["lo"] + l, "bytes": r["bytes"][f:t]})
+                    segment, other = digests(r["bytes"], first, to, np.full(len(first), -r["lo"]), last)
+                    over = {f"up_{c}": r[c] for c in KEYS}
+                    for x, y, z, f, l, t in zip(anchor.tolist(), segment.tolist(), other.tolist(), first.tolist(), last.tolist(), to.tolist()):
+                        out.append(over | {"anchor": x, "segment": y, "other": z, "n": r["n"], "place": 0, "lo": r["lo"] + f, "hi": r["lo"] + l, "bytes": r["bytes"][f:t]})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -316,52 +334,51 @@ def _resolved(segments: DataFrame, group: int, level: int = 0) -> DataFrame:
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
     found = _compared(segments.join(hot, "anchor", "left_anti").select(segments.columns))
     much = segments.join(hot, "anchor", "left_semi").select(segments.columns)
-    if level + 1 == len(GRAMS):  # a string of PASSAGE bytes each, the same in all of its anchor; only equal ones share SPAN bytes
-        none = F.array().cast("array<int>")
-        cut = F.when((F.col("n") > 1) & (F.octet_length("bytes") >= SPAN), F.array(F.col("lo"), F.col("lo") + SPAN)).otherwise(none)
-        return found.unionAll(much.select("anchor", "segment", "n", "row", "place", cut, F.array(F.col("lo"), F.col("lo") + PASSAGE)))
+    if level + 1 == len(GRAMS):  # a string of SPAN bytes each: only equal ones repeat
+        return found.unionAll(much.where("n > 1").select(*KEYS, F.array(F.col("lo"), F.col("lo") + SPAN).alias("cut")))
     parts = settle(_cut_again(much, GRAMS[level + 1]), "parts")
-    first = F.min(F.struct("up_anchor", "up_segment", "lo", "hi", "bytes")).alias("f")
-    classes = parts.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), first)
+    first = F.min(F.struct("lo", "hi", "bytes")).alias("f")
+    same = ["anchor", "segment", "other"]
+    classes = parts.groupBy(*same).agg(F.sum("n").alias("n"), first)
     zero = F.lit(0).cast("long")
-    classes = settle(classes.select("anchor", "segment", "n", zero.alias("row"), zero.alias("place"), "f.lo", "f.hi", "f.bytes"), "part-classes")
-    finer = _resolved(classes, group, level + 1).select("anchor", "segment", "cut", "seen")
-    again = parts.drop("n", "place", "lo", "hi", "bytes").join(finer, ["anchor", "segment"])
-    return found.unionAll(again.select(*[F.col(f"up_{c}").alias(c) for c in ("anchor", "segment", "n", "row", "place")], "cut", "seen"))
+    classes = settle(classes.select(*same, "n", zero.alias("row"), zero.alias("place"), "f.lo", "f.hi", "f.bytes"), "part-classes")
+    finer = _resolved(classes, group, level + 1).select(*same, "cut")
+    again = parts.drop("n", "place", "lo", "hi", "bytes").join(finer, same)
+    return found.unionAll(again.select(*[F.col(f"up_{c}").alias(c) for c in KEYS], "cut"))
 
 
 def repeats(base: DataFrame, group: int = GROUP) -> DataFrame:
-    """(row, place, cut, seen), of texts as from _base: stretches, relative to place, of strings that start elsewhere too."""
+    """(row, place, cut), of texts as from _base: stretches, relative to place, of strings that start elsewhere too."""
     all_runs = settle(_runs(base), "runs")
     # Written first, so that the join may split the runs of a frequent anchor.
     several = settle(all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "shared-anchors")
     shared = settle(all_runs.join(several, "anchor", "left_semi").select(all_runs.columns), "shared-runs")
     forget(all_runs)
     first = F.min(F.struct("row", "place", "lo", "hi")).alias("first")
-    classes = settle(shared.groupBy("anchor", "segment").agg(F.count("*").alias("n"), first), "classes")
-    segments = settle(_segments(base, classes.select("anchor", "segment", "n", "first.*")), "segments")
+    same = ["anchor", "segment", "other"]
+    classes = settle(shared.groupBy(*same).agg(F.count("*").alias("n"), first), "classes")
+    segments = settle(_segments(base, classes.select(*same, "n", "first.*")), "segments")
     found = settle(_resolved(segments, group), "found")
     forget(segments)
-    one = found.where("n = 1").select("row", "place", "cut", "seen")
-    equal = shared.join(found.where("n > 1").select("anchor", "segment", "cut", "seen"), ["anchor", "segment"])
-    return one.unionAll(equal.select("row", "place", "cut", "seen"))
+    one = found.where("n = 1").select("row", "place", "cut")
+    equal = shared.join(found.where("n > 1").select(*same, "cut"), same)
+    return one.unionAll(equal.select("row", "place", "cut"))
 
 
 def strip_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_repeated and kept (bytes) of every document.
+    """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every document.
 
     A byte goes if some string of SPAN bytes that covers it starts anywhere else too, in this document or another;
-    strings do not cross documents and are judged on the input. n_repeated counts the bytes that strings of PASSAGE bytes
-    cover which start elsewhere too, removed or not. A null text is empty. Shorter texts keep all. Repeated
+    strings do not cross documents and are judged on the input. A null text is empty. Shorter texts keep all. Repeated
     rows are documents each and so repeat each other; null doc_ids are no less. An empty table gives an empty result; other
-    columns are not read."""
+    columns are not read. A text of any length: anchors and segments are made and cut out in slices of it."""
     base = _base(docs)
-    found = repeats(base, group).groupBy("row").agg(F.collect_list(F.struct("place", "cut", "seen")).alias("found"))
+    found = repeats(base, group).groupBy("row").agg(F.collect_list(F.struct("place", "cut")).alias("found"))
     joined = base.join(found, "row", "left").select("doc_id", "packed", "found")
 
-    def stretches(found: list, which: str) -> list[tuple[int, int]]:
+    def stretches(found: list) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        for a, b in sorted((f["place"] + a, f["place"] + b) for f in found for a, b in zip(f[which][::2], f[which][1::2])):
+        for a, b in sorted((f["place"] + a, f["place"] + b) for f in found for a, b in zip(f["cut"][::2], f["cut"][1::2])):
             if out and a <= out[-1][1]:
                 out[-1] = out[-1][0], max(b, out[-1][1])
             else:
@@ -377,15 +394,14 @@ def strip_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 out = []
                 for doc, packed, found in zip(*(c.to_pylist() for c in part.columns)):
                     raw, kept, at = unpack.decompress(packed), [], 0
-                    gone = stretches(found or [], "cut")
+                    gone = stretches(found or [])
                     for a, b in gone:
                         kept.append(raw[at:a])
                         at = b
-                    seen = sum(b - a for a, b in stretches(found or [], "seen"))
-                    out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), seen, b"".join([*kept, raw[at:]])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 5 + (pa.binary(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
+                    out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), b"".join([*kept, raw[at:]])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.binary(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(kept: Column) -> Column:
@@ -393,5 +409,5 @@ def digest(kept: Column) -> Column:
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, the SHA-256 of the kept bytes and n_repeated of every document."""
-    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", digest(F.col("kept")).alias("kept_sha256"), "n_repeated")
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes of every document."""
+    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", digest(F.col("kept")).alias("kept_sha256"))

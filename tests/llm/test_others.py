@@ -12,7 +12,7 @@ from quillmill.llm import decontam, embed, html, queries, warc
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     cursor = con.execute(queries.ORACLES[name])
