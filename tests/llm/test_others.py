@@ -120,7 +120,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <header>Site name</header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 %s<aside>Side</aside><section id="comments"><article class="comment"><p>Reader says</p></article></section>
 <form><input><button>Go</button></form><footer>&copy; us</footer></body></html>"""
-BODY = "<h1>Head &amp; shoulders</h1><p>One <b>bold</b>  word<br>here<p>Two&nbsp;x<div class='ad'>Buy</div><ul><li>a<li>b</ul><!-- no --><p hidden>secret</p>"
+BODY = "<h1>Head &amp; shoulders</h1><p>One <b>bold</b>  word<br>here<p>Two&nbsp;x<div role=menu>Buy</div><ul><li>a<li>b</ul><!-- no --><p hidden>secret</p>"
 TEXT = "Head & shoulders\nOne bold word here\nTwo x\na\nb"
 
 
@@ -158,6 +158,46 @@ def test_articles_in_several_parts(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
 
 
+PARTS = "<h1>Head {i}</h1><p>Text {i}</p><section class='related-work'><h2>Work {i}</h2><p>Like {i}</p></section><div class='notice-board'>Board {i}</div><div class=sidebar><p>Side {i}</p></div><div class=share>Share this</div>"
+LINES = "Head {i}\nText {i}\nWork {i}\nLike {i}\nBoard {i}\nSide {i}"
+
+
+def test_names_delete_no_part_of_an_article(spark):
+    """Parts that vary stay whatever their names are; a named part that is the same on all pages goes, and on a lone page it stays."""
+    page = "<body><nav>Menu</nav><h1 class={c}>Title {i}</h1><div class=ad>Buy {i}</div><p class={c}>Lead {i}</p><article class={c}>%s</article><aside>More</aside><footer>F</footer></body>" % PARTS
+    rows = [(i, f"http://h.org/{i}", page.format(i=i, c=f"sc-{i:x}q")) for i in range(12)] + [(50, "http://lone.org", page.format(i=50, c="x"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[50] == LINES.format(i=50) + "\nShare this"
+    assert {i: got[i] for i in range(12)} == {i: f"Title {i}\nLead {i}\n" + LINES.format(i=i) for i in range(12)}
+
+
+def test_generated_names_share_a_layout(spark):
+    page = "<body><div class=a{c}>Our shop, open daily</div><div class=b{c}><p>{a}</p><p>{b}</p></div><div class=c{c}>Visit us again</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(c=i * 7919, a=f"First {i}", b=f"second {i * i}")) for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"First {i}\nsecond {i * i}" for i in range(12)}
+
+
+def test_two_hundred_levels(spark):
+    deep = lambda i: "<div>" * 200 + f"<p>Inner {i}</p>" + "".join(f"<p>Out {i} {k}</p></div>" for k in range(200))
+    rows = [(i, "http://h.org/x", f"<body><div><p>Same</p></div><section>{deep(i)}</section></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([f"Inner {i}", *(f"Out {i} {k}" for k in range(200))]) for i in range(4)}
+
+
+def test_given_pages_by_their_articles(spark, sf_dir):
+    """A plain reading of the given pages, whose texts all stand in one article element of headings, paragraphs and bold runs."""
+    import re
+    from html import unescape
+
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r.text for r in html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    for r in rows:
+        inside = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        parts = re.split("</?(?:h1|p)>", re.sub("</?b>|<!--.*?-->", "", re.sub("<br ?/?>", " ", inside)))
+        assert got[r.page_id] == "\n".join(x for x in (" ".join(unescape(re.sub("<[^>]*>", "", p)).split()) for p in parts) if x)
+
+
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
     assert html.main_text("<p a='x>y<b>z") and html.main_text("</p></div>a<b>b") == "ab" and html.main_text("<script>x") == ""
@@ -178,7 +218,7 @@ def test_alignment_by_brute_force(monkeypatch, cells):
         return "".join(f"<{t}>{page(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "section", "b"], k=rng.randint(0, 4)))
 
     def best(a, b):
-        if a.path.rsplit("/")[-1] != b.path.rsplit("/")[-1]:
+        if a.tag != b.tag:
             return 0
         x, y = a.kids, b.kids
         table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
