@@ -69,4 +69,18 @@ SURFACE = {
     "surface_limit": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS price FROM orders ORDER BY o_orderkey LIMIT 10, 25", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS price FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10"),
     "surface_cast": ("SELECT p_partkey, CAST(p_size || 'x' AS INTEGER) AS size, CAST(p_size AS TEXT) AS text, max(p_size, 20) AS most, min(p_size, NULL) AS least, ifnull(NULL, p_size) AS own FROM part", "SELECT p_partkey, p_size::BIGINT AS size, p_size::VARCHAR AS text, greatest(p_size, 20) AS most, NULL::INTEGER AS least, p_size AS own FROM part"),
     "surface_dates": ("SELECT strftime('%Y-%m', o_orderdate) AS month, COUNT(*) AS n FROM orders GROUP BY strftime('%Y-%m', o_orderdate)", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY ALL"),
+    "surface_division": ("SELECT o_orderkey, o_orderkey / 7 AS week, o_orderkey / 7 / 2 AS half_week, o_totalprice / 2 AS half, o_custkey / 0 AS none, o_custkey % 7 AS rest FROM orders WHERE o_orderkey / 3 > 10", "SELECT o_orderkey, o_orderkey // 7 AS week, o_orderkey // 7 // 2 AS half_week, o_totalprice / 2 AS half, NULL AS none, o_custkey % 7 AS rest FROM orders WHERE o_orderkey // 3 > 10"),
+    "surface_nested_division": ("SELECT o_custkey, x / 2 AS y, sum(x) / count(*) AS mean FROM (SELECT o_custkey, o_orderkey / 5 AS x FROM orders) GROUP BY o_custkey, x", "SELECT o_custkey, x // 2 AS y, sum(x)::BIGINT // count(*) AS mean FROM (SELECT o_custkey, o_orderkey // 5 AS x FROM orders) GROUP BY o_custkey, x"),
+    "surface_texts_as_numbers": ("SELECT p_partkey, p_brand + 1 AS a, substr(p_brand, 7) * '2' AS b, -substr(p_brand, 7) AS c FROM part", "SELECT p_partkey, 1.0::DOUBLE AS a, substr(p_brand, 7)::DOUBLE * 2 AS b, -(substr(p_brand, 7)::DOUBLE) AS c FROM part"),
+    "surface_text_comparison": ("SELECT p_partkey FROM part WHERE p_size < 'x' AND p_size >= '20' AND p_brand > p_size", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_brand IS NOT NULL"),
+    "surface_truth": ("SELECT s_suppkey, CASE WHEN s_suppkey % 2 THEN 'odd' ELSE 'even' END AS kind FROM supplier WHERE s_suppkey % 3 AND NOT s_nationkey % 5", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 <> 0 THEN 'odd' ELSE 'even' END AS kind FROM supplier WHERE s_suppkey % 3 <> 0 AND s_nationkey % 5 = 0"),
+    "surface_text_truth": ("SELECT p_partkey FROM part WHERE substr(p_brand, 7) AND NOT p_name", "SELECT p_partkey FROM part WHERE substr(p_brand, 7)::INT <> 0"),
+    "surface_log": ("SELECT p_partkey, round(log(p_retailprice), 6) AS l, round(log(2, p_size), 6) AS two, log(0) AS none FROM part", "SELECT p_partkey, round(log10(p_retailprice), 6) AS l, round(log10(p_size) / log10(2), 6) AS two, NULL AS none FROM part"),
+    "surface_bare_max": ("SELECT o_custkey, o_orderkey, max(o_totalprice) AS most FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, max(o_totalprice) AS most FROM orders GROUP BY o_custkey"),
+    "surface_bare_min": ("SELECT o_orderstatus, o_orderkey / 2 AS half, min(o_totalprice) AS least, count(*) AS n FROM orders GROUP BY 1", "SELECT o_orderstatus, arg_min(o_orderkey, o_totalprice) // 2 AS half, min(o_totalprice) AS least, count(*) AS n FROM orders GROUP BY 1"),
+    "surface_bare_whole": ("SELECT s_suppkey, s_name, max(s_acctbal) AS most FROM supplier", "SELECT arg_max(s_suppkey, s_acctbal) AS s_suppkey, arg_max(s_name, s_acctbal) AS s_name, max(s_acctbal) AS most FROM supplier"),
+    "surface_date_modifiers": ("SELECT o_orderkey, date(o_orderdate, '+1 month') AS later, date(o_orderdate, 'start of month', '-1 day') AS before, datetime(o_orderdate, '+90 minutes') AS soon, strftime('%d.%m.%Y at %H', o_orderdate, '+1 year') AS said FROM orders", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days((day(o_orderdate) - 1)::INT), '%Y-%m-%d') AS later, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') AS before, strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS soon, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 YEAR + to_days((day(o_orderdate) - 1)::INT) + (o_orderdate - date_trunc('day', o_orderdate)), '%d.%m.%Y at %H') AS said FROM orders"),
+    "surface_julianday": ("SELECT l_orderkey, l_linenumber, round(julianday(l_shipdate) - julianday('1992-01-01'), 6) AS days FROM lineitem", "SELECT l_orderkey, l_linenumber, round(epoch(l_shipdate) / 86400 - epoch(TIMESTAMP '1992-01-01') / 86400, 6) AS days FROM lineitem"),
+    "surface_json_each": ("SELECT event_id, json_each.key AS name, CAST(json_each.value AS INTEGER) / 2 AS half FROM events, json_each(props)", "SELECT event_id, name, json_extract_string(props, '$.' || name)::BIGINT // 2 AS half FROM (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events)"),
+    "surface_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey IN(SELECT o_custkey FROM orders ORDER BY o_orderkey LIMIT 5, 100)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5)"),
 }
