@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapreplace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ HEAD, CLASS, WIDTH = 2048, 64, 16
 FREQUENT = 1 << 18
 #: Rounds over disjoint shares of the training documents, lanes side by side, tokens of a window, and tokens read before they are dealt to lanes.
 ROUNDS, LANES, WINDOW, READ = 3, 128, 32, 1 << 18
-#: Windows that a lane has in training, at least; short streams have fewer lanes.
-WINDOWS = 16
+#: Windows that a lane has in training, at least; short streams have fewer lanes. Tokens that are scored together.
+WINDOWS, SCORED_AT_ONCE = 16, 1 << 20
 RATE, CLIP = 0.01, 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Rows in which a network travels.
@@ -146,7 +147,7 @@ class Network:
         """Natural log-probability of each next id, a rare word's being that of its class; with grads also their gradient in the states."""
         places = np.arange(len(y))
         cls = np.where(y == self.head, self.classes, y // CLASS)
-        soft, found = _softmax(states @ self.p["class"] + self.p["class_bias"], cls)
+        soft, found = _softmax(states @ self.p["class"] + self.p["class_bias"], cls, grads is not None)
         back = None
         if grads is not None:
             soft[places, cls] -= 1
@@ -158,7 +159,7 @@ class Network:
         for c in np.flatnonzero(np.diff(ends)):
             rows = order[ends[c] : ends[c + 1]]
             here, word = states[rows], y[rows] - c * CLASS
-            soft, more = _softmax(here @ self.p["word"][c] + self.p["word_bias"][c], word)
+            soft, more = _softmax(here @ self.p["word"][c] + self.p["word_bias"][c], word, grads is not None)
             found[rows] += more
             if grads is not None:
                 soft[np.arange(len(rows)), word] -= 1
@@ -195,12 +196,14 @@ class Network:
         return {k: grads[k] / y.size for k in self.p}, after, -float(found.mean())
 
 
-def _softmax(a: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(a: np.ndarray, picked: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities if the whole of them is asked for, and the logarithms of those picked."""
     a -= a.max(axis=1, keepdims=True)
     at = a[np.arange(len(a)), picked]
     np.exp(a, out=a)
     total = a.sum(axis=1, keepdims=True)
-    a /= total
+    if whole:
+        a /= total
     return a, at - np.log(total[:, 0])
 
 
@@ -251,9 +254,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             adam, held, seen, size = Adam(own), [], 0, 0
             for batch in batches:
                 for text in batch.column(0):
-                    ids = [rank.get(w, len(head)) for w in words_of(text.as_py())]
-                    held.append(np.array([*ids, 0], np.int32))
-                    size += len(ids) + 1
+                    held.append(np.array([*map(rank.get, words_of(text.as_py()), repeat(len(head))), 0], np.int32))
+                    size += len(held[-1])
                     if size > READ:
                         train_on(own, adam, np.concatenate(held))
                         held, seen, size = [], seen + size, 0
@@ -329,7 +331,7 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> list[float]:
 
 
 SCORED = "id long, doc_id long, held_out boolean, n_tokens long, n_frequent long, log_c double, n_tail long, log_head double, log_net double, rare array<struct<token: binary, n: long>>"
-SCORED_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))]
+SCORED_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
 
 
 def score_rows(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
@@ -341,28 +343,36 @@ def score_rows(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFra
         rank = {w: i for i, w in enumerate(words)}
         logs = np.log10(np.append(counts, 0) + 1.0)  # the last place, reached by -1, adds nothing
         own = Network(head, -(-head // CLASS)).load(flat)
-        base, rows, ids_of, size = TaskContext.get().partitionId() << 40, [], [], 0
-        at = base
+        at = TaskContext.get().partitionId() << 40
+        rows: list[tuple] = []
+        ids_of: list[np.ndarray] = []
+        rare_words: list[bytes] = []
+        rare_counts: list[int] = []
+        ends, size = [0], 0
 
         def out() -> pa.RecordBatch:
-            scores = score_documents(own, ids_of)
-            columns = zip(*((*r[:-1], s / LN10, r[-1]) for r, s in zip(rows, scores)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SCORED_TYPES)], names=[f.split()[0] for f in SCORED.split(", ")][: len(SCORED_TYPES)])
+            columns = zip(*((*r, s / LN10) for r, s in zip(rows, score_documents(own, ids_of))))
+            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"])
+            arrays = [*(pa.array(c, t) for c, t in zip(columns, SCORED_TYPES)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "held_out", "n_tokens", "n_frequent", "log_c", "n_tail", "log_head", "log_net", "rare"])
 
         for batch in batches:
             for doc, held_out, text in zip(*batch.columns):
                 found = words_of(text.as_py())
-                ranks = np.array([*(rank.get(w, -1) for w in found), 0], np.int32)
-                rare = Counter([found[i] for i in np.flatnonzero(ranks < 0)])
+                ranks = np.array([*map(rank.get, found, repeat(-1)), 0], np.int32)
+                unknown = np.flatnonzero(ranks < 0)
+                rare = Counter([found[i] for i in unknown])
+                rare_words += rare
+                rare_counts += rare.values()
+                ends.append(len(rare_words))
                 tail = (ranks < 0) | (ranks >= head)
                 known = logs[ranks]
-                n_frequent = len(ranks) - int((ranks < 0).sum()) - int(not counts[0])
-                rows.append((at, doc.as_py(), held_out.as_py(), len(ranks), n_frequent, float(known.sum()), int(tail.sum()), float(known[~tail].sum()), [{"token": w, "n": n} for w, n in rare.items()]))
+                rows.append((at, doc.as_py(), held_out.as_py(), len(ranks), len(ranks) - len(unknown) - int(not counts[0]), float(known.sum()), int(tail.sum()), float(known[~tail].sum())))
                 ids_of.append(np.where(tail, head, ranks))
                 at, size = at + 1, size + len(ranks)
-                if size > READ:
+                if size > SCORED_AT_ONCE:
                     yield out()
-                    rows, ids_of, size = [], [], 0
+                    rows, ids_of, rare_words, rare_counts, ends, size = [], [], [], [], [0], 0
         if rows:
             yield out()
 
