@@ -1,14 +1,41 @@
-"""The chunk index: chunks, postings and their statistics by user and thread, upserts and rebuilding."""
+"""The chunk index: chunks, blocks of postings and statistics of users and threads, written as immutable segments.
+
+A segment holds what one write brought: its chunks, their postings, the chunks of earlier segments that are gone, and how much
+it changed the statistics. A manifest names the segments that make a version; it appears at once or not at all, so a
+reader sees one whole version while the next is being written. Statistics are sums over segments, so a write costs
+what it brings and what it takes away, and searching gives what a rebuilt index gives.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import uuid
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_table, tokens
-from .retrieve import ranked_by_terms, statistics
+from ..session import settled
+from .retrieve import B, EPSILON, K1, asked_terms
 
 OWNER = ["user_id", "thread_id"]
+KEY = [*OWNER, "chunk_id"]
+#: What stands for the owner of chunks without one.
+NOBODY = "-"
+#: Chunks of a range, and so the longest block of postings.
+RANGE = 128
+#: Ranges that are scored for each question before the others are judged by their bounds.
+FIRST_RANGES = 4
+#: Scores are ranked to nine places; bounds give way by a little more.
+SLACK = 1e-8
+#: (question, term) pairs that may be broadcast.
+BROADCAST_ASKED = 200_000
+TABLES = ["chunks", "gone", "postings", "terms", "whole"]
+
+
+class Conflict(RuntimeError):
+    """Someone else has published the version that a write was to be; write again."""
 
 
 def keep_latest(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -18,46 +45,256 @@ def keep_latest(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFr
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_age")
 
 
-def write_index(chunks: DataFrame, path: str, by: list[str] | None = None, sort: str | None = None) -> None:
-    """K2, K4: a table in partitions by user and thread, so that a search reads its own only. The partitions that ``chunks`` has
-    are replaced, all others stay. A large thread is written by several tasks."""
-    by = [c for c in (OWNER if by is None else by) if c in chunks.columns]
-    dealt = chunks.hint("rebalance", *by) if by else chunks
-    dealt = dealt.sortWithinPartitions(*by, sort) if sort else dealt
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if by else "static").partitionBy(*by).parquet(path)
+# Versions
 
 
-def reindex(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
-    """The chunks of parsed documents (doc_id, text, and user_id and thread_id where there are some) anew, with their postings."""
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The published versions, rising."""
+    fs, where = _folder(spark, f"{path}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.partition(".")[0]) for n in names if n.endswith(".json"))
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """A version (the newest if none is named): its segments, the tables' schemas, and marks of what has been taken in."""
+    known = versions(spark, path)
+    if version is None and not known:
+        return {"version": 0, "segments": [], "schemas": {}, "marks": {}}
+    name = f"{path}/manifest/{known[-1] if version is None else version:012d}.json"
+    return json.loads(spark.read.text(name, wholetext=True).first()[0])
+
+
+def publish(spark: SparkSession, path: str, new: dict) -> dict:
+    """Make the version after new["version"] known (K7); Conflict if it is there already."""
+    new = new | {"version": new["version"] + 1}
+    name = f"{path}/manifest/{new['version']:012d}.json"
+    fs, part = _folder(spark, f"{path}/manifest/_{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(bytearray(json.dumps(new).encode()))
+    out.close()
+    if fs.exists(_folder(spark, name)[1]) or not fs.rename(part, _folder(spark, name)[1]):
+        fs.delete(part, False)
+        raise Conflict(name)
+    return new
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete what the newest ``keep`` versions do not need; no write may be under way."""
+    known = versions(spark, path)
+    needed = {s for v in known[-keep:] for s in manifest(spark, path, v)["segments"]}
+    for table in TABLES:
+        fs, where = _folder(spark, f"{path}/{table}")
+        for s in fs.listStatus(where) if fs.exists(where) else []:
+            if s.getPath().getName().removeprefix("seg=") not in needed:
+                fs.delete(s.getPath(), True)
+    for v in known[:-keep]:
+        fs, where = _folder(spark, f"{path}/manifest/{v:012d}.json")
+        fs.delete(where, False)
+
+
+# Segments
+
+
+def read(spark: SparkSession, path: str, of: dict, table: str, user: str | None = None, thread: str | None = None) -> DataFrame:
+    """A table over all segments of a version, of one user or thread if named; position counts the segments from 1."""
+    paths = [f"{path}/{table}/seg={s}" for s in of["segments"]]
+    found = spark.read.schema(f"{of['schemas'][table]}, seg string, user_id string, thread_id string").option("basePath", f"{path}/{table}").parquet(*paths)
+    for column, value in zip(OWNER, (user, thread)):
+        found = found if value is None else found.where(F.col(column) == value)
+    return found.withColumn("position", F.array_position(F.array(*map(F.lit, of["segments"])), F.col("seg"))).drop("seg")
+
+
+def live(spark: SparkSession, path: str, of: dict, rows: DataFrame, user: str | None = None, thread: str | None = None) -> DataFrame:
+    """Rows (KEY, position) whose chunk no later segment has replaced or deleted."""
+    if len(of["segments"]) < 2:
+        return rows
+    gone = read(spark, path, of, "gone", user, thread).groupBy(*KEY).agg(F.max("position").alias("gone_at"))
+    return rows.join(gone, KEY, "left").where("gone_at IS NULL OR gone_at <= position").drop("gone_at")
+
+
+def chunks_of(spark: SparkSession, path: str, user: str | None = None, thread: str | None = None, version: int | None = None) -> DataFrame:
+    """The chunks of a version (the newest), with their owners."""
+    of = manifest(spark, path, version)
+    return live(spark, path, of, read(spark, path, of, "chunks", user, thread), user, thread).drop("position")
+
+
+def _write(rows: DataFrame, path: str, table: str, segment: str, sort: list[str]) -> str:
+    """Written by owner, so that a search reads its own only; a large thread is written by several tasks. Gives the schema."""
+    dealt = rows.hint("rebalance", *OWNER).sortWithinPartitions(*OWNER, *sort)
+    dealt.write.partitionBy(*OWNER).parquet(f"{path}/{table}/seg={segment}")
+    return ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c not in OWNER)
+
+
+def _owned(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(NOBODY)) if c in rows.columns else F.lit(NOBODY) for c in OWNER})
+
+
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """The postings of chunks in blocks: owner, term, range (of chunks that lie together), how many, the largest tf and the least
+    length among them, and ids, tfs and lengths as arrays of up to RANGE."""
+    placed = chunks.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
+    terms = placed.select(*KEY, "range", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*KEY, "range", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    block = F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "length")))
+    blocks = terms.groupBy(*OWNER, "term", "range").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), block.alias("b"))
+    return blocks.select(*OWNER, "term", "range", "n", "max_tf", "min_length", F.col("b.chunk_id").alias("ids"), F.col("b.tf").alias("tfs"), F.col("b.length").alias("lengths"))
+
+
+def _latest(chunks: DataFrame) -> DataFrame:
+    """One row of each chunk: of repeated ones that with the larger text."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("text"), *[F.desc(c) for c in chunks.columns if c not in (*KEY, "text")])
+    return chunks.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def put(spark: SparkSession, path: str, chunks: DataFrame | None = None, gone: DataFrame | None = None, replaces: list[str] | None = None, mark: tuple[str, int] | None = None) -> dict:
+    """Write a segment (K3, K4) and publish it: chunks (chunk_id, text, owner and further columns) replace those that have the same in the
+    columns ``replaces`` (KEY; OWNER would be all of their owners'); the chunks ``gone`` names (KEY) are deleted. A mark (name, number) that the index already has, or a later one, is
+    not taken in again. Returns the version's manifest."""
+    of = manifest(spark, path)
+    if mark and of["marks"].get(mark[0], -1) >= mark[1]:
+        return of
+    segment = uuid.uuid4().hex
+    schemas = dict(of["schemas"])
+    if chunks is None:
+        if not of["segments"]:
+            return of
+        chunks = read(spark, path, of, "chunks").drop("position").limit(0)
+    chunks = _latest(_owned(chunks))
+    if of["segments"]:
+        known = read(spark, path, of, "chunks").drop("position")
+        if sorted(known.dtypes) != sorted(chunks.dtypes):
+            raise ValueError(f"the index has chunks of {sorted(known.dtypes)}, not of {sorted(chunks.dtypes)}")
+        chunks = chunks.select(known.columns)
+    schemas["chunks"] = _write(chunks, path, "chunks", segment, ["chunk_id"])
+    alone = of | {"segments": [segment], "schemas": schemas}
+    text = tokens(F.coalesce("text", F.lit("")))
+    brought = read(spark, path, alone, "chunks")
+    new = brought.select(*KEY, text.alias("tokens"))
+    both = new.withColumn("sign", F.lit(1))
+    if of["segments"]:
+        old = live(spark, path, of, read(spark, path, of, "chunks"))
+        same = replaces or KEY
+        leaving = old.join(brought.select(*same).distinct(), same, "left_semi").select(*KEY, text.alias("tokens"))
+        if gone is not None:
+            leaving = leaving.unionByName(old.join(_owned(gone).select(*KEY).distinct(), KEY, "left_semi").select(*KEY, text.alias("tokens"))).dropDuplicates(KEY)
+    else:
+        leaving = new.limit(0)
+    schemas["gone"] = _write(leaving.select(*KEY), path, "gone", segment, ["chunk_id"])
+    left = old.join(read(spark, path, alone | {"schemas": schemas}, "gone").select(*KEY), KEY, "left_semi").select(*KEY, text.alias("tokens")) if of["segments"] else leaving
+    both = both.unionByName(left.withColumn("sign", F.lit(-1)))
+    df = both.select(*OWNER, "sign", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*OWNER, "term").agg(F.sum("sign").alias("df")).where("df <> 0")
+    schemas["terms"] = _write(df, path, "terms", segment, ["term"])
+    schemas["whole"] = _write(both.groupBy(*OWNER).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.size("tokens")).alias("length")), path, "whole", segment, [])
+    schemas["postings"] = _write(_blocks(new), path, "postings", segment, ["term", "range"])
+    marks = of["marks"] | ({mark[0]: mark[1]} if mark else {})
+    return publish(spark, path, of | {"segments": [*of["segments"], segment], "schemas": schemas, "marks": marks})
+
+
+def compact(spark: SparkSession, path: str) -> dict:
+    """One segment in place of all, for readers from the next version on."""
+    of = manifest(spark, path)
+    if len(of["segments"]) < 2:
+        return of
+    part = f"{path}/_compact-{uuid.uuid4().hex}"
+    alone = put(spark, part, chunks_of(spark, path))
+    for table in TABLES:
+        fs, where = _folder(spark, f"{path}/{table}/seg={alone['segments'][0]}")
+        fs.rename(_folder(spark, f"{part}/{table}/seg={alone['segments'][0]}")[1], where)
+    fs, where = _folder(spark, part)
+    fs.delete(where, True)
+    return publish(spark, path, of | {"segments": alone["segments"], "schemas": alone["schemas"]})
+
+
+def parsed_chunks(parsed: DataFrame) -> DataFrame:
+    """The chunks of parsed documents (doc_id, text, and user_id and thread_id where there are some), with their owners and indexed text."""
     by = [c for c in OWNER if c in parsed.columns]
     chunks = chunk_table(parsed)
     if by:
-        owned = parsed.select(*by, F.col("doc_id").alias("document_id"))
-        chunks = chunks.join(owned, "document_id")
-    write_index(chunks, f"{path}/chunks", by)
-    write_postings(chunks.select(*by, "chunk_id", F.col("content").alias("text")), path)
-    return spark.read.parquet(f"{path}/chunks")
+        chunks = chunks.join(parsed.select(*by, F.col("doc_id").alias("document_id")), "document_id")
+    return chunks.withColumn("text", F.col("content"))
+
+
+def reindex(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
+    """The chunks of parsed documents in place of all that their owners have. Readers see the old ones until all is written."""
+    put(spark, path, parsed_chunks(parsed), replaces=OWNER)
+    return chunks_of(spark, path)
+
+
+# Search
+
+
+def scope_statistics(spark: SparkSession, path: str, of: dict, user: str | None = None, thread: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) and one row (n, mean_length) over all that is searched: sums over segments and owners first, then idf and its floor."""
+    whole = read(spark, path, of, "whole", user, thread).agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+    df = read(spark, path, of, "terms", user, thread).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    idf = df.join(F.broadcast(whole.select("n"))).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n")  # an aggregate without keys has one row
+    mean = idf.agg(F.avg("idf").alias("mean_idf"))
+    idf = idf.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    return idf, whole
 
 
-def write_postings(chunks: DataFrame, path: str) -> None:
-    """K4: of chunks (chunk_id, text, user_id and thread_id where there are some) the postings, sorted by term, and the statistics
-    of each thread: how many chunks, their mean length, and the df and idf of each term."""
-    by = [c for c in OWNER if c in chunks.columns]
-    own = chunks.select(*by, "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    postings = own.select(*by, "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*by, "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    write_index(postings, f"{path}/postings", by, "term")
-    terms, whole = statistics(own, by)
-    write_index(terms, f"{path}/terms", by, "term")
-    write_index(whole, f"{path}/whole", by)
+def _part(tf: Column, length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_length")))
+
+
+class _Search:
+    """The questions' terms with their weights, and for each question and range of chunks a bound of the scores in it."""
+
+    def __init__(self, spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None, thread: str | None):
+        self.spark, self.path, self.k, self.of = spark, path, k, manifest(spark, path)
+        self.scope = user, thread
+        terms, whole = scope_statistics(spark, path, self.of, user, thread)
+        asked = asked_terms(questions).join(terms, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"))
+        self.small = asked.count() <= BROADCAST_ASKED
+        self.asked = F.broadcast(asked) if self.small else asked
+        self.whole = whole
+        self.postings = read(spark, path, self.of, "postings", user, thread)
+        heads = self.postings.select("term", "position", "range", "n", "max_tf", "min_length", *OWNER).join(self.asked, "term").join(F.broadcast(whole.select("mean_length")))
+        bound = F.greatest("weight", F.lit(0.0)) * _part(F.col("max_tf"), F.col("min_length"))
+        self.pairs = heads.groupBy("query_id", *OWNER, "position", "range").agg(F.sum(bound).alias("bound"), F.sum("n").alias("n"))
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of all live chunks in the ranges of pairs; only their blocks are unpacked."""
+        keys = [*OWNER, "position", "range"]
+        wanted = pairs.select("query_id", *keys).join(self.asked, "query_id")
+        blocks = self.postings.join(wanted, [*keys, "term"]).select(*keys, "query_id", "weight", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+        hit = blocks.select("query_id", *OWNER, "position", "weight", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
+        one = live(self.spark, self.path, self.of, hit.join(F.broadcast(self.whole.select("mean_length"))), *self.scope)
+        return one.groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("length"))).alias("score"))
+
+    def plan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The scores in the first ranges, the pairs that they come from, and the other pairs that can still reach the k best."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), *OWNER, "position", "range")
+        first = settled(self.pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= FIRST_RANGES).drop("_r"), "first-ranges")
+        scores = settled(self.scores(first), "first-scores")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        least = scores.withColumn("_k", F.row_number().over(best)).where(F.col("_k") == self.k).select("query_id", F.col("score").alias("least"))
+        rest = self.pairs.join(first.select("query_id", *OWNER, "position", "range"), ["query_id", *OWNER, "position", "range"], "left_anti")
+        rest = rest.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+        return scores, first, settled(rest, "other-ranges")
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
-    """S20, R4 over a written index: (query_id, rank, chunk_id, score) of the questions (query_id, text), in one thread's partitions if it is named."""
+    """S20, R4 over the newest version: (query_id, rank, chunk_id, score, owner) of the questions (query_id, text), over all owners or those named.
+
+    What BM25 gives over the live chunks: ranges of chunks whose bound cannot reach a question's k best are not scored."""
+    if not versions(spark, path):
+        raise PySparkException(f"no index in {path}")
+    s = _Search(spark, path, questions, k, user, thread)
+    scores, _, rest = s.plan()
+    scored = scores.unionByName(s.scores(rest))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return ranked.where("score > 0").select("query_id", "rank", "chunk_id", "score", *OWNER)
 
-    def read(name: str) -> DataFrame:
-        found = spark.read.parquet(f"{path}/{name}")
-        for column, value in zip(OWNER, (user, thread)):
-            found = found if value is None else found.where(F.col(column) == value)
-        return found.drop(*OWNER)
 
-    return ranked_by_terms(read("postings"), read("terms"), read("whole"), questions, k)
+def search_cost(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
+    """(query_id, postings, read): how many postings the question's terms have, and how many of them a search reads."""
+    s = _Search(spark, path, questions, k, user, thread)
+    _, first, rest = s.plan()
+    done = first.select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("read"))
+    return s.pairs.groupBy("query_id").agg(F.sum("n").alias("postings")).join(done, "query_id")

@@ -93,12 +93,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     own = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     terms, whole = statistics(own)
     # Only terms that are asked for are counted by chunk.
-    postings = own.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(_small_terms(_asked(questions).select("term").distinct()), "term", "left_semi")
+    postings = own.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(_small_terms(asked_terms(questions).select("term").distinct()), "term", "left_semi")
     postings = postings.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     return ranked_by_terms(postings, terms, whole, questions, k)
 
 
-def _asked(questions: DataFrame) -> DataFrame:
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, times) of questions (query_id, text)."""
     return questions.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
@@ -108,7 +109,7 @@ def _small_terms(terms: DataFrame) -> DataFrame:
 
 def ranked_by_terms(postings: DataFrame, terms: DataFrame, whole: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """The list of ``bm25`` from postings (chunk_id, length, term, tf), terms (term, idf) and one row (n, mean_length)."""
-    asked = _asked(questions).join(terms.select("term", "idf"), "term")
+    asked = asked_terms(questions).join(terms.select("term", "idf"), "term")
     part = F.col("idf") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = postings.join(asked, "term").join(F.broadcast(whole)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve
 from ..streaming import ingest
-from ..session import read_spread, shared_folder
+from ..session import read_spread, settled, shared_folder
 from . import sqlsurface
 from .sql_queries import DUCK, SQL, SURFACE
 
@@ -254,15 +254,16 @@ def _turns(spark, d):
 
 
 def _candidates(spark, d) -> DataFrame:
-    """(query_id, rank, chunk_id, text): what each benchmark item found by BM25, a short list however large the corpus is."""
+    """(query_id, rank, chunk_id, text): what each benchmark item found by BM25, a short list however large the corpus is, and so searched for once."""
     docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    return _bm25(spark, d, CANDIDATES).select("query_id", "rank", F.col("doc_id").alias("chunk_id")).join(docs, "chunk_id")
+    found = settled(_bm25(spark, d, CANDIDATES).select("query_id", "rank", F.col("doc_id").alias("chunk_id")), "candidates")
+    return settled(found.join(docs, "chunk_id"), "candidates")
 
 
 @query(_TFIDF)
 def tfidf_cosine_pairs(spark, d):
     """Cosines of the candidates of each question."""
-    return rerank.cosine_pairs(rerank.tfidf(_candidates(spark, d))).withColumn("cosine", F.round("cosine", 6))
+    return rerank.cosine_pairs(settled(rerank.tfidf(_candidates(spark, d)), "weights")).withColumn("cosine", F.round("cosine", 6))
 
 
 @query()
@@ -270,7 +271,7 @@ def mmr_rerank(spark, d):
     """The candidates of each question, relevant and different ones first."""
     found = _candidates(spark, d)
     scored = rerank.fallback_scores(found.drop("text"))
-    return rerank.mmr(scored.select("query_id", "chunk_id", "relevance"), rerank.cosine_pairs(rerank.tfidf(found)), CANDIDATES).withColumn("mmr", F.round("mmr", 6))
+    return rerank.mmr(scored.select("query_id", "chunk_id", "relevance"), rerank.cosine_pairs(settled(rerank.tfidf(found), "weights")), CANDIDATES).withColumn("mmr", F.round("mmr", 6))
 
 
 @query("SELECT conv_id AS query_id, turn AS chunk_id, round(1 - (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / count(*) OVER (PARTITION BY conv_id), 6) AS relevance FROM conversations")
@@ -403,13 +404,76 @@ def source_counts(spark, d):
 # Index, records, context
 
 
-@query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})")
+def _new_index(spark) -> str:
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _indexed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _found(spark, d, path: str, **scope) -> DataFrame:
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = index.search(spark, path, questions, 10, **scope)
+    return _round(found.withColumnRenamed("chunk_id", "doc_id").select("query_id", "rank", "doc_id", "score"), "score")
+
+
+_SEARCHED = f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})"
+
+
+@query(_SEARCHED)
 def index_search(spark, d):
-    """The same search over a written index of postings and statistics."""
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    index.write_postings(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), path)
-    found = index.search(spark, path, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
-    return _round(found.withColumnRenamed("chunk_id", "doc_id"), "score")
+    """The same search over a written index: blocks of postings, of which those are read that can reach the ten best."""
+    path = _new_index(spark)
+    index.put(spark, path, _indexed(documents(spark, d)))
+    return _found(spark, d, path)
+
+
+@query(_SEARCHED)
+def index_search_owners(spark, d):
+    """Over an index of many users and threads, neither named: one collection."""
+    path = _new_index(spark)
+    index.put(spark, path, documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("user_id"), F.col("lang").alias("thread_id")))
+    return _found(spark, d, path)
+
+
+@query(_SEARCHED.replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang = 'de')"))
+def index_search_thread(spark, d):
+    """Over one thread of all users."""
+    path = _new_index(spark)
+    index.put(spark, path, documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("user_id"), F.col("lang").alias("thread_id")))
+    return _found(spark, d, path, thread="de")
+
+
+@query(_SEARCHED.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN lang || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"))
+def index_incremental(spark, d):
+    """Over an index that was written in parts: new chunks, changed ones and deletions give what one written at once gives."""
+    path, docs = _new_index(spark), documents(spark, d)
+    index.put(spark, path, _indexed(docs.where("doc_id % 2 = 0")))
+    index.put(spark, path, _indexed(docs.where("doc_id % 2 <> 0")))
+    gone = docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("chunk_id"))
+    index.put(spark, path, _indexed(docs.where("doc_id % 5 = 1 AND doc_id % 7 <> 3").withColumn("text", F.concat_ws(" ", "lang", "text"))), gone)
+    return _found(spark, d, path)
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0")
+def index_snapshot(spark, d):
+    """What a reader of the first version sees while and after another is published."""
+    path, docs = _new_index(spark), documents(spark, d)
+    first = index.put(spark, path, _indexed(docs.where("doc_id % 3 <> 0")))
+    index.put(spark, path, _indexed(docs.where("doc_id % 4 = 0").withColumn("text", F.lit("new"))))
+    return index.chunks_of(spark, path, version=first["version"]).select(F.col("chunk_id").alias("doc_id"), "text")
+
+
+@query("SELECT source AS user_id, term, count(*) AS df FROM (SELECT source, unnest(list_distinct(" + _TOKENS + ")) AS term FROM documents) GROUP BY ALL")
+def index_term_counts(spark, d):
+    """The document frequencies of each user's terms, as an index in three segments sums them."""
+    path, docs = _new_index(spark), documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("user_id"))
+    index.put(spark, path, docs.withColumn("text", F.when(F.col("chunk_id") % 4 == 0, "old words").otherwise(F.col("text"))).where("chunk_id % 3 <> 1"))
+    index.put(spark, path, docs.where("chunk_id % 3 = 1"))
+    index.put(spark, path, docs.where("chunk_id % 4 = 0"))
+    terms = index.read(spark, path, index.manifest(spark, path), "terms")
+    return terms.groupBy("user_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
 @query("SELECT p_partkey AS chunk_id, CASE WHEN p_size % 3 = 0 THEN 'new' ELSE p_name END AS content FROM part WHERE p_size % 3 = 0 OR p_partkey % 2 = 0")

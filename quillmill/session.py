@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return (base or "/tmp/checkpoints").rstrip("/")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: what several steps need is computed once, and a lost executor costs a task."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

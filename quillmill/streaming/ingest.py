@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.text import chunk_table
+from ..operators import index
 
 
-def ingest(spark: SparkSession, source: str, schema: str, index: str, checkpoint: str) -> StreamingQuery:
-    """Read Parquet files of documents (doc_id, text) as they appear under source and append their chunks to the index.
+def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Read Parquet files of documents (doc_id, text, and user_id and thread_id where there are some) as they appear under source into an index.
 
-    Each micro-batch is a partition named by its number, overwritten if it is run again: chunks go in once."""
+    A document that comes again replaces what the index has of it. Each micro-batch is a segment with its chunks, postings and changes of the statistics, so that the index is searched as one that is
+    built anew. The index remembers the last batch of this checkpoint: one that is run again is not taken in twice."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        chunk_table(batch).write.mode("overwrite").parquet(f"{index}/batch={number}")
+        index.put(batch.sparkSession, path, index.parsed_chunks(batch), replaces=[*index.OWNER, "document_id"], mark=(checkpoint, number))
 
     docs = spark.readStream.schema(schema).parquet(source)
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

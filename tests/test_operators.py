@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import analytics, hierarchy, index, metadata, rerank, retrieve, sheets
@@ -112,23 +113,95 @@ def test_agent_limits():
 
 def test_writing_one_users_index_leaves_the_others(spark, tmp_path):
     path = str(tmp_path / "index")
-    chunks = lambda user, thread, text: spark.createDataFrame([(user, thread, f"{user}{thread}", text)], "user_id string, thread_id string, chunk_id string, content string")
-    for user, thread, text in (("u1", "a", "x"), ("u2", "a", "y"), ("u1", "b", "z"), ("u1", "a", "new")):
-        index.write_index(chunks(user, thread, text), path)
-    assert {(r.user_id, r.thread_id, r.content) for r in spark.read.parquet(path).collect()} == {("u1", "a", "new"), ("u2", "a", "y"), ("u1", "b", "z")}
+    chunks = lambda user, thread, text: spark.createDataFrame([(user, thread, f"{user}{thread}", text)], "user_id string, thread_id string, chunk_id string, text string")
+    for user, thread, text in (("007", "a", "x"), ("u2", "a", "y"), ("007", "b", "z"), ("007", "a", "new")):
+        index.put(spark, path, chunks(user, thread, text))
+    assert {(r.user_id, r.thread_id, r.text) for r in index.chunks_of(spark, path).collect()} == {("007", "a", "new"), ("u2", "a", "y"), ("007", "b", "z")}
+    assert [r.text for r in index.chunks_of(spark, path, "007", "a").collect()] == ["new"]
+
+
+def same_ranks(got, want):
+    plain = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    return plain(got) == plain(want)
 
 
 def test_search_in_a_written_index(spark, tmp_path):
-    rows = [("u1", "a", 1, "red fox"), ("u1", "a", 2, "blue whale whale"), ("u1", "a", 3, "green tree"), ("u2", "a", 4, "whale"), ("u2", "a", 5, "fox"), ("u2", "a", 6, "owl")]
+    rows = [("u1", "a", 1, "red fox"), ("u1", "a", 2, "blue whale whale"), ("u1", "a", 3, "green tree"), ("u2", "a", 4, "whale"), ("u2", "a", 5, "fox"), ("u2", "a", 6, "owl"), ("u1", "b", 7, "fox fox fox")]
     parsed = spark.createDataFrame(rows, "user_id string, thread_id string, doc_id long, text string")
-    chunks = index.reindex(spark, parsed, str(tmp_path))
-    assert chunks.count() == 6
+    path = str(tmp_path)
+    chunks = index.reindex(spark, parsed, path)
+    assert chunks.count() == 7
     asked = spark.createDataFrame([(1, "whale fox"), (2, "nothing")], "query_id long, text string")
-    got = index.search(spark, str(tmp_path), asked, 5, "u1", "a").orderBy("rank").collect()
-    own = chunks.where("user_id = 'u1'").select("chunk_id", F.col("content").alias("text"))
-    assert [(r.chunk_id, round(r.score, 9)) for r in got] == [(r.chunk_id, round(r.score, 9)) for r in retrieve.bm25(own, asked, 5).orderBy("rank").collect()] and len(got) == 2
-    index.reindex(spark, parsed.where("user_id = 'u2'").limit(1), str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/postings").where("user_id = 'u1'").count() > 0
+    text = lambda df: df.select("chunk_id", "text")
+    own = chunks.where("user_id = 'u1'")
+    assert same_ranks(index.search(spark, path, asked, 5, "u1", "a"), retrieve.bm25(text(own.where("thread_id = 'a'")), asked, 5))
+    assert same_ranks(index.search(spark, path, asked, 5, "u1"), retrieve.bm25(text(own), asked, 5))  # over several threads
+    assert same_ranks(index.search(spark, path, asked, 5), retrieve.bm25(text(chunks), asked, 5))  # and users
+    index.reindex(spark, parsed.where("user_id = 'u2'").limit(1), path)
+    assert {r.chunk_id for r in index.chunks_of(spark, path, "u2").collect()} == {"4_page1_chunk0"} and index.chunks_of(spark, path, "u1").count() == 4
+    with pytest.raises(Exception, match="no index"):
+        index.search(spark, f"{path}/none", asked, 5)
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(index, "RANGE", 8)
+    monkeypatch.setattr(index, "FIRST_RANGES", 2)
+    common = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(common, k=rng.randint(3, 60)) + ["rare"] * (rng.randint(1, 5) if i in (17, 18, 300) else 0))) for i in range(400)] + [(900, None), (901, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "rare w1"), (2, "w2 w3 w2"), (3, "rare"), (4, "absent")], "query_id long, text string")
+    path = str(tmp_path)
+    index.put(spark, path, chunks)
+    for k in (1, 3, 50):
+        assert same_ranks(index.search(spark, path, asked, k), retrieve.bm25(chunks, asked, k))
+    cost = {r.query_id: (r.postings, r.read) for r in index.search_cost(spark, path, asked, 1).collect()}
+    assert cost[1][1] < cost[1][0] / 2 and set(cost) == {1, 2, 3}
+
+
+def test_an_index_in_parts_is_the_same_as_one_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RANGE", 4)
+    words = ["red fox", "blue whale whale", "green tree fox", "owl", "the owl and the fox", "whale song song song", "fox"]
+    one = lambda ids, extra="": spark.createDataFrame([(i, words[i % 7] + extra) for i in ids], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "whale fox"), (2, "owl song"), (3, "tree new")], "query_id long, text string")
+    path = str(tmp_path / "a")
+    index.put(spark, path, one(range(20)))
+    index.put(spark, path, one(range(10, 30), " new"))  # ten of them replace others
+    index.put(spark, path, one([5, 12], " newer"), spark.createDataFrame([(7,), (25,), (99,)], "chunk_id long"))
+    index.put(spark, path, None, spark.createDataFrame([(0,)], "chunk_id long"))
+    left = {**{i: "" for i in range(20)}, **{i: " new" for i in range(10, 30)}, 5: " newer", 12: " newer"}
+    whole = spark.createDataFrame([(i, words[i % 7] + x) for i, x in left.items() if i not in (7, 25, 0)], "chunk_id long, text string")
+    statistics = lambda p: tuple(sorted(map(tuple, df.collect())) for df in index.scope_statistics(spark, p, index.manifest(spark, p)))
+    index.put(spark, str(tmp_path / "b"), whole)
+    assert statistics(path) == statistics(str(tmp_path / "b"))
+    assert same_ranks(index.search(spark, path, asked, 9), retrieve.bm25(whole, asked, 9))
+    before = index.manifest(spark, path)
+    assert len(before["segments"]) == 4 and len(index.compact(spark, path)["segments"]) == 1
+    assert statistics(path) == statistics(str(tmp_path / "b")) and same_ranks(index.search(spark, path, asked, 9), retrieve.bm25(whole, asked, 9))
+    assert index.chunks_of(spark, path, version=before["version"]).count() == whole.count()  # a reader of the version before
+    index.vacuum(spark, path)
+    assert index.versions(spark, path) == [before["version"] + 1] and index.chunks_of(spark, path).count() == whole.count()
+
+
+def test_half_written_versions_are_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    chunks = spark.createDataFrame([(1, "one"), (2, "two")], "chunk_id long, text string")
+    first = index.put(spark, path, chunks)
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "_blocks", fail)
+        with pytest.raises(RuntimeError):
+            index.put(spark, path, chunks.withColumn("text", F.lit("three")))
+    assert index.manifest(spark, path) == first and {r.text for r in index.chunks_of(spark, path).collect()} == {"one", "two"}
+    index.publish(spark, path, first)
+    with pytest.raises(index.Conflict):
+        index.publish(spark, path, first)
+    assert index.put(spark, path, chunks, mark=("s", 3))["marks"] == {"s": 3} and index.put(spark, path, chunks, mark=("s", 2))["version"] == 3
 
 
 def test_new_users_have_one_id_and_one_address(spark):

@@ -94,4 +94,11 @@ def test_streaming_ingest_is_idempotent(spark, sf_dir, tmp_path):
     docs.write.parquet(source)
     for _ in range(2):
         ingest.ingest(spark, source, "doc_id long, text string", out, f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(out).count() == index.chunk_table(docs).count()
+    assert index.chunks_of(spark, out).count() == index.chunk_table(docs).count()
+    docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("changed. "), "text")).write.mode("append").parquet(source)
+    ingest.ingest(spark, source, "doc_id long, text string", out, f"{tmp_path}/check").awaitTermination()
+    whole = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("changed. "), "text")).otherwise(F.col("text")))
+    index.reindex(spark, whole, f"{tmp_path}/whole")
+    plain = lambda p: [sorted(map(tuple, df.collect())) for df in (index.chunks_of(spark, p).select("chunk_id", "text"), *index.scope_statistics(spark, p, index.manifest(spark, p)))]
+    streamed, built = plain(out), plain(f"{tmp_path}/whole")
+    assert streamed == built
