@@ -30,9 +30,9 @@ HEAD, CLASS, WIDTH = 2048, 64, 16
 #: Words whose counts every task knows, at most; counts of rarer ones are joined.
 FREQUENT = 1 << 18
 #: Rounds over disjoint shares of the training documents, lanes side by side, tokens of a window, and tokens read before they are dealt to lanes.
-ROUNDS, LANES, WINDOW, READ = 3, 128, 32, 1 << 18
+ROUNDS, LANES, WINDOW, READ = 3, 256, 32, 1 << 19
 #: Windows that a lane has in training, at least; short streams have fewer lanes. Tokens that are scored together.
-WINDOWS, SCORED_AT_ONCE = 16, 1 << 20
+WINDOWS, SCORED_AT_ONCE = 16, 1 << 21
 RATE, CLIP = 0.01, 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Rows in which a network travels.
