@@ -40,15 +40,24 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, filtered: bool = False)
     """(query_id, rank, vec_id, score): the k vectors with the largest dot product, ties by vec_id (R2).
 
     vectors: vec_id, embedding, label. queries: the same with query_id; with ``filtered`` only vectors of the query's label
-    count. Blocks of queries meet blocks of vectors on the executors; a task keeps its own k best of each of its queries, so
-    little is shuffled and nothing passes the driver."""
+    count. Blocks of queries meet blocks of vectors on the executors; a task keeps its own k best of up to BLOCK queries at a time, so
+    little is shuffled and nothing passes the driver. Every vector is gone through; ``vectors`` has an index that need not."""
     blocks = _packed(queries, "query_id").toDF("q_ids", "q_labels", "q_numbers")
     meeting = _packed(vectors, "vec_id").crossJoin(blocks)  # a stated set of queries against all vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(q, int(v), float(s)) for q, found in best.items() for s, v in zip(*found) if s > -np.inf]
+            best.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in range(batch.num_rows):
+                if len(best) > BLOCK:
+                    yield from out()
                 ids, labels, raw, q_ids, q_labels, q_raw = (batch.column(i)[r].as_py() for i in range(6))
                 own, x, q = np.array(ids), np.frombuffer(raw).reshape(len(ids), -1), np.frombuffer(q_raw).reshape(len(q_ids), -1)
                 scores = q @ x.T
@@ -63,9 +72,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, filtered: bool = False)
                     s, v = np.append(s, row[some]), np.append(v, own[some])
                     top = np.lexsort((v, -s))[:k]
                     best[query] = s[top], v[top]
-        rows = [(q, int(v), float(s)) for q, found in best.items() for s, v in zip(*found) if s > -np.inf]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+        yield from out()
 
     found = meeting.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

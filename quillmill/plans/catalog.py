@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve
+from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve, vectors
 from ..streaming import ingest
 from ..session import read_spread, settled, shared_folder
 from . import sqlsurface
@@ -147,6 +147,27 @@ def knn_filtered(spark, d):
     return _round(retrieve.knn(table(spark, d, "embeddings"), _asked(spark, d), 10, filtered=True), "score")
 
 
+#: Cells of the index of vectors in these queries.
+CELLS = 32
+
+
+@query(ORACLES["knn_topk"])
+def vector_index_topk(spark, d):
+    """Ten nearest vectors through an index, exactly: cells that can hold none of them are left out."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors.build(spark, path, table(spark, d, "embeddings"), CELLS)
+    return _round(vectors.nearest(spark, path, _asked(spark, d), 10), "score")
+
+
+@query(f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ({_KNN.format(queries=_FIFTIETH, on='q.label = e.label', k=10)})".replace("JOIN embeddings e", "JOIN (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding, label FROM embeddings) e"))
+def vector_index_upsert(spark, d):
+    """The same within labels, after every third vector has been written anew, turned round."""
+    path, own = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", table(spark, d, "embeddings")
+    vectors.build(spark, path, own.where("vec_id % 3 <> 1"), CELLS)
+    vectors.upsert(spark, path, own.where("vec_id % 3 <> 2").withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))))
+    return _round(vectors.nearest(spark, path, _asked(spark, d), 10, filtered=True), "score")
+
+
 def _bm25_sql(k: int) -> str:
     return f"""
 WITH own AS (SELECT doc_id, {_TOKENS} AS ts FROM documents

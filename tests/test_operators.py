@@ -265,3 +265,51 @@ def test_token_counter(tmp_path):
     (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(ranks)))
     count = analytics.token_counter(str(tmp_path / "ranks"))
     assert (count("abc"), count("abcab d"), count("")) == (1, 4, 0)
+
+
+def test_vectors_in_cells(spark, tmp_path):
+    import numpy as np
+
+    from quillmill.operators import vectors
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (centre[i % 12] + rng.normal(size=8)).tolist(), i % 4 if i % 9 else None) for i in range(900)]
+    odd = [(1000, None, 1), (1001, [], 1), (1002, [float("nan")] * 8, 1), (1003, rows[0][1], 0), (1004, [0.0] * 8, 2)]
+    kind = "vec_id long, embedding array<double>, label int"
+    whole = spark.createDataFrame(rows + odd, kind).repartition(5)
+    path = str(tmp_path)
+    vectors.build(spark, path, whole, 16)
+    asked = whole.where("vec_id % 11 = 0").withColumnRenamed("vec_id", "query_id")
+    plain = lambda df: {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in df.collect()}
+    good = whole.where("size(embedding) = 8 AND vec_id <> 1002")
+    sound = asked.where("size(embedding) = 8")
+    for filtered in (False, True):
+        assert plain(vectors.nearest(spark, path, asked, 7, filtered=filtered)) == plain(retrieve.knn(good, sound, 7, filtered))
+    new = [(3, rows[700][1], 1), (5, None, 1), (2000, (centre[4] + 0.1).tolist(), 0)]
+    of = vectors.upsert(spark, path, spark.createDataFrame(new, kind))
+    assert 8 < len(vectors.written_cells(spark, path, of["segments"][0])) <= 16 and 1 <= len(vectors.written_cells(spark, path, of["segments"][1])) <= 2
+    after = spark.createDataFrame([r for r in rows + odd if r[0] not in (3, 5)] + new, kind).where("size(embedding) = 8 AND vec_id <> 1002")
+    assert plain(vectors.nearest(spark, path, asked, 7)) == plain(retrieve.knn(after, sound, 7))
+    assert vectors.nearest(spark, path, asked.limit(0), 7).count() == 0
+
+
+def test_few_cells_find_most(spark, sf_dir, tmp_path):
+    """Of vectors in groups few cells hold the nearest; of the given ones, which lie evenly, only most cells do, and the exact search is there for them."""
+    import numpy as np
+
+    from quillmill.operators import vectors
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(20, 16)) * 2
+    groups = spark.createDataFrame([(i, (centre[i % 20] + 0.5 * rng.normal(size=16)).tolist(), 0) for i in range(2000)], "vec_id long, embedding array<double>, label int")
+    ids = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    for n, (own, probes, least) in enumerate(((groups, (1, 4, 16), 0.95), (spark.read.parquet(f"{sf_dir}/embeddings.parquet"), (2, 15, 16), 0.95))):
+        asked = own.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+        path = f"{tmp_path}/{n}"
+        vectors.build(spark, path, own, 16)
+        exact = ids(retrieve.knn(own, asked, 10))
+        assert ids(vectors.nearest(spark, path, asked, 10)) == exact
+        recall = [len(ids(vectors.nearest(spark, path, asked, 10, probes=p)) & exact) / len(exact) for p in probes]
+        print(recall)
+        assert recall == sorted(recall) and recall[1] >= least and recall[2] == 1
