@@ -76,19 +76,55 @@ def ordered_distinct(values: Column) -> Column:
     return F.array_distinct(values)
 
 
-def token_counter(path: str) -> Callable[[str], int]:
-    """Counts by a tokenizer file of ranks (T11): lines of a base64 token and its rank, as tiktoken reads them."""
+# How the vocabularies that models count with cut a text into pre-tokens, by the vocabulary's name.
+PATTERNS = {
+    "cl100k_base": r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s""",
+    "o200k_base": "|".join(
+        [
+            r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
+            r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
+            r"""\p{N}{1,3}""",
+            r""" ?[^\s\p{L}\p{N}]+[\r\n/]*""",
+            r"""\s*[\r\n]+""",
+            r"""\s+(?!\S)""",
+            r"""\s+""",
+        ]
+    ),
+}
+
+
+def token_counter(path: str, pattern: str) -> Callable[[str], int]:
+    """Counts by a tokenizer file of ranks (T11): lines of a base64 token and its rank, as tiktoken reads them, and the vocabulary's own
+    pattern of pre-tokens (PATTERNS has some by name)."""
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+"
-    encoding = tiktoken.Encoding(name="given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding(name="given", pat_str=PATTERNS.get(pattern, pattern), mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
+def token_counts(texts: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """texts with n_tokens, counted in tasks (T11); a null text has none. The file of ranks goes to the executors once."""
+    import base64
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    sent = texts.sparkSession.sparkContext.broadcast((ranks, PATTERNS.get(pattern, pattern)))
+
+    @F.pandas_udf("long")
+    def count(column: pd.Series) -> pd.Series:
+        import tiktoken
+
+        ranks, pattern = sent.value
+        encoding = tiktoken.Encoding(name="given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return column.map(lambda t: len(encoding.encode_ordinary(t or "")))
+
+    return texts.withColumn("n_tokens", count(text))
+
+
 def estimated_tokens(text: Column) -> Column:
     """Tokens by a rule of thumb, where no tokenizer is at hand: one for every four characters."""
     return F.ceil(F.length(text) / CHARS_PER_TOKEN)

@@ -67,11 +67,12 @@ def totals(users: DataFrame) -> DataFrame:
 
 def create_users(users: DataFrame, new: DataFrame) -> DataFrame:
     """M1: users and the new ones whose id and e-mail nobody has yet, names in title case. Of new ones with one id or one e-mail only
-    the first by id and name enters; one that gives way to another keeps no e-mail from a third."""
+    the first by id and name enters; one that gives way to another keeps no e-mail from a third. Those without an id or an e-mail have none in common."""
     fresh = new.join(users.select("email"), "email", "left_anti").join(users.select("user_id"), "user_id", "left_anti")
     for key in ("user_id", "email"):
         order = Window.partitionBy(key).orderBy("user_id", "name", "email")
-        fresh = fresh.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+        told = fresh.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+        fresh = told.unionByName(fresh.where(F.col(key).isNull()))
     return users.unionByName(fresh.withColumn("name", F.initcap("name")).select(*users.columns))
 
 

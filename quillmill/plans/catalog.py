@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve, vectors
 from ..streaming import ingest
 from ..session import read_spread, settled, shared_folder
-from . import sqlsurface
+from . import agent, sqlsurface
 from .sql_queries import DUCK, SQL, SURFACE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -312,10 +312,10 @@ def recent_history(spark, d):
 
 
 def _cited(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("document_id"), (F.col("l_partkey") % 5).alias("page_no"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("title"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("document_id"), (F.col("l_partkey") % 25).alias("page_no"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("title"))
 
 
-_CITED = "(SELECT l_orderkey AS query_id, l_suppkey AS document_id, l_partkey % 5 AS page_no, l_linenumber AS rank, l_returnflag AS title FROM lineitem)"
+_CITED = "(SELECT l_orderkey AS query_id, l_suppkey AS document_id, l_partkey % 25 AS page_no, l_linenumber AS rank, l_returnflag AS title FROM lineitem)"
 
 
 @query(f"SELECT query_id, document_id, page_no, rank, title FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page_no ORDER BY rank, title) AS r FROM {_CITED}) WHERE r = 1")
@@ -323,14 +323,14 @@ def unique_citations(spark, d):
     return analytics.unique_citations(_cited(spark, d)).select("query_id", "document_id", "page_no", "rank", "title")
 
 
-@query(f"SELECT query_id, document_id, arg_min(title, row(rank, title)) AS title, string_agg(DISTINCT page_no::VARCHAR, ',' ORDER BY page_no::VARCHAR) AS pages FROM {_CITED} GROUP BY query_id, document_id")
+@query(f"SELECT query_id, document_id, arg_min(title, row(rank, title)) AS title, array_to_string(list_sort(list_distinct(list(page_no))), ',') AS pages FROM {_CITED} GROUP BY query_id, document_id")
 def source_groups(spark, d):
     return analytics.source_groups(_cited(spark, d))
 
 
-@query(f"SELECT u.query_id, u.document_id, u.page_no, c.title FROM (SELECT o_orderkey AS query_id, o_custkey % 100 AS document_id, o_custkey % 5 AS page_no FROM orders) u JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page_no ORDER BY rank, title) AS r FROM {_CITED}) c ON c.r = 1 AND c.query_id = u.query_id AND c.document_id = u.document_id AND c.page_no = u.page_no")
+@query(f"SELECT u.query_id, u.document_id, u.page_no, c.title FROM (SELECT o_orderkey AS query_id, o_custkey % 100 AS document_id, o_custkey % 25 AS page_no FROM orders) u JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page_no ORDER BY rank, title) AS r FROM {_CITED}) c ON c.r = 1 AND c.query_id = u.query_id AND c.document_id = u.document_id AND c.page_no = u.page_no")
 def citation_join(spark, d):
-    used = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).alias("document_id"), (F.col("o_custkey") % 5).alias("page_no"))
+    used = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).alias("document_id"), (F.col("o_custkey") % 25).alias("page_no"))
     return analytics.resolve_citations(used, _cited(spark, d)).select("query_id", "document_id", "page_no", "title")
 
 
@@ -422,6 +422,58 @@ def source_counts(spark, d):
     return analytics.source_counts(cited, web.join(cited.select("query_id"), "query_id", "left_semi"))
 
 
+@query(f"""
+WITH tree AS ({ORACLES["mindmap_tree"]})
+SELECT id, 'about ' || title AS description, 1 AS attempt FROM tree""")
+def mindmap_descriptions(spark, d):
+    """What a deterministic describer says of every node of the forest, asked in groups."""
+
+    def describe(groups, attempt):
+        return groups.select("group", F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), F.concat(F.lit("about "), n["title"]).alias("description"))).alias("answers"))
+
+    return hierarchy.described(mindmap_tree(spark, d), describe).withColumn("attempt", F.col("attempt").cast("int"))
+
+
+@query()
+def mindmap_layout(spark, d):
+    """Where the nodes of each region's map are drawn, every second description open."""
+    tree = mindmap_tree(spark, d)
+    open_ = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    box = hierarchy.box_height(F.repeat(F.col("title"), 20), open_)
+    return hierarchy.layout(tree.select(F.get(hierarchy.path_ids(F.col("path")), F.lit(0)).alias("map"), "id", "parent_id", "level", box.alias("box")))
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS question_id, item_id % 4 AS kind FROM benchmark
+), hits AS (SELECT query_id AS question_id, count(*) AS n FROM ({_bm25_sql(3)}) GROUP BY query_id)
+SELECT question_id, CASE kind WHEN 1 THEN 'sql_query' WHEN 2 THEN 'web_search' ELSE 'answer' END AS action, CASE kind WHEN 1 THEN 6 WHEN 3 THEN 1 ELSE 0 END AS sql_tries,
+  CASE kind WHEN 2 THEN 2 ELSE 0 END AS web_tries, coalesce(n, 0) + CASE kind WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 0 END AS notes, true AS done FROM q LEFT JOIN hits USING (question_id)""")
+def question_loop(spark, d):
+    """Every benchmark item through the loop with deterministic choices: some ask for statements or searches without end, some once, some not."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    found = settled(_bm25(spark, d, 3).select(F.col("query_id").alias("question_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("note")), "notes")
+    kind = F.col("question_id") % 4
+    action = F.when(kind == 1, "sql_query").when(kind == 2, "web_search").when((kind == 3) & (F.col("sql_tries") == 0), "sql_query").otherwise("answer")
+    generate = lambda states: states.select("question_id", action.alias("action"), F.concat(F.lit("after "), F.size("notes").cast("string")).alias("answer"))
+    rows = table(spark, d, "orders").groupBy((F.col("o_custkey") % 10).alias("k")).agg(F.count("*").alias("n"))
+    sql = lambda states: states.join(rows, F.col("question_id") % 10 == F.col("k")).select("question_id", F.concat(F.lit("rows "), F.col("n").cast("string")).alias("note"))
+    say = lambda word: lambda states: states.select("question_id", F.lit(word).alias("note"))
+    states = agent.ask(questions, lambda q: found.join(q, "question_id", "left_semi"), generate, {"sql_query": sql, "web_search": say("web"), "self_knowledge": say("known")})
+    return states.select("question_id", "action", "sql_tries", "web_tries", F.size("notes").cast("long").alias("notes"), "done")
+
+
+@query(r"""
+WITH parts AS (SELECT item_id, unnest(string_split_regex(trim(text), '\s*\n+\s*')) AS part FROM benchmark)
+SELECT item_id AS question_id, CASE WHEN count(*) = 1 THEN any_value(length(part))::VARCHAR ELSE count(*)::VARCHAR || ' parts' END AS answer FROM (SELECT *, row_number() OVER (PARTITION BY item_id) AS r FROM parts) WHERE r <= 10 GROUP BY item_id""")
+def question_parts(spark, d):
+    """Every item cut into its lines, each answered by its length, the answers put together."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    cut = lambda q: q.select("question_id", F.posexplode(F.split(F.btrim("question", F.lit(" \t\n\x0b\x0c\r")), r"\s*\n+\s*")).alias("place", "question"))
+    size = lambda q: q.select("question_id", F.length("question").cast("string").alias("answer"))
+    combine = lambda q: q.select("question_id", F.concat(F.size("answers").cast("string"), F.lit(" parts")).alias("answer"))
+    return agent.ask_in_parts(questions, cut, size, combine)
+
+
 # Index, records, context
 
 

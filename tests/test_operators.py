@@ -104,11 +104,157 @@ def test_upsert_keeps_the_newest(spark):
     assert {tuple(r) for r in index.keep_latest(old, new).collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
 
 
-def test_agent_limits():
-    calls = iter(["sql_query"] * 10)
-    state = agent.ask("q", lambda q: [], lambda s: (next(calls), "x"), {"sql_query": lambda s: 1})
-    assert state.sql_tries == 6
-    assert agent.ask_in_parts("q", lambda q: ["a", "b"], str.upper, lambda q, a: "+".join(a)) == "A+B"
+def plain_loop(choices, tools, hits):
+    """One question: what it chooses each time, and the notes it gets."""
+    sql = web = 0
+    notes = sorted(hits)
+    for action in choices[:20]:
+        node = {"web_search": "web_search" if web < 2 else "self_knowledge", "sql_query": "sql_query" if sql < 6 else "answer", "failure": "self_knowledge"}.get(action, action)
+        if node not in tools:
+            break
+        notes.append(tools[node])
+        sql, web = sql + (node == "sql_query"), web + (node == "web_search")
+        if node == "self_knowledge":
+            break
+        if tools[node].startswith("FAILURE"):
+            notes.append(tools["self_knowledge"])
+            break
+    return sql, web, notes
+
+
+def test_the_question_loop_as_one_question_at_a_time(spark):
+    choices = {1: ["sql_query"] * 30, 2: ["web_search"] * 30, 3: ["sql_query", "web_search", "answer"], 4: ["answer"], 5: ["document_summarizer", "sql_query", "answer"], 6: ["global_summarizer", "answer"], 7: ["odd"], 8: ["failure"], 9: [None], 10: ["sql_query", "document_summarizer"] * 15}
+    said = {"sql_query": "rows", "web_search": "page", "document_summarizer": "summary", "global_summarizer": "FAILURE: none", "self_knowledge": "known"}
+    hits = {1: ["b", "a"], 4: ["c"]}
+    questions = spark.createDataFrame([(i, f"q{i}") for i in choices], "question_id long, question string")
+    script = spark.createDataFrame([(i, a) for i, a in choices.items()], "question_id long, script array<string>")
+    found = spark.createDataFrame([(i, n) for i, ns in hits.items() for n in ns], "question_id long, note string")
+    step = F.size("notes") - F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, ns in hits.items() for x in (i, len(ns))]), F.col("question_id").cast("int")), F.lit(0))
+    generate = lambda s: s.join(script, "question_id").select("question_id", F.get("script", step).alias("action"), F.lit("x").alias("answer"))
+    tools = {name: (lambda word: lambda s: s.select("question_id", F.lit(word).alias("note")))(word) for name, word in said.items()}
+    got = {r.question_id: (r.sql_tries, r.web_tries, r.notes) for r in agent.ask(questions, lambda q: found, generate, tools).collect()}
+    assert got == {i: plain_loop(c, said, hits.get(i, [])) for i, c in choices.items()}
+    assert agent.ask(questions.limit(0), lambda q: found.limit(0), generate, tools).count() == 0
+
+
+def test_questions_in_parts(spark):
+    questions = spark.createDataFrame([(1, "a b c"), (2, "one"), (3, " ".join("abcdefghijklmn")), (4, "")], "question_id long, question string")
+    cut = lambda q: q.where("question <> ''").select("question_id", F.posexplode(F.split("question", " ")).alias("place", "question"))
+    shout = lambda q: q.select("question_id", F.upper("question").alias("answer"))
+    join = lambda q: q.select("question_id", F.array_join("answers", "+").alias("answer"))
+    assert {r.question_id: r.answer for r in agent.ask_in_parts(questions, cut, shout, join).collect()} == {1: "A+B+C", 2: "ONE", 3: "A+B+C+D+E+F+G+H+I+J", 4: ""}
+
+
+def test_forests_of_any_shape(spark):
+    chain = [(f"n{i}", f"t{i}", f"n{i - 1}" if i else None, 0) for i in range(100)]
+    odd = [("a/b", "slash", "", 0), ("a/b/c", "below", "a/b", 0), ("~1", "tilde", "a/b/c", 0), ("x", "lost", "nowhere", 0), ("y", "below lost", "x", 0), ("p", "round", "q", 0), ("q", "round", "p", 0), ("r", "hangs on a circle", "p", 0), ("s", "self", "s", 0), ("n5", "again", "n4", 1)]
+    nodes = spark.createDataFrame(chain + odd, "id string, title string, parent_id string, position int")
+    tree = hierarchy.forest(nodes)
+    rows = {r.id: r for r in tree.select("*", hierarchy.path_ids(F.col("path")).alias("ids")).collect()}
+    assert set(rows) == {f"n{i}" for i in range(100)} | {"a/b", "a/b/c", "~1"}
+    assert all(rows[f"n{i}"].level == i and rows[f"n{i}"].ids == [f"n{j}" for j in range(i + 1)] for i in range(100)) and rows["n5"].title == "again"
+    assert rows["~1"].ids == ["a/b", "a/b/c", "~1"] and rows["a/b"].parent_id is None
+    sizes = {r.id: r.n for r in hierarchy.subtree_sizes(tree).collect()}
+    assert sizes == {f"n{i}": 100 - i for i in range(100)} | {"a/b": 3, "a/b/c": 2, "~1": 1}
+    assert hierarchy.forest(nodes, paths=False).columns == ["id", "title", "parent_id", "level"] and hierarchy.forest(nodes.limit(0)).count() == 0
+
+
+def test_descriptions_come_in_groups_and_failed_groups_again(spark):
+    tree = hierarchy.forest(spark.createDataFrame([(f"n{i}", f"t{i}", f"n{i // 3}" if i else None, 0) for i in range(60)], "id string, title string, parent_id string, position int"))
+    asked = []
+
+    def describe(groups, attempt):
+        rows = groups.collect()
+        asked.append({r.group: [n.id for n in r.nodes] for r in rows})
+        out = []
+        for r in rows:
+            if len(r.nodes) > 1 and attempt <= int(r.nodes[0].id[1:]) % 4 or r.nodes[0].id == "n0":
+                continue  # fails, the root's always
+            answers = [(n.id, f"about {n.title}") for n in r.nodes]
+            if r.nodes[0].id == "n1":
+                answers = answers[:1] + [("other", "wrong")] * (len(answers) - 1)
+            out.append((r.group, answers + [("more", "too much")]))
+        return spark.createDataFrame(out, "group long, answers array<struct<id: string, description: string>>")
+
+    got = {r.id: (r.description, r.attempt) for r in hierarchy.described(tree, describe, tries=3).collect()}
+    groups = asked[0]
+    assert sorted(i for g in groups.values() for i in g) == sorted(f"n{i}" for i in range(60)) and max(map(len, groups.values())) <= 4
+    want = {}
+    for ids in groups.values():
+        tries = 1 if len(ids) == 1 else int(ids[0][1:]) % 4 + 1
+        if tries > 3 or ids[0] == "n0":
+            continue
+        for place, i in enumerate(ids):
+            if ids[0] != "n1" or place == 0:
+                want[i] = (f"about t{i[1:]}", tries)
+    assert got == want and len(asked) == 3 and set(asked[2]) < set(asked[1]) < set(asked[0])
+
+
+def plain_layout(nodes):
+    """One map: nodes as id to (parent, level, box), places as the drawing's rules say."""
+    kids = {i: sorted(c for c, (p, _, _) in nodes.items() if p == i) for i in nodes}
+    tall = {i: max(100, b) for i, (_, _, b) in nodes.items()}
+    room = {}
+    for i in sorted(nodes, key=lambda i: -nodes[i][1]):
+        room[i] = max(nodes[i][2], max(sum(room[c] for c in kids[i]) + 48 * len(kids[i]), 100)) if kids[i] else tall[i]
+    y, top = {}, 50.0
+
+    def place(i, at):
+        y[i] = at + room[i] / 2
+        for c in kids[i]:
+            place(c, at)
+            at += room[c]
+
+    for i in sorted(i for i in nodes if nodes[i][1] == 0):
+        place(i, top)
+        top += room[i] + 50
+
+    def shift(i, by):
+        y[i] += by
+        for c in kids[i]:
+            shift(c, by)
+
+    def push():
+        for level in sorted({n[1] for n in nodes.values()}):
+            bottom = float("-inf")
+            for i in sorted((i for i in nodes if nodes[i][1] == level), key=lambda i: y[i]):
+                if y[i] - tall[i] / 2 < bottom + 52:
+                    shift(i, bottom + 52 - (y[i] - tall[i] / 2))
+                bottom = y[i] + tall[i] / 2
+
+    push()
+    for i in sorted(nodes, key=lambda i: -nodes[i][1]):
+        if kids[i]:
+            y[i] = sum(y[c] for c in kids[i]) / len(kids[i])
+    push()
+    return {i: (200.0 + 520 * nodes[i][1], round(y[i], 6)) for i in nodes}
+
+
+def test_no_two_boxes_of_a_layout_meet(spark):
+    import random
+
+    rng = random.Random(3)
+    maps = {}
+    for m in range(6):
+        nodes = {}
+        for i in range(rng.randint(1, 40)):
+            parent = rng.choice([*nodes, None]) if nodes and i > 1 else None
+            nodes[f"{m}-{i:03}"] = (parent, nodes[parent][1] + 1 if parent else 0, rng.choice([72, 72, 154, 328]) + rng.random())
+        maps[m] = nodes
+    rows = [(m, i, p, level, box) for m, nodes in maps.items() for i, (p, level, box) in nodes.items()]
+    got = hierarchy.layout(spark.createDataFrame(rows, "map int, id string, parent_id string, level int, box double")).collect()
+    assert {(r.map, r.id): (r.x, round(r.y, 6)) for r in got} == {(m, i): xy for m, nodes in maps.items() for i, xy in plain_layout(nodes).items()}
+    for a in got:
+        for b in got:
+            if a.map == b.map and a.level == b.level and a.id != b.id:
+                assert abs(a.y - b.y) >= (max(100, maps[a.map][a.id][2]) + max(100, maps[b.map][b.id][2])) / 2 + 52 - 1e-6
+
+
+def test_new_users_without_an_address_all_enter(spark):
+    kind = "user_id string, name string, email string"
+    new = spark.createDataFrame([("a", "ann", None), ("b", "bob", None), ("b", "bea", None), (None, "cy", "c@x"), (None, "di", "d@x"), (None, "ed", "d@x")], kind)
+    got = metadata.create_users(spark.createDataFrame([("z", "Z", None)], kind), new).collect()
+    assert sorted(r.name for r in got) == ["Ann", "Bea", "Cy", "Di", "Z"]
 
 
 def test_writing_one_users_index_leaves_the_others(spark, tmp_path):
@@ -263,10 +409,34 @@ def test_token_counter(tmp_path):
 
     ranks = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
     (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(ranks)))
-    count = analytics.token_counter(str(tmp_path / "ranks"))
+    count = analytics.token_counter(str(tmp_path / "ranks"), "cl100k_base")
     assert (count("abc"), count("abcab d"), count("")) == (1, 4, 0)
 
 
+def test_patterns_are_the_vocabularies_own():
+    from tiktoken_ext import openai_public
+
+    import inspect
+
+    source = inspect.getsource(openai_public)
+    for name in ("cl100k_base", "o200k_base"):
+        assert all(part in source for part in [analytics.PATTERNS[name][:40], analytics.PATTERNS[name][-9:]])
+
+
+def test_token_counts_of_a_table(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "It's 12345 o'clock\n\n  now", "é漢字 🙂" * 50]
+    rows = analytics.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), path, public_tokenizers.PATTERN).collect()
+    assert {r.i: r.n_tokens for r in rows} == {i: len(plain.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
 def test_vectors_in_cells(spark, tmp_path):
     import numpy as np
 
