@@ -2,6 +2,11 @@
 
 Each stage works on all rows that the one before kept and is written as Parquet; the first four drop rows or lines and
 return the columns of ``documents``, the last encodes what is left.
+
+What rows of any kind become: null and empty texts, and texts without a letter, go in the first stage. Repeated rows, and rows with
+one doc_id, are documents each until near-dedup, which keeps one of equal texts. A null doc_id is kept like any other, but
+never in place of one that is not null. Texts of any length are worked on whole. An empty table gives an empty result, and without
+benchmark items nothing is contaminated. Columns beyond those of ``documents`` pass the first four stages whatever their names are.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents tied by a similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of each group of documents tied by a similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id stays. SimHashes
+    within three bits give the first ties; bands of min-hashes, filtered by the SimHashes, the others; all are verified."""
     return simhash.keep_one_similar(docs)
 
 
