@@ -8,12 +8,12 @@ learned from labelled rows by expectation maximisation (forward and backward sum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +36,12 @@ FOLDS, HELD_OUT = 5, 0
 BROADCAST_LANGS = 10_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
-_words = re.compile(r"[^\W\d_]+").findall
+_words = regex.compile(r"\p{L}[\p{L}\p{M}]*+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-cased words of a text, runs of letters; none if no character is a letter."""
-    found = _words(text.lower())
-    return found if any(c.isalpha() for w in found for c in w) else []
+    """The lower-cased words of a text, runs of letters with their marks; none if no character is a letter."""
+    return _words(text.lower())
 
 
 class Pieces:

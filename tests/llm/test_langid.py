@@ -89,6 +89,6 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("text is null").count() == 0
 
 
-@pytest.mark.parametrize("text,words", [("½ ² 12", []), ("Aé b²", ["aé", "b²"]), ("", [])])
+@pytest.mark.parametrize("text,words", [("½ ² 12", []), ("Aé b²", ["aé", "b"]), ("हिन्दी में", ["हिन्दी", "में"]), ("naïve e\u0301t", ["naïve", "e\u0301t"]), ("", [])])
 def test_words(text, words):
     assert langid.words_of(text) == words

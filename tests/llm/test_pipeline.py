@@ -33,12 +33,42 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, tmp_path, odd, none, wh
     assert whole[0] == whole[1].count() and (whole[0] > 0) == (which == "odd")
 
 
-def test_planted_copies_and_clean_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    copies = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 100_000))
-    again = simhash.keep_one_each(copies)
-    assert again.where("doc_id >= 100000").count() == 0
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    whole = sum(hashlib.sha256(texts[i].encode()).hexdigest() == d for i, d in kept.items())
-    assert whole > 0.3 * len(kept)
+def test_planted_copies_and_clean_documents(spark, sf_dir, tmp_path):
+    """Exact copies, near ones at 0.8 to 0.97 and unlike ones below, repeated lines and benchmark items, through the whole pipeline."""
+    import random
+
+    rng = random.Random(6)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    vocabulary = sorted({w for r in given.where("lang = 'en'").limit(60).collect() for w in r.text.split()})
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    similarity = lambda x, y: len(x & y) / len(x | y)
+    shingles = lambda words: {tuple(w.lower() for w in words[i : i + 5]) for i in range(len(words) - 4)}
+    rows, gone, stay = [], set(), set()
+
+    def add(words, goes):
+        rows.append((1_000_000 + len(rows), " ".join(words), "en"))
+        (gone if goes else stay).add(rows[-1][0])
+
+    for _ in range(12):
+        base = say(400)
+        add(base, False)
+        add(base, True)
+        for edits in (2, 5, 9, 13, 30):  # each breaks five shingles
+            words = list(base)
+            for at in rng.sample(range(10, 390), edits):
+                words[at] = "edited" + rng.choice("abcdefgh") + str(at)
+            like = similarity(shingles(base), shingles(words))
+            if not 0.78 < like < 0.82:
+                add(words, like >= 0.8)
+    for item in items[:5]:
+        add([*say(100), *item.split(), *say(50)], True)
+    for n in (30, 200, 3000):
+        add(say(n), False)
+    docs = given.limit(0).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    docs.unionByName(given.where("lang IS NOT NULL")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {i: t for i, t, _ in rows}
+    kept = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id >= 1_000_000}
+    assert set(kept) == stay and len(gone) > 40
+    assert all(hashlib.sha256(texts[i].encode()).hexdigest() == digest for i, digest in kept.items())
