@@ -1,9 +1,10 @@
 """WARC archives of pages, read back, and the capture index merged from sorted runs.
 
 Archives are written by Spark's text sink, whose line end is the blank line that ends a WARC record; they can lie in
-any store that Spark writes to. Reading an archive back gives a capture run, sorted by URL key, time and page. The runs
-are dealt out by ranges of that key; each task merges its stretches of all runs with a tree of losers, so that the
-partitions, in order, are the capture histories of all URLs.
+any store that Spark writes to. Reading an archive back gives a capture run, sorted by URL key, time and page. Runs are merged
+in levels, FAN_IN of them to one: each is written before the next level reads it, so that however many archives there are, a merge has long
+stretches of few runs. A level is dealt out by ranges of the key; each task merges its stretches with a tree of losers, and the
+partitions of the last level, in order, are the capture histories of all URLs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive file holds about so many bytes of payload; a reader holds one file at a time.
 FILE_BYTES = 16 << 20
-#: Captures that a task merges.
-MERGED = 200_000
+#: Captures that a task merges, and runs that are merged to one.
+MERGED, FAN_IN = 200_000, 64
 #: Payloads of fewer bytes are always written out.
 LEAST_BYTES = 0
 #: Payloads that several pages have, about 60 bytes each, that may be broadcast; with more of them the pages are shuffled.
@@ -204,8 +207,8 @@ class LoserTree:
             self._play(i)
 
 
-def merge_runs(runs: DataFrame, most: int = MERGED) -> DataFrame:
-    """All captures in global order: partitions by ranges of the key, of about ``most`` captures or fewer, each merged from its stretches of the runs.
+def merge_level(runs: DataFrame, groups: int, most: int = MERGED) -> DataFrame:
+    """Runs merged to ``groups`` longer ones: each is sorted, and seq rises along it. Partitions are ranges of group and key, of about ``most`` captures or fewer.
 
     Spark deals the ranges and puts each run's stretch side by side, spilling as it has to; a task holds its range as Arrow and of each
     stretch the keys."""
@@ -215,27 +218,43 @@ def merge_runs(runs: DataFrame, most: int = MERGED) -> DataFrame:
         if not parts:
             return
         table = pa.Table.from_batches(parts).combine_chunks()
+        group = table.column("group").to_numpy()
         name = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
-        starts = [0, *(np.nonzero(np.diff(name))[0] + 1).tolist(), len(name)]
+        starts = [0, *(np.flatnonzero((np.diff(name) != 0) | (np.diff(group) != 0)) + 1).tolist(), len(name)]
 
         def keys(a: int, b: int) -> Iterator[tuple]:
             for at in range(a, b, 1024):
                 part = table.slice(at, min(1024, b - at))
                 yield from map(order, zip(*(part.column(c).to_pylist() for c in ("url_key", "captured", "page_id"))))
 
-        at = starts[:-1].copy()
-        merged = np.empty(len(name), np.int64)
-        for n, i in enumerate(LoserTree([keys(a, b) for a, b in zip(starts, starts[1:])])):
-            merged[n] = at[i]
-            at[i] += 1
+        merged: list[int] = []
+        for g in np.unique(group):
+            own = [(a, b) for a, b in zip(starts, starts[1:]) if group[a] == g]
+            at = [a for a, _ in own]
+            for i in LoserTree([keys(a, b) for a, b in own]):
+                merged.append(at[i])
+                at[i] += 1
+        table = table.set_column(0, "run", pa.compute.cast(table.column("group"), pa.string())).drop_columns("group")
+        base = TaskContext.get().partitionId() << 33
         for first in range(0, len(merged), 8192):
-            yield from table.take(pa.array(merged[first : first + 8192])).to_batches()
+            part = table.take(pa.array(merged[first : first + 8192]))
+            yield from part.set_column(1, "seq", pa.array(np.arange(first, first + part.num_rows) + base)).to_batches()
 
     n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // most))
-    dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
+    dealt = runs.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)))
+    dealt = dealt.repartitionByRange(n, "group", "url_key", "captured", "page_id").sortWithinPartitions("group", "run", "seq")
     return dealt.mapInArrow(run, RUN)
 
 
+def merge_runs(runs: DataFrame, most: int = MERGED, fan_in: int = FAN_IN) -> DataFrame:
+    """All captures in global order, merged level by level; the last level's partitions lie in the order of the key."""
+    left = runs.select("run").distinct().count()
+    while left > fan_in:
+        left = -(-left // fan_in)
+        runs = settle(merge_level(runs, left, most), "runs")
+    return merge_level(runs, 1, most)
+
+
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archives of pages, read them back, and return the merged capture index.
 

@@ -102,8 +102,14 @@ def test_long_payloads_and_small_archives(spark, monkeypatch, tmp_path):
     assert [(r.url_key, r.captured) for r in index] == sorted((r.url_key, r.captured) for r in index)
     files = [f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
     assert all(f.stat().st_size < 4 * 20_000 + 10_000 for f in files if f.stat().st_size < 2_000_000) and len(files) > 6
-    few = warc.merge_runs(warc.capture_runs(spark, str(tmp_path / "warc")), 2).collect()
-    assert [r.page_id for r in few] == [r.page_id for r in index]
+    for most, fan_in in ((2, 64), (200_000, 2), (3, 2)):
+        few = warc.merge_runs(warc.capture_runs(spark, str(tmp_path / "warc")), most, fan_in).collect()
+        assert [r.page_id for r in few] == [r.page_id for r in index]
+    level = warc.merge_level(warc.capture_runs(spark, str(tmp_path / "warc")), 3, 4).collect()
+    for g in {r.run for r in level}:
+        own = sorted((r for r in level if r.run == g), key=lambda r: r.seq)
+        assert [(r.url_key, r.captured) for r in own] == sorted((r.url_key, r.captured) for r in own)
+    assert len({r.run for r in level}) == 3 and sorted(r.page_id for r in level) == list(range(24))
 
 
 def test_loser_tree():
