@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .sentences import sentences as learned_sentences
+
 CHUNK_CHARS, OVERLAP_CHARS = 512, 100
 WINDOW_WORDS, FULL_TEXT_WORDS, ONE_CALL_WORDS = 10_000, 8_000, 11_000
 PAGE_CHARS, ONE_PAGE_CHARS = 3_000, 5_000
@@ -38,7 +40,7 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: split behind . ! or ? and white space (T1). Abbreviations end a sentence as well."""
+    """Sentences by a rule that needs no corpus: split behind . ! or ? and white space (T1). ``functions.sentences`` learns abbreviations."""
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
@@ -46,11 +48,11 @@ def _strip(x: Column) -> Column:
     return F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))
 
 
-def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, ends=None) -> Column:
     """Greedy packing of whole sentences into chunks of about ``size`` characters.
 
     A full chunk goes out stripped; the next begins with the last ``overlap`` characters of the unstripped one. A sentence is
-    never cut, so a chunk can be longer."""
+    never cut, so a chunk can be longer. Sentences end by a simple rule, or as ``ends``, learned from the corpus, says."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def add(state: Column, s: Column) -> Column:
@@ -63,7 +65,7 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS)
         last = _strip(state["now"])
         return F.when(last == "", state["done"]).otherwise(F.concat(state["done"], F.array(last)))
 
-    return F.aggregate(sentences(text), start, add, end)
+    return F.aggregate(sentences(text) if ends is None else learned_sentences(text, ends), start, add, end)
 
 
 def pieces(text: str, size: int = CHUNK_CHARS, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
@@ -119,10 +121,10 @@ def enriched(title: Column, page: Column, chunk: Column) -> Column:
     return F.format_string("Document: %s\nPage %d\n\n%s", title, page.cast("int"), chunk)
 
 
-def chunk_table(docs: DataFrame, mark: str = "\n") -> DataFrame:
-    """documents to (chunk_id, document_id, page_no, chunk_index, chunk, content), by page and chunk number (T5)."""
+def chunk_table(docs: DataFrame, mark: str = "\n", ends=None) -> DataFrame:
+    """documents to (chunk_id, document_id, page_no, chunk_index, chunk, content), by page and chunk number (T5), of sentences as learned in ``ends``, if given."""
     paged = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(pages(F.coalesce("text", F.lit("")), mark)).alias("page", "page_text"))
-    cut = paged.select("document_id", (F.col("page") + 1).alias("page_no"), F.posexplode(chunks(F.col("page_text"))).alias("chunk_index", "chunk"))
+    cut = paged.select("document_id", (F.col("page") + 1).alias("page_no"), F.posexplode(chunks(F.col("page_text"), ends=ends)).alias("chunk_index", "chunk"))
     name = F.format_string("%s_page%d_chunk%d", F.col("document_id").cast("string"), "page_no", "chunk_index")
     title = F.concat(F.lit("doc_"), F.col("document_id").cast("string"))
     return cut.select(name.alias("chunk_id"), "document_id", "page_no", "chunk_index", "chunk", enriched(title, F.col("page_no"), F.col("chunk")).alias("content"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve, vectors
 from ..streaming import ingest
@@ -83,6 +84,14 @@ def sentence_chunks(spark, d):
     return T.chunk_table(documents(spark, d))
 
 
+@query()
+def learned_sentences(spark, d):
+    """Every document's sentences by ends that are learned from all documents."""
+    docs = documents(spark, d)
+    found = S.sentences(F.col("text"), S.learn(docs))
+    return docs.select("doc_id", F.posexplode(found).alias("place", "sentence"))
+
+
 @query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * {T.WINDOW_WORDS} + 1 : (i + 1) * {T.WINDOW_WORDS}], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {T.WINDOW_WORDS} - 1) // {T.WINDOW_WORDS})) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")
 def word_windows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
