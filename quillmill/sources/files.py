@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sheets import workbook_pages
 from . import office
 
 #: Formats by extension.
@@ -73,7 +74,13 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
         F.when(unreadable, F.concat(F.lit("no reader for "), "ext")).alias("error"),
     )
     none = F.array().cast("array<string>").alias("images")
-    return simple.unionByName(office.pages(files.where(F.col("ext").isin(OFFICE))).select("path", "page_no", "text", none, "error"))
+    books = office.rows(files)
+    sound = books.where("error IS NULL").drop("error")
+    whole = sound.select("path").distinct()
+    sheets_ = workbook_pages(sound, office.merges(files.join(whole, "path", "left_semi"))).select("path", "page_no", "text", none, F.lit(None).cast("string").alias("error"))
+    broken = books.where("error IS NOT NULL").select("path", F.lit(1).alias("page_no"), F.lit(None).cast("string").alias("text"), none, "error")
+    others = office.pages(files.where(F.col("ext").isin(OFFICE) & (F.col("ext") != "xlsx"))).select("path", "page_no", "text", none, "error")
+    return simple.unionByName(others).unionByName(sheets_).unionByName(broken)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -106,3 +113,26 @@ def read_parsed(spark: SparkSession, path: str, schema: str = "id string, title
 def document_pages(parsed: DataFrame) -> DataFrame:
     """(id, number, text): a row for each page of parsed documents (T5)."""
     return parsed.select("id", F.explode("content").alias("page")).select("id", "page.number", "page.text")
+
+
+#: A parsed document.
+PARSED = "id string, type string, file_name string, title string, full_text string, content array<struct<number:int,text:string,images:array<string>>>"
+
+
+def parsed_documents(pages: DataFrame) -> DataFrame:
+    """PARSED of the readable pages (path, page_no, text, images, error) of files: the id is a digest of the path, the title the name without its ending."""
+    name = F.element_at(F.split("path", "/"), -1)
+    content = F.array_sort(F.collect_list(F.struct(F.col("page_no").cast("int").alias("number"), "text", "images")))
+    whole = F.array_join(F.transform("content", lambda p: p["text"]), "\n")
+    found = pages.where("error IS NULL").groupBy("path").agg(content.alias("content"))
+    return found.select(F.sha2("path", 256).alias("id"), extension(F.col("path")).alias("type"), name.alias("file_name"), F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "").alias("title"), whole.alias("full_text"), "content")
+
+
+def write_parsed(documents: DataFrame, path: str) -> None:
+    """K2: parsed documents (PARSED with user_id and thread_id) as JSON, by user and thread; what a thread has there already stays."""
+    documents.write.mode("append").partitionBy("user_id", "thread_id").json(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """What write_parsed has written, with user_id and thread_id as text."""
+    return spark.read.schema(f"{PARSED}, user_id string, thread_id string").json(path)

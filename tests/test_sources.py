@@ -34,7 +34,10 @@ def test_documents(spark, folder):
     got = {r.path.rpartition("/")[2]: r.text for r in files.read_documents(spark, folder).collect()}
     assert got["a.txt"] == "plain é" and got["b.html"] == "One & two\nthree" and "d.exe" not in got
     assert "Head" in got["c.md"] and "link" in got["c.md"] and "bold" in got["c.md"] and "png" not in got["c.md"]
-    assert got["e.xlsx"].splitlines() == ["# S1", "| Report |", "| ID | Name |", "| 7 | Widget [Note: odd] |"]
+    assert got["e.xlsx"].splitlines() == [
+        "=== Spreadsheet: e.xlsx | Sheet: S1 ===", "# Workbook Structure Summary", "- Sheet 'S1': 1 rows. Columns: [ID, Name]", "", "Context/Metadata:", "Report",
+        "Columns: ID, Name", "Total rows: 1", "", "Data:", "| ID | Name |", "|---|---|", "| 7 | Widget [Note: odd] |",
+    ]
     assert got["f.docx"] == "## Title\nBody"
 
 
@@ -102,3 +105,75 @@ def test_streaming_ingest_is_idempotent(spark, sf_dir, tmp_path):
     plain = lambda p: [sorted(map(tuple, df.collect())) for df in (index.chunks_of(spark, p).select("chunk_id", "text"), *index.scope_statistics(spark, p, index.manifest(spark, p)))]
     streamed, built = plain(out), plain(f"{tmp_path}/whole")
     assert streamed == built
+
+
+def workbook(path, sheets_, fills=(), notes=()):
+    """A workbook of inline texts: sheets as name to (rows, merged cells); fills as colours of formats from 1 on; notes of the first sheet."""
+    letter = "ABCDEFGHIJKLMNOP"
+
+    def cell(r, c, v):
+        v, style = v if isinstance(v, tuple) else (v, 0)
+        return f'<c r="{letter[c]}{r + 1}" s="{style}" t="inlineStr"><is><t>{v}</t></is></c>' if v is not None else f'<c r="{letter[c]}{r + 1}" s="{style}"/>'
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(sheets_)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(len(sheets_))) + "</Relationships>")
+        z.writestr("xl/styles.xml", "<styleSheet><fills><fill><patternFill/></fill>" + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{f}"/></patternFill></fill>' for f in fills) + "</fills><cellXfs><xf fillId=\"0\"/>" + "".join(f'<xf fillId="{i + 1}"/>' for i in range(len(fills))) + "</cellXfs></styleSheet>")
+        for i, (rows, merged) in enumerate(sheets_.values()):
+            body = "".join(f'<row r="{r + 1}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows) if row)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet><sheetData>{body}</sheetData><mergeCells>" + "".join(f'<mergeCell ref="{m}"/>' for m in merged) + "</mergeCells></worksheet>")
+        if notes:
+            z.writestr("xl/worksheets/_rels/sheet0.xml.rels", '<Relationships><Relationship Id="r" Type="t/comments" Target="../comments1.xml"/></Relationships>')
+            z.writestr("xl/comments1.xml", "<comments>" + "".join(f'<comment ref="{ref}"><text><t>{t}</t></text></comment>' for ref, t in notes) + "</comments>")
+
+
+def test_a_noisy_workbook_becomes_pages(spark, tmp_path):
+    sales = [["Confidential Report", None, None, None], ["Generated by: System X"], ["Date: 2026-02-17"], [], [], ["ID", "Product Name", "Region", "Revenue", "Status"], ["101", "Widget A", "North", "5000", ("Approved", 1)], ["102", "Widget\u00a0B", "South", "3200", ("Pending", 2)], ["103", "Gadget X", "East", "8100", ("Rejected", 3)], ["104", "Gadget Y", "West", "4500", "Approved"], [], ["105", "Gizmo Z", "North", "1200", "Approved"]]
+    config = [["Setting", "Value"], ["Max Users", "100"], ["Theme", "Dark"]]
+    workbook(tmp_path / "dirty.xlsx", {"Sales_Data_Q1": (sales, ["A1:D1"]), "Config_Data": (config, [])}, ["FF00FF00", "FFFFFF00", "FFFF0000"], [("D9", "Outlier value due to bulk order")])
+    (tmp_path / "broken.xlsx").write_text("no archive")
+    pages = {(r.path.rpartition("/")[2], r.page_no): r for r in files.read_all(spark, str(tmp_path)).collect()}
+    text = pages["dirty.xlsx", 1].text
+    assert text.splitlines() == [
+        "=== Spreadsheet: dirty.xlsx | Sheet: Sales_Data_Q1 ===", "# Workbook Structure Summary", "- Sheet 'Sales_Data_Q1': 6 rows. Columns: [ID, Product Name, Region, Revenue, Status]", "- Sheet 'Config_Data': 2 rows. Columns: [Setting, Value]", "",
+        "Context/Metadata:", "Confidential Report", "Generated by: System X", "Date: 2026-02-17", "Columns: ID, Product Name, Region, Revenue, Status", "Total rows: 5", "", "Data:",
+        "| ID | Product Name | Region | Revenue | Status |", "|---|---|---|---|---|", "| 101 | Widget A | North | 5000 | Approved [Status: Green] |", "| 102 | Widget B | South | 3200 | Pending |",
+        "| 103 | Gadget X | East | 8100 [Note: Outlier value due to bulk order] | Rejected [Status: Red] |", "| 104 | Gadget Y | West | 4500 | Approved |", "| 105 | Gizmo Z | North | 1200 | Approved |",
+    ]
+    assert pages["dirty.xlsx", 2].text.endswith("| Setting | Value |\n|---|---|\n| Max Users | 100 |\n| Theme | Dark |") and pages["broken.xlsx", 1].error
+
+
+def test_columns_without_names_and_empty_ones(spark, tmp_path):
+    rows = [["Name", None, None, "name", "Empty"], ["a", "kind", None, "x", None], ["b", "3", "4.5", "", " "], [None, None, None, None, None], ["c", None, None, "z", None]]
+    many = [[f"c{i}" for i in range(12)], [str(i) for i in range(12)]]
+    two = [["Sales", None, "Cost", None], ["Q1", "Q2", "Q1", "Q2"], ["1", "2", "3", "4"]]
+    workbook(tmp_path / "w.xlsx", {"odd": (rows, []), "many": (many, []), "two": (two, ["A1:B1", "C1:D1"])})
+    pages = {r.page_no: r.text for r in files.read_all(spark, str(tmp_path)).collect()}
+    assert pages[1].endswith("Columns: Name, kind, Column_2, name_2\nTotal rows: 3\n\nData:\n| Name | kind | Column_2 | name_2 |\n|---|---|---|---|\n| a | kind | | x |\n| b | 3 | 4.5 | |\n| c | | | z |")
+    assert "- Sheet 'many': 1 rows. Columns: [c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, ...]" in pages[2]
+    assert "Columns: Sales_Q1, Sales_Q2, Cost_Q1, Cost_Q2\nTotal rows: 1" in pages[3]
+
+
+def test_slides_with_groups_tables_and_diagrams(spark, tmp_path):
+    say = lambda *ps: "<p:sp><p:txBody>" + "".join("<a:p>" + "".join(f"<a:r><a:t>{r}</a:t></a:r>" for r in p) + "</a:p>" for p in ps) + "</p:txBody></p:sp>"
+    table = "<p:graphicFrame><a:graphic><a:graphicData uri='t'><a:tbl>" + "".join("<a:tr>" + "".join(f"<a:tc><a:txBody><a:p><a:r><a:t>{c}</a:t></a:r></a:p></a:txBody></a:tc>" for c in row) + "</a:tr>" for row in (["a", "b"], ["1 ", ""], ["", ""])) + "</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
+    diagram = f"<p:graphicFrame><a:graphic><a:graphicData uri='{office.DIAGRAM}'><d:relIds r:dm='rId2' r:lo='rId3' r:qs='rId9'/></a:graphicData></a:graphic></p:graphicFrame>"
+    with zipfile.ZipFile(tmp_path / "s.pptx", "w") as z:
+        for n, body in ((2, say(["Second"])), (1, say(["Ti", "tle"], ["under  it"]) + "<p:grpSp>" + say(["In a"]) + "<p:grpSp>" + say(["group"]) + "</p:grpSp></p:grpSp>" + table + diagram + say([" "])), (10, "")):
+            z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld xmlns:p='p' xmlns:a='a' xmlns:d='d' xmlns:r='r'><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
+        z.writestr("ppt/slides/_rels/slide1.xml.rels", '<Relationships><Relationship Id="rId2" Target="../diagrams/data1.xml"/><Relationship Id="rId3" Target="../diagrams/layout1.xml"/></Relationships>')
+        z.writestr("ppt/diagrams/data1.xml", "<x xmlns:a='a'><a:t>Plan</a:t><a:t>Do</a:t><a:t>Plan</a:t></x>")
+        z.writestr("ppt/diagrams/layout1.xml", "<x xmlns:a='a'><a:t>Do</a:t><a:t>Check</a:t></x>")
+    pages = {r.page_no: r.text for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert pages == {1: "Title under it\nIn a\ngroup\n[Table]\na | b\n1 |\n[/Table]\n[SmartArt Diagram]\nPlan\nDo\nCheck\n[/SmartArt Diagram]".replace("1 |", "1 | "), 2: "Second", 3: ""}
+
+
+def test_parsed_documents_are_written_by_owner(spark, folder, tmp_path):
+    parsed = files.parsed_documents(files.read_all(spark, folder))
+    out = f"{tmp_path}/out/parsed"
+    owned = lambda user: parsed.withColumn("user_id", F.lit(user)).withColumn("thread_id", F.lit("t 1"))
+    files.write_parsed(owned("007").where("type <> 'md'"), out)
+    files.write_parsed(owned("u/2").where("type = 'md'"), out)
+    got = {r.file_name: r for r in files.read_written(spark, out).collect()}
+    assert set(got) == {"a.txt", "b.html", "c.md", "e.xlsx", "f.docx"} and got["c.md"].user_id == "u/2" and got["a.txt"].user_id == "007"
+    assert got["f.docx"].title == "f" and got["f.docx"].full_text == "## Title\nBody" and got["c.md"].content[0].images == ["p.png"] and got["a.txt"].thread_id == "t 1"
