@@ -154,14 +154,22 @@ def summary_calls(text: Column) -> Column:
     return F.when(n <= ONE_CALL_WORDS, F.lit(1)).otherwise(F.ceil(n / WINDOW_WORDS).cast("int") + 1)
 
 
-def cloud_words(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Words that a word cloud counts, repeats included (T13); stop_words are English unless given."""
+def uncounted(stop_words: list[str] | None = None) -> list[str]:
+    """The words that a word cloud leaves out; stop_words are English unless given."""
+    return sorted({*NOT_COUNTED, *(ENGLISH if stop_words is None else stop_words)})
+
+
+def letter_words(text: Column) -> Column:
+    """A text's words of plain letters, lower-cased."""
     clean = F.replace(F.lower(text), F.lit("\n"), F.lit(" "))
     clean = F.regexp_replace(clean, r"\b[nur]\b", " ")
     clean = F.regexp_replace(clean, r"\\u[0-9a-f]{4}", " ")
-    clean = F.regexp_replace(clean, r"[^a-z\s]", " ")
-    skip = F.array(*map(F.lit, sorted({*NOT_COUNTED, *(ENGLISH if stop_words is None else stop_words)})))
-    return F.filter(words(clean), lambda w: ~F.array_contains(skip, w))
+    return words(F.regexp_replace(clean, r"[^a-z\s]", " "))
+
+
+def cloud_words(text: Column, stop_words: list[str] | None = None) -> Column:
+    """Words that a word cloud counts, repeats included."""
+    return F.filter(letter_words(text), lambda w: ~w.isin(uncounted(stop_words)))
 
 
 def clean_cell(value: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cloud_words
+from ..functions.text import letter_words, uncounted
 
 MAX_WORDS = 1000
 SPARE_TOKENS, LEAST_TRIM, MOST_ROUNDS, CHARS_PER_TOKEN = 1000, 10, 1000, 4
@@ -18,7 +18,8 @@ SPARE_TOKENS, LEAST_TRIM, MOST_ROUNDS, CHARS_PER_TOKEN = 1000, 10, 1000, 4
 def word_frequencies(docs: DataFrame, most: int = MAX_WORDS, stop_words: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """The most frequent cloud words, of all docs or for each value of ``by``; ties by word (A4)."""
     by = by or []
-    counts = docs.select(*by, F.explode(cloud_words(F.coalesce("text", F.lit("")), stop_words)).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    counts = docs.select(*by, F.explode(letter_words(F.coalesce("text", F.lit("")))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    counts = counts.where(~F.col("word").isin(uncounted(stop_words)))  # once for each different word
     if not by:
         return counts.orderBy(F.desc("n"), "word").limit(most)
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "word")

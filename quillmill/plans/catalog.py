@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import analytics, hierarchy, index, metadata, rerank, retrieve, vectors
+from ..sources import files
 from ..streaming import ingest
 from ..session import read_spread, settled, shared_folder
 from . import agent, sqlsurface
@@ -660,3 +661,48 @@ def create_users(spark, d):
 def user_profile(spark, d):
     found = metadata.profile(metadata.from_conversations(table(spark, d, "conversations")).withColumn("password", F.lit("x")), "u7")
     return metadata.totals(found).select("user_id", "chats")
+
+
+# Sources, sinks and envelopes, over what Spark has written of the tables
+
+
+@query("SELECT p_partkey, p_name, p_brand AS p_brand_2, p_size FROM part")
+def csv_round_trip(spark, d):
+    """Parts as a CSV file whose header has blanks, and two names that are one to SQL, read as a table."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    parts = table(spark, d, "part").select("p_partkey", F.concat(F.lit("  "), "p_name", F.lit("\u00a0")).alias("p_name"), "p_brand", "p_size")
+    parts.toDF("P partkey", "p name", "P-brand!", "p_size").withColumnRenamed("p_size", "p.size").coalesce(1).write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    found = files.read_csv(spark, path)
+    return found.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_brand").alias("p_brand_2"), F.col("p_size").cast("int").alias("p_size"))
+
+
+@query("SELECT 'd' || conv_id AS id, turn::INTEGER AS number, text FROM conversations WHERE text IS NOT NULL")
+def parsed_round_trip(spark, d):
+    """Conversations as parsed documents, a page a turn, written by owner, read again and cut into pages."""
+    path = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    page = F.struct(F.col("turn").cast("int").alias("number"), "text", F.array().cast("array<string>").alias("images"))
+    parsed = table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(page)).alias("content"))
+    name = F.concat(F.lit("d"), F.col("conv_id").cast("string"))
+    files.write_parsed(parsed.select(name.alias("id"), F.lit("txt").alias("type"), name.alias("file_name"), name.alias("title"), F.lit("").alias("full_text"), "content", (F.col("conv_id") % 7).cast("string").alias("user_id"), F.lit("t").alias("thread_id")), path)
+    return files.document_pages(files.read_written(spark, path))
+
+
+_ENVELOPES = [
+    "SELECT o_orderkey FROM orders WHERE o_orderkey / 2 > 10",
+    "  select c_custkey from customer limit 3;",
+    "SELECT 'drop' FROM orders",
+    "WITH x AS (SELECT 1) SELECT * FROM x",
+    "SELECT nothing FROM orders",
+]
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey // 2 > 10), c AS (SELECT least(count(*), 3) AS n FROM customer)
+SELECT 0::BIGINT AS place, true AS success, n AS row_count, n > 500 AS truncated, least(n, 500) AS shown FROM n UNION ALL SELECT 1, true, n, false, n FROM c
+UNION ALL SELECT unnest([2, 3, 4]), false, 0, false, 0""")
+def surface_envelopes(spark, d):
+    """What the guard and the envelope say of five statements."""
+    own = sqlsurface.session_with(spark, {t: f"{d}/{t}.parquet" for t in ("orders", "customer")})
+    said = [sqlsurface.execute(own, s) for s in _ENVELOPES]
+    rows = [(i, e["success"], e.get("row_count", 0), e.get("truncated", False), len(e.get("data", []))) for i, e in enumerate(said)]
+    return spark.createDataFrame(rows, "place long, success boolean, row_count long, truncated boolean, shown long")
