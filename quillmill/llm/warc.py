@@ -28,6 +28,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive file holds about so many bytes of payload; a reader holds one file at a time.
 FILE_BYTES = 16 << 20
+#: How many times the smallest page of a class of sizes the largest may be.
+SIZE_CLASS = 16
 #: Captures that a task merges, and runs that are merged to one.
 MERGED, FAN_IN = 200_000, 64
 #: Payloads of fewer bytes are always written out.
@@ -83,16 +85,16 @@ def records(roles: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write a record for each page to files under path, of FILE_BYTES or up to four times that, or one record that is larger.
+    """Write a record for each page to files under path, of FILE_BYTES at most on average and never over four times that, or one record that is larger.
 
-    Pages are written by classes of size, a job each, in which the largest is at most four times the smallest (4 KB at least); equal
-    payloads lie in one class."""
+    Pages are written by classes of size, a job each, in which the largest is at most SIZE_CLASS times the smallest (4 KB at least), so that a file
+    need not be small because some page is large; equal payloads lie in one class."""
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    of_class = F.greatest(F.lit(0), F.floor(F.log(4.0, F.greatest(size, F.lit(1)) / 4096))).cast("int")
-    classes = pages.groupBy(of_class.alias("c")).agg(F.avg(size).alias("mean")).collect()  # 10 at most, as a string has 2 GB
-    for c, mean in [(r.c, r["mean"]) for r in classes] or [(0, 0.0)]:
+    of_class = F.greatest(F.lit(0), F.floor(F.log(float(SIZE_CLASS), F.greatest(size, F.lit(1)) / 4096))).cast("int")
+    classes = pages.groupBy(of_class.alias("c")).agg(F.avg(size).alias("mean"), F.max(size).alias("most")).collect()  # 5 at most, as a string has 2 GB
+    for c, mean, most in [(r.c, r["mean"], r.most) for r in classes] or [(0, 0.0, 0)]:
         own = pages.where(of_class == c) if len(classes) > 1 else pages
-        per_file = max(1, int(FILE_BYTES / (mean + 500)))
+        per_file = max(1, int(min(FILE_BYTES / (mean + 500), 4 * FILE_BYTES / (most + 500))))
         records(with_roles(own, least_bytes)).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
