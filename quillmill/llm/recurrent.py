@@ -10,13 +10,12 @@ round. Scoring goes over whole documents, many side by side, with the state carr
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heapreplace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +23,15 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 #: What ends a text: no word, as words have no white space.
-END = b"\n"
+END = "\n"
 #: Words with vectors of their own, the words of a class, and the width of the state.
 HEAD, CLASS, WIDTH = 2048, 64, 16
 #: Words whose counts every task knows, at most; counts of rarer ones are joined.
 FREQUENT = 1 << 18
 #: Rounds over disjoint shares of the training documents, lanes side by side, tokens of a window, and tokens read before they are dealt to lanes.
 ROUNDS, LANES, WINDOW, READ = 3, 256, 32, 1 << 19
-#: Windows that a lane has in training, at least; short streams have fewer lanes. Tokens that are scored together.
-WINDOWS, SCORED_AT_ONCE = 16, 1 << 21
+#: Windows that a lane has in training, at least; short streams have fewer lanes. Bytes of text that are scored together.
+WINDOWS, SCORED_BYTES = 16, 12 << 20
 RATE, CLIP = 0.01, 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Rows in which a network travels.
@@ -40,9 +39,25 @@ PARTS = 16
 LN10 = math.log(10)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z lower-cased; white space is ASCII's."""
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after the other, A-Z lower-cased, and how many each has; white space is ASCII's, a null text has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, n = split.flatten(), split.value_lengths().to_numpy()
+    filled = pc.not_equal(words, "")  # white space at the ends gives empty ones
+    return words.filter(filled), np.bincount(np.repeat(np.arange(len(n)), n)[filled.to_numpy(zero_copy_only=False)], minlength=len(n))
+
+
+def ranked(words: pa.Array, known: pa.Array, other: int) -> np.ndarray:
+    """The places of words among the known ones, ``other`` where there is none."""
+    return pc.index_in(words, value_set=known).fill_null(other).to_numpy()
+
+
+def with_ends(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of texts of n words each with a 0 behind each text, and where the texts end."""
+    stops = np.cumsum(n + 1)
+    out = np.zeros(len(ids) + len(n), ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return out, stops
 
 
 def is_held_out(col: str = "doc_id") -> F.Column:
@@ -54,22 +69,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """token and c over all rows, each text with its end; counted in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
-
         for batch in batches:
-            for text in batch.column(0):
-                found.update(words_of(text.as_py()))
-                found[END] += 1
-                if len(found) > FREQUENT:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+            if batch.num_rows:
+                words, _ = words_of(batch.column(0))
+                found = words.value_counts()
+                ends = pa.array([END]), pa.array([batch.num_rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(found.flatten(), ends)], names=["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 class Vocabulary:
@@ -87,7 +94,7 @@ class Vocabulary:
             least = r["size"]
         self.frequent = size >= (least if least < math.inf else 1 << 40)
         found = sorted(((r.token, r.c) for r in counts.where(self.frequent | (F.col("token") == F.lit(END))).collect()), key=lambda x: (x[0] != END, -x[1], x[0]))
-        self.words = [bytes(w) for w, _ in found] or [END]
+        self.words = [w for w, _ in found] or [END]
         self.counts = np.array([c for _, c in found] or [0], np.int64)
         self.head = min(HEAD, len(self.words))
         self.classes = -(-self.head // CLASS)
@@ -249,14 +256,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, flat = sent.value
-            rank = {w: i for i, w in enumerate(head)}
+            known = pa.array(head)
             own = Network(len(head), -(-len(head) // CLASS)).load(flat)
             adam, held, seen, size = Adam(own), [], 0, 0
             for batch in batches:
-                for text in batch.column(0):
-                    held.append(np.array([*map(rank.get, words_of(text.as_py()), repeat(len(head))), 0], np.int32))
+                words, n = words_of(batch.column(0))
+                stream, _ = with_ends(ranked(words, known, len(head)), n)
+                for at in range(0, len(stream), READ):  # what is left over goes on with the next texts
+                    held.append(stream[at : at + READ])
                     size += len(held[-1])
-                    if size > READ:
+                    if size >= READ:
                         train_on(own, adam, np.concatenate(held))
                         held, seen, size = [], seen + size, 0
             if held:
@@ -330,55 +339,58 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> list[float]:
     return out
 
 
-SCORED = "id long, doc_id long, held_out boolean, n_tokens long, n_frequent long, log_c double, n_tail long, log_head double, log_net double, rare array<struct<token: binary, n: long>>"
-SCORED_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+SCORED = "id long, doc_id long, held_out boolean, n_tokens long, n_frequent long, log_c double, n_tail long, log_head double, log_net double, rare array<struct<token: string, n: long>>"
 
 
 def score_rows(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """A row of SCORED for each row: what frequent words and the network say, and the rare words that are still to be looked up."""
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.counts, vocabulary.head, net.flat()))
 
+    def scored(part: pa.RecordBatch, known: pa.Array, counts: np.ndarray, own: Network, at: int) -> pa.RecordBatch:
+        words, n = words_of(part.column(2))
+        ranks = ranked(words, known, -1)
+        of_doc = np.repeat(np.arange(len(n)), n)
+        logs = np.log10(np.append(counts, 0) + 1.0)  # the last place, reached by -1, adds nothing
+        head, end = own.head, logs[0]
+        total = lambda of, weight=None: np.bincount(of, weight, len(n))
+        frequent, tail = ranks >= 0, (ranks < 0) | (ranks >= head)
+        log_c, log_head = total(of_doc, logs[ranks]) + end, total(of_doc[~tail], logs[ranks[~tail]]) + end
+        stream, stops = with_ends(np.where(tail, head, ranks), n)
+        log_net = np.array(score_documents(own, np.split(stream, stops[:-1]))) / LN10
+        rare = words.filter(pa.array(~frequent)).dictionary_encode()
+        pairs, times = np.unique(of_doc[~frequent].astype(np.int64) << 32 | rare.indices.to_numpy().astype(np.int64), return_counts=True)
+        begins = np.searchsorted(pairs >> 32, np.arange(len(n) + 1))
+        tokens = rare.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())
+        listed = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.StructArray.from_arrays([tokens, pa.array(times, pa.int64())], names=["token", "n"]))
+        columns = [np.arange(at, at + len(n)), n + 1, total(of_doc[frequent]) + int(counts[0] > 0), log_c, total(of_doc[tail]), log_head, log_net]
+        ids, n_tokens, n_frequent, log_c, n_tail, log_head, log_net = (pa.array(c) for c in columns)
+        arrays = [ids, part.column(0), part.column(1), n_tokens, n_frequent, log_c, n_tail, log_head, log_net, listed]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "held_out", "n_tokens", "n_frequent", "log_c", "n_tail", "log_head", "log_net", "rare"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, head, flat = sent.value
-        rank = {w: i for i, w in enumerate(words)}
-        logs = np.log10(np.append(counts, 0) + 1.0)  # the last place, reached by -1, adds nothing
+        known = pa.array(words)
         own = Network(head, -(-head // CLASS)).load(flat)
         at = TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
-        ids_of: list[np.ndarray] = []
-        rare_words: list[bytes] = []
-        rare_counts: list[int] = []
-        ends, size = [0], 0
-
-        def out() -> pa.RecordBatch:
-            columns = zip(*((*r, s / LN10) for r, s in zip(rows, score_documents(own, ids_of))))
-            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"])
-            arrays = [*(pa.array(c, t) for c, t in zip(columns, SCORED_TYPES)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)]
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "held_out", "n_tokens", "n_frequent", "log_c", "n_tail", "log_head", "log_net", "rare"])
-
-        for batch in batches:
-            for doc, held_out, text in zip(*batch.columns):
-                found = words_of(text.as_py())
-                ranks = np.array([*map(rank.get, found, repeat(-1)), 0], np.int32)
-                unknown = np.flatnonzero(ranks < 0)
-                rare = Counter([found[i] for i in unknown])
-                rare_words += rare
-                rare_counts += rare.values()
-                ends.append(len(rare_words))
-                tail = (ranks < 0) | (ranks >= head)
-                known = logs[ranks]
-                rows.append((at, doc.as_py(), held_out.as_py(), len(ranks), len(ranks) - len(unknown) - int(not counts[0]), float(known.sum()), int(tail.sum()), float(known[~tail].sum())))
-                ids_of.append(np.where(tail, head, ranks))
-                at, size = at + 1, size + len(ranks)
-                if size > SCORED_AT_ONCE:
-                    yield out()
-                    rows, ids_of, rare_words, rare_counts, ends, size = [], [], [], [], [0], 0
-        if rows:
-            yield out()
+        held, size = [], 0
+        for batch in _and_last(batches):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.column(2).nbytes
+            if held and (batch is None or size > SCORED_BYTES):
+                for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+                    yield scored(part, known, counts, own, at)
+                    at += part.num_rows
+                held, size = [], 0
 
     return docs.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """Counts and a network learned from the rows that are not held out, and every row scored by both.
 

@@ -64,9 +64,22 @@ def test_gradients_are_differences():
             assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-6, name
 
 
+def plain_words(text):
+    return [w.decode() for w in (text or "").encode().lower().split()]
+
+
+def test_words():
+    import pyarrow as pa
+
+    texts = ["  Ab Ç\tÉx\x0b\x0cy\n\nZ ", "", None, "a\u00a0b \u2003C\x1cd\x85e", "x", " ", "ÀB"]
+    words, n = recurrent.words_of(pa.array(texts, pa.string()))
+    assert n.tolist() == [len(plain_words(t)) for t in texts] and words.to_pylist() == [w for t in texts for w in plain_words(t)]
+    assert recurrent.words_of(pa.array([], pa.string()))[1].tolist() == []
+
+
 def plain_base(rows):
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    words = [[*recurrent.words_of(t), recurrent.END] for _, t in rows]
+    words = [[*plain_words(t), recurrent.END] for _, t in rows]
     c = Counter(w for ws, out in zip(words, held) if not out for w in ws)
     n, v = sum(c.values()), len(c)
     return [(i, out, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for (i, _), out, ws in zip(rows, held, words)]
@@ -96,7 +109,7 @@ def test_probabilities_of_a_vocabulary_sum_to_one(spark, monkeypatch):
     states, _ = net.recur(np.zeros((1, 1), int), np.zeros((1, 1), np.float32), np.zeros((1, recurrent.WIDTH), np.float32))
     head = {w: i for i, w in enumerate(vocabulary.words[: vocabulary.head])}
     prob = lambda w: math.exp(net.log_probs(states[0], np.array([head.get(w, vocabulary.head)]))[0])
-    total = sum(prob(r.token) * (1 if r.token in head else (r.c + 1) / 10**vocabulary.tail) for r in counts) + prob(b"never") / 10**vocabulary.tail
+    total = sum(prob(r.token) * (1 if r.token in head else (r.c + 1) / 10**vocabulary.tail) for r in counts) + prob("never") / 10**vocabulary.tail
     assert abs(total - 1) < 1e-5
 
 
