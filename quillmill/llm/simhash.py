@@ -32,8 +32,8 @@ SIMILAR_SHINGLE, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Bits within which fingerprints of texts that share a band lie if the texts may be similar: at similarity 0.8 they differ in 9.7 on average with a deviation of 2.9.
 WIDE = 22
-#: Texts of a band whose fingerprints are compared with each other at once; a larger band is split into blocks.
-BLOCK = 4096
+#: Texts of a band, and shingles of them, that are compared with each other at once; a larger band is split into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Texts with candidates that may be broadcast, an id and a hash each.
 BROADCAST_TEXTS = 200_000
 
@@ -172,48 +172,99 @@ def sets_of(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members (key, node, ...) in blocks (i, j): a band of up to BLOCK texts is one; a larger one is split and each two of its parts meet."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "key")
+    """members (key, node, n, ...) in blocks (i, j): a band of up to BLOCK texts with up to BLOCK_SHINGLES shingles is one; a larger one is split and each two of its parts meet."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = members.join(members.groupBy("key").agg(parts.alias("parts")), "key")
     sized = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return sized.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
 
 
-def _near(fp: np.ndarray, n: np.ndarray, to: np.ndarray, part: np.ndarray, least: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a block that may be similar: of different components and, in a split block, parts, of like sizes, with near fingerprints."""
-    split = part.min() != part.max()
-    for at in range(0, len(fp), 256):
-        some = slice(at, at + 256)
-        good = np.bitwise_count(fp[some, None] ^ fp[None, :]) <= radius
-        good &= (to[some, None] != to[None, :]) & (np.minimum(n[some, None], n[None, :]) >= least * np.maximum(n[some, None], n[None, :]) - 1e-9)
-        good &= (part[some, None] < part[None, :]) if split else (np.arange(len(fp))[some, None] < np.arange(len(fp))[None, :])
-        i, j = np.nonzero(good)
-        if len(i):
-            yield i + at, j
+def _may(k: int, fp: np.ndarray, n: np.ndarray, to: np.ndarray, part: np.ndarray, least: float) -> np.ndarray:
+    """The texts of a block that may be similar to text k: of other components and, in a split block, another part, of like sizes, with near fingerprints."""
+    good = (to != to[k]) & (np.bitwise_count(fp ^ fp[k]) <= WIDE) & (np.minimum(n, n[k]) >= least * np.maximum(n, n[k]) - 1e-9)
+    if part.min() != part.max():
+        return np.flatnonzero(good & (part != part[k]))
+    return np.flatnonzero(good)
 
 
-def _across(blocks: DataFrame, least: float, radius: int) -> DataFrame:
-    """(a, b): pairs of texts of some block that may be similar and are not tied; a task keeps the fingerprints of one block at a time."""
-    columns = ["key", "i", "j", "node", "n", "fp", "to", "part"]
+def _each_block(blocks: DataFrame, columns: list[str], of_block, schema: str) -> DataFrame:
+    """What ``of_block`` makes of each block's table; a task holds one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in [*batches, None]:
-            table = None if batch is None else pa.Table.from_batches([batch])
-            table = table if rest is None else rest if table is None else pa.concat_tables([rest, table])
-            if table is None or not table.num_rows:
+        rest: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            key, i, j, node, n, fp, to, part = (table.column(c).to_numpy() for c in columns)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            starts = [0, *cuts.tolist()]
-            ends = [*cuts.tolist(), *([len(key)] if batch is None else [])]  # the last block may go on
-            for a, b in zip(starts, ends):
-                for left, right in _near(fp[a:b].view(np.uint64), n[a:b], to[a:b], part[a:b], least, radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a + left]), pa.array(node[a + right])], names=["a", "b"])
-            rest = None if batch is None else table.slice(starts[-1])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if now is not None and tuple(keys[:, a]) != now:
+                    yield from of_block(pa.Table.from_batches(rest).combine_chunks())
+                    rest = []
+                now = tuple(keys[:, a])
+                rest.append(batch.slice(a, b - a))
+        if rest:
+            yield from of_block(pa.Table.from_batches(rest).combine_chunks())
 
     keys = ["key", "i", "j"]
-    return blocks.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return blocks.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _waiting(blocks: DataFrame, least: float) -> DataFrame:
+    """The rows of blocks whose text may be similar to another of the block, by their fingerprints alone."""
+    columns = ["key", "i", "j", "node", "n", "fp", "to", "part"]
+
+    def of_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, fp, to, part = (table.column(c).to_numpy() for c in ("n", "fp", "to", "part"))
+        some = [k for k in range(len(n)) if len(_may(k, fp.view(np.uint64), n, to, part, least))]
+        if some:
+            yield from table.take(pa.array(some)).to_batches()
+
+    return _each_block(blocks, columns, of_block, "key long, i int, j int, node long, n long, fp long, to long, part int")
+
+
+def _ties(sets: list[np.ndarray], fp: np.ndarray, to: np.ndarray, part: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of a block: pairs of components ``to`` that a pair of texts at similarity ``least`` or more ties, without circles."""
+    sizes = np.array(list(map(len, sets)))
+    starts = np.cumsum(sizes) - sizes
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    mark = np.zeros(len(times), np.int32)
+    now, pairs = to.copy(), []
+    for k in range(len(sets)):
+        others = _may(k, fp, sizes, now, part, least)
+        others = others[others > k]
+        if not len(others):
+            continue
+        own = at[starts[k] : starts[k] + sizes[k]]
+        mark[own] = 1
+        if 8 * len(others) > len(sets):
+            both = np.add.reduceat(mark[at], starts)[others]
+        else:
+            both = np.array([mark[at[starts[j] : starts[j] + sizes[j]]].sum() for j in others])
+        mark[own] = 0
+        for j in others[both >= least * (sizes[others] + sizes[k] - both) - 1e-9]:
+            if now[j] != now[k]:
+                pairs.append((int(to[k]), int(to[j])))
+                now[now == now[j]] = now[k]
+    return pairs
+
+
+def _across(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b): components that some block ties; blocks have the texts' shingles."""
+    columns = ["key", "i", "j", "fp", "to", "part", "shingles"]
+
+    def of_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        fp, to, part = (table.column(c).to_numpy() for c in ("fp", "to", "part"))
+        shingles = table.column("shingles").combine_chunks()
+        shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+        sets = [x.values.to_numpy() for x in shingles]
+        if pairs := _ties(sets, fp.view(np.uint64), to, part, least):
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _each_block(blocks, columns, of_block, "a long, b long")
 
 
 def _multi_index(entries: DataFrame, least: float) -> DataFrame:
@@ -239,8 +290,9 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float
 
     Texts without a word are alike. First the pairs of the multi-index are compared, and in each band that several share all with the one that shares most
     bands with most texts, the middle of a group of copies. Where that leaves several components in a band, texts of different ones
-    with near fingerprints are compared. Only ids and fingerprints meet in a band, and a group of copies never becomes rows of pairs; comparing
-    fingerprints of texts that share a band and are not tied goes with the square of their number, in blocks."""
+    with near fingerprints are compared, in blocks that give ties and no pairs. Ids and fingerprints meet first, and only texts that have
+    a near fingerprint in their block bring their shingles. So a group of copies never becomes rows of pairs, though comparing
+    texts that share a band and are not tied goes with the square of their number."""
     own = settle(shingled(docs, shingle), "shingled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("same"))).alias("head")
     entries = settle(own.groupBy("node").agg(first, F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "entries")
@@ -258,7 +310,7 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float
     placed = crowded.alias("c").join(tied.alias("t"), F.expr("c.node = t.node"), "left").select("c.node", "n", "fp", "key", to)
     several = placed.groupBy("key").agg(F.min("to").alias("lo"), F.max("to").alias("hi")).where("lo <> hi").select("key")
     rest = settle(placed.join(several, "key"), "rest")
-    more = _similar(settle(_across(_blocks(rest), least, WIDE), "near"), sets, least)
+    more = _across(settle(_waiting(_blocks(rest), least), "waiting").join(sets, "node"), least)
     tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)).withColumnRenamed("node", "at")
     entries = entries.join(tied, F.col("node") == F.col("at"), "left").select("node", "head", F.coalesce("component", "node").alias("root"))
     heads = entries.groupBy("root").agg(F.min("head").alias("head"))
