@@ -297,7 +297,23 @@ def tfidf_cosine_pairs(spark, d):
     return rerank.cosine_pairs(settled(rerank.tfidf(_candidates(spark, d)), "weights")).withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+_MMR = f"""
+WITH RECURSIVE rel AS (SELECT query_id, doc_id AS chunk_id, 1 - (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1) / count(*) OVER (PARTITION BY query_id) AS relevance FROM ({_bm25_sql(CANDIDATES)})
+), p AS ({_TFIDF.replace("round(sum(a.weight", "(sum(a.weight").replace(", 6) AS cosine", ") AS cosine")}
+), near AS (SELECT query_id, a AS chunk_id, b AS other, cosine FROM p UNION ALL SELECT query_id, b, a, cosine FROM p
+), pick AS (
+  SELECT DISTINCT query_id, -1 AS position, CAST([] AS BIGINT[]) AS chosen, {{'score': 0.0::DOUBLE, 'relevance': 0.0::DOUBLE, 'back': 0::BIGINT}} AS best FROM rel
+  UNION ALL
+  SELECT query_id, position + 1, list_append(chosen, -best.back), best FROM (
+    SELECT query_id, position, chosen, max({{'score': {1 - rerank.LAMBDA} * relevance - {rerank.LAMBDA} * closest, 'relevance': relevance, 'back': -chunk_id}}) AS best FROM (
+      SELECT s.query_id, s.position, s.chosen, r.chunk_id, r.relevance, coalesce(max(CASE WHEN list_contains(s.chosen, n.other) THEN n.cosine END), 0) AS closest
+      FROM pick s JOIN rel r ON r.query_id = s.query_id LEFT JOIN near n ON n.query_id = r.query_id AND n.chunk_id = r.chunk_id
+      WHERE NOT list_contains(s.chosen, r.chunk_id) AND s.position < {CANDIDATES - 1} GROUP BY s.query_id, s.position, s.chosen, r.chunk_id, r.relevance)
+    GROUP BY query_id, position, chosen))
+SELECT query_id, position::BIGINT AS position, chosen[-1] AS chunk_id, round(best.score, 6) AS mmr FROM pick WHERE position >= 0"""
+
+
+@query(_MMR)
 def mmr_rerank(spark, d):
     """The candidates of each question, relevant and different ones first."""
     found = _candidates(spark, d)
