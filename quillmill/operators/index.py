@@ -24,9 +24,9 @@ KEY = [*OWNER, "chunk_id"]
 #: What stands for the owner of chunks without one.
 NOBODY = "-"
 #: Chunks of a range, and so the longest block of postings.
-RANGE = 128
+RANGE = 32
 #: Ranges that are scored for each question before the others are judged by their bounds.
-FIRST_RANGES = 4
+FIRST_RANGES = 8
 #: Scores are ranked to nine places; bounds give way by a little more.
 SLACK = 1e-8
 #: (question, term) pairs that may be broadcast.
@@ -137,8 +137,9 @@ def _owned(rows: DataFrame) -> DataFrame:
 def _blocks(chunks: DataFrame) -> DataFrame:
     """The postings of chunks in blocks: owner, term, range (of chunks that lie together), how many, the largest tf and the least
     length among them, and ids, tfs and lengths as arrays of up to RANGE."""
-    placed = chunks.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
-    terms = placed.select(*KEY, "range", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*KEY, "range", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    order = [*OWNER, "length", "chunk_id"]  # chunks of like length lie together, as their scores are alike
+    placed = chunks.withColumn("length", F.size("tokens")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
+    terms = placed.select(*KEY, "range", "length", F.explode("tokens").alias("term")).groupBy(*KEY, "range", "length", "term").agg(F.count("*").cast("int").alias("tf"))
     block = F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "length")))
     blocks = terms.groupBy(*OWNER, "term", "range").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), block.alias("b"))
     return blocks.select(*OWNER, "term", "range", "n", "max_tf", "min_length", F.col("b.chunk_id").alias("ids"), F.col("b.tf").alias("tfs"), F.col("b.length").alias("lengths"))
