@@ -7,25 +7,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where the session names no folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..session import settled, shared_folder
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share, as named in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    base = base or LOCAL_CHECKPOINTS
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+#: df written to the shared folder and read again: lineage is cut and a lost executor costs nothing.
+settle = settled
 
 
 def forget(df: DataFrame) -> None:
