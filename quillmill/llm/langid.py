@@ -27,6 +27,8 @@ SAMPLE_DOCS = 600
 ROUNDS = 2
 #: Words up to this long are taken by exact length; longer ones are filled up to one length with a character that no piece has.
 EXACT, NOTHING = 32, "\U0010ffff"
+#: Texts that a task scores together.
+TEXTS = 256
 #: Characters after which sums are scaled.
 SCALED = 16
 #: Probability of a character that no piece spells, and what every piece is taken to have been seen beside its count.
@@ -272,7 +274,7 @@ def predict(docs: DataFrame, learned: tuple[list[str], list[str], np.ndarray]) -
         langs, pieces, p = sent.value
         table = Pieces(pieces)
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in slices(batch, TEXTS):
                 texts = part.column(2).to_pylist()
                 named, score = score_texts(table, langs, p, texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(named, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -298,6 +300,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         langs, pieces, p = sent.value
         table = Pieces(pieces)
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(table, langs, p, texts.iloc[i : i + 1024].tolist())[1] for i in range(0, len(texts), 1024))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(table, langs, p, texts.iloc[i : i + TEXTS].tolist())[1] for i in range(0, len(texts), TEXTS))]))
 
     return docs.where(share("text") >= least)

@@ -33,7 +33,7 @@ BANDS, ROWS = 24, 5
 #: Bits within which fingerprints of texts that share a band lie if the texts may be similar: at similarity 0.8 they differ in 9.7 on average with a deviation of 2.9.
 WIDE = 22
 #: Texts of a band, and shingles of them, that are compared with each other at once; a larger band is split into blocks.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Texts with candidates that may be broadcast, an id and a hash each.
 BROADCAST_TEXTS = 200_000
 
