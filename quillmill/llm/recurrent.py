@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, slices
 
 #: What ends a text: no word, as words have no white space.
 END = "\n"
@@ -31,11 +31,11 @@ FREQUENT = 1 << 18
 #: Rounds over disjoint shares of the training documents, lanes side by side, tokens of a window, and tokens read before they are dealt to lanes.
 ROUNDS, LANES, WINDOW, READ = 3, 256, 32, 1 << 19
 #: Windows that a lane has in training, at least; short streams have fewer lanes. Bytes of text that are scored together.
-WINDOWS, SCORED_BYTES = 16, 12 << 20
+WINDOWS, SCORED_BYTES = 16, 8 << 20
 RATE, CLIP = 0.01, 1.0
 FOLDS, HELD_OUT = 7, 2
-#: Rows in which a network travels.
-PARTS = 16
+#: Rows in which a network travels, and rows of texts that are cut into words at once.
+PARTS, ROWS = 16, 4096
 LN10 = math.log(10)
 
 
@@ -70,10 +70,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                words, _ = words_of(batch.column(0))
-                found = words.value_counts()
-                ends = pa.array([END]), pa.array([batch.num_rows], pa.int64())
+            for part in slices(batch, ROWS):
+                found = words_of(part.column(0))[0].value_counts()
+                ends = pa.array([END]), pa.array([part.num_rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(found.flatten(), ends)], names=["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
@@ -259,8 +258,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             known = pa.array(head)
             own = Network(len(head), -(-len(head) // CLASS)).load(flat)
             adam, held, seen, size = Adam(own), [], 0, 0
-            for batch in batches:
-                words, n = words_of(batch.column(0))
+            for part in (p for batch in batches for p in slices(batch, ROWS)):
+                words, n = words_of(part.column(0))
                 stream, _ = with_ends(ranked(words, known, len(head)), n)
                 for at in range(0, len(stream), READ):  # what is left over goes on with the next texts
                     held.append(stream[at : at + READ])
