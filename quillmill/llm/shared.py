@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
 settle = settled
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Plans that are carried out inside hand rows to Python by up to ``rows``, so that a task and its Python process hold less at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing will read again; what was made of it must be settled."""
     files = df.inputFiles()
