@@ -21,7 +21,7 @@ from .shared import slices, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a task remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
