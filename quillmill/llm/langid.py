@@ -295,11 +295,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     below a half. An empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    @F.pandas_udf("double")
-    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def share(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, pieces, p = sent.value
         table = Pieces(pieces)
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(table, langs, p, texts.iloc[i : i + TEXTS].tolist())[1] for i in range(0, len(texts), TEXTS))]))
+            found = [score_texts(table, langs, p, texts.slice(i, TEXTS).to_pylist())[1] for i in range(0, len(texts), TEXTS)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
     return docs.where(share("text") >= least)
