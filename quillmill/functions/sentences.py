@@ -69,10 +69,13 @@ def _best(df: DataFrame, least: float, *columns: str) -> list[str]:
 
 def learn(docs: DataFrame, text: str = "text") -> Ends:
     """The lists that the texts of docs teach. Null and empty texts teach nothing; an empty table gives empty lists."""
-    words = docs.select(F.transform(_words(F.col(text)), _bare).alias("w"))
-    pairs = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("w"), F.get("w", i + 1).alias("next")))).alias("p")).select("p.*").where("w <> ''")
-    pairs = pairs.select(_type(F.col("w")).alias("a"), F.col("w").endswith(".").alias("period"), F.col("w").endswith("..").alias("dots"), _type(F.col("next")).alias("b"), F.col("next").rlike(r"^\p{Lu}").alias("upper"))
-    counted = settled(pairs.groupBy("a", "period", "dots", "b", "upper").agg(F.count("*").alias("n")), "word-pairs")
+    # Words are counted as they stand, with the next one where there may be a period, before anything is looked for in them.
+    follow = lambda w, i: F.struct(w.alias("w"), F.when(F.contains(w, F.lit(".")), F.get("w", i + 1)).alias("next"))
+    raw = docs.select(_words(F.col(text)).alias("w")).select(F.explode(F.transform("w", follow)).alias("p")).select("p.*").groupBy("w", "next").agg(F.count("*").alias("n"))
+    bare = raw.select(_bare(F.col("w")).alias("w"), _bare(F.col("next")).alias("next"), "n").where("w <> ''").withColumn("period", F.col("w").endswith("."))
+    behind = lambda c: F.when(F.col("period"), c)
+    pairs = bare.select(_type(F.col("w")).alias("a"), "period", F.col("w").endswith("..").alias("dots"), behind(_type(F.col("next"))).alias("b"), behind(F.col("next").rlike(r"^\p{Lu}")).alias("upper"), "n")
+    counted = settled(pairs.groupBy("a", "period", "dots", "b", "upper").agg(F.sum("n").alias("n")), "word-pairs")
     kinds = settled(counted.groupBy("a").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("period") & ~F.col("dots"), F.col("n")).otherwise(0)).alias("with")), "words")
     whole = kinds.agg(F.sum("all").alias("n"), F.sum("with").alias("periods")).first()
     if not whole.n or not whole.periods or whole.periods == whole.n:

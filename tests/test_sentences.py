@@ -76,3 +76,11 @@ def test_chunks_of_learned_sentences(spark):
     docs = spark.createDataFrame([(1, "Dr. Smith came. " * 60)], "doc_id long, text string")
     chunks = [r.chunk for r in T.chunk_table(docs, ends=S.Ends(["dr"], [], [])).orderBy("chunk_index").collect()]
     assert len(chunks) > 1 and all(c.endswith("Dr. Smith came.") for c in chunks)
+
+
+def test_only_words_with_a_period_are_counted_with_the_next(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(S, "settled", lambda df, tag: kept.setdefault(tag, df))
+    S.learn(spark.createDataFrame([("a b a c a d. E a x. y",)], "text string"))
+    rows = {(r.a, r.b): r.n for r in kept["word-pairs"].collect()}
+    assert rows == {("a", None): 4, ("b", None): 1, ("c", None): 1, ("d", "e"): 1, ("e", None): 1, ("x", "y"): 1, ("y", None): 1}
