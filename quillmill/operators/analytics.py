@@ -14,6 +14,9 @@ from ..functions.text import letter_words, uncounted
 MAX_WORDS = 1000
 SPARE_TOKENS, LEAST_TRIM, MOST_ROUNDS, CHARS_PER_TOKEN = 1000, 10, 1000, 4
 
+#: Numbers covered by spans that may be broadcast; beyond it the join shuffles.
+BROADCAST_SPANS = 500_000
+
 
 def word_frequencies(docs: DataFrame, most: int = MAX_WORDS, stop_words: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """The most frequent cloud words, of all docs or for each value of ``by``; ties by word (A4)."""
@@ -153,3 +156,12 @@ def compress(docs: DataFrame, most: int, offset: int = 0, batch: str = "batch",
         return frame.assign(content=texts)
 
     return docs.select(batch, "title", "content").groupBy(batch).applyInPandas(trim, f"{batch} {dict(docs.dtypes)[batch]}, title string, content string")
+
+
+def range_join(spans: DataFrame, low: str, width: int, values: DataFrame, value: str) -> DataFrame:
+    """The rows of spans and values with whole numbers low <= value <= low + width, as an equal join: a span has a row for each number that it
+    covers and that is a value at all, so the work goes with the matches and not with the pairs."""
+    covered = spans.withColumn("_at", F.explode(F.sequence(F.col(low).cast("long"), F.col(low).cast("long") + width)))
+    covered = covered.join(values.select(F.col(value).cast("long").alias("_at")).distinct(), "_at", "left_semi")
+    covered = F.broadcast(covered) if covered.count() <= BROADCAST_SPANS else covered
+    return values.withColumn("_at", F.col(value).cast("long")).join(covered, "_at").drop("_at")

@@ -67,6 +67,13 @@ def query(oracle: str | None = None):
     return register
 
 
+@query(ORACLES["sql_join_range"])
+def sql_join_range(spark, d):
+    """Parts whose size lies in a supplier's span and that cost more than its balance."""
+    spans, parts = table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return analytics.range_join(spans, "s_suppkey", 2, parts, "p_size").where("p_retailprice > s_acctbal").select("s_suppkey", "p_partkey")
+
+
 # Text
 
 _TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
