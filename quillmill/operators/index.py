@@ -1,4 +1,4 @@
-"""The chunk index: chunks, blocks of postings and statistics of users and threads, written as immutable segments.
+"""The chunk index: chunks, packs of postings and statistics of users and threads, written as immutable segments.
 
 A segment holds what one write brought: its chunks, their postings, the chunks of earlier segments that are gone, and how much
 it changed the statistics. A manifest names the segments that make a version; it appears at once or not at all, so a
@@ -10,27 +10,30 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_table, tokens
 from ..session import settled
-from .retrieve import B, EPSILON, K1, asked_terms
+from .retrieve import EPSILON, PACK, asked_terms, best_of, counts, packed, question_blocks
 
 OWNER = ["user_id", "thread_id"]
 KEY = [*OWNER, "chunk_id"]
+#: The same in the order in which equal scores are ranked.
+KEY_FOUND = ["chunk_id", *OWNER]
 #: What stands for the owner of chunks without one.
 NOBODY = "-"
-#: Chunks of a range, and so the longest block of postings.
-RANGE = 32
-#: Ranges that are scored for each question before the others are judged by their bounds.
-FIRST_RANGES = 8
-#: Scores are ranked to nine places; bounds give way by a little more.
-SLACK = 1e-8
-#: (question, term) pairs that may be broadcast.
-BROADCAST_ASKED = 200_000
+#: Chunks of a range, which share a bound, and of a pack of ranges, which is a row of postings.
+RANGE, PACKED = 64, 1024
+#: Ranges of a pack that are scored for each question before the others are judged by their bounds.
+FIRST_RANGES = 4
+#: Keys of chunks that may be broadcast.
+BROADCAST_KEYS = 1_000_000
 TABLES = ["chunks", "gone", "postings", "terms", "whole"]
 
 
@@ -123,10 +126,10 @@ def chunks_of(spark: SparkSession, path: str, user: str | None = None, thread: s
     return live(spark, path, of, read(spark, path, of, "chunks", user, thread), user, thread).drop("position")
 
 
-def _write(rows: DataFrame, path: str, table: str, segment: str, sort: list[str]) -> str:
-    """Written by owner, so that a search reads its own only; a large thread is written by several tasks. Gives the schema."""
-    dealt = rows.hint("rebalance", *OWNER).sortWithinPartitions(*OWNER, *sort)
-    dealt.write.partitionBy(*OWNER).parquet(f"{path}/{table}/seg={segment}")
+def _write(rows: DataFrame, path: str, table: str, segment: str, sort: list, dealt: bool = False) -> str:
+    """Written by owner, so that a search reads its own only; a large thread is written by several tasks. Rows that are ``dealt`` lie by owner as it is. Gives the schema."""
+    laid = (rows if dealt else rows.hint("rebalance", *OWNER)).sortWithinPartitions(*OWNER, *sort)
+    laid.write.partitionBy(*OWNER).parquet(f"{path}/{table}/seg={segment}")
     return ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c not in OWNER)
 
 
@@ -135,20 +138,40 @@ def _owned(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
-    """The postings of chunks in blocks: owner, term, range (of chunks that lie together), how many, the largest tf and the least
-    length among them, and ids, tfs and lengths as arrays of up to RANGE."""
-    order = [*OWNER, "length", "chunk_id"]  # chunks of like length lie together, as their scores are alike
-    placed = chunks.withColumn("length", F.size("tokens")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
-    terms = placed.select(*KEY, "range", "length", F.explode("tokens").alias("term")).groupBy(*KEY, "range", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    block = F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "length")))
-    blocks = terms.groupBy(*OWNER, "term", "range").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), block.alias("b"))
-    return blocks.select(*OWNER, "term", "range", "n", "max_tf", "min_length", F.col("b.chunk_id").alias("ids"), F.col("b.tf").alias("tfs"), F.col("b.length").alias("lengths"))
+    """The postings of chunks (KEY, tokens; in the order of a segment), for each pack of up to PACKED chunks of an owner that lie together."""
+    most, longest = PACKED, RANGE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for batch in batches:
+            owner = [batch.column(i).dictionary_encode().indices.to_numpy() for i in (0, 1)]
+            new = [0, *(np.nonzero((np.diff(owner[0]) != 0) | (np.diff(owner[1]) != 0))[0] + 1).tolist(), batch.num_rows]
+            for at, end in ((i, min(i + most, to)) for start, to in zip(new, new[1:]) for i in range(start, to, most)):
+                part = batch.slice(at, end - at)
+                chunk, term, tf, terms, lengths = counts(part.column(4))
+                row = packed(part.select([2]), terms, lengths, np.arange(len(lengths)) // longest, np.stack([chunk, term, tf]))
+                number = pa.array([part.column(3)[0].as_py() * 2**33 + place])
+                place += 1
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), part.column(1).slice(0, 1), number, *row.columns], names=[*OWNER, "pack", *row.schema.names])
+
+    kind = dict(chunks.dtypes)["chunk_id"]
+    dealt = chunks.select(*KEY, F.spark_partition_id().cast("long").alias("part"), "tokens")
+    return dealt.mapInArrow(run, f"user_id string, thread_id string, pack long, ids array<struct<chunk_id:{kind}>>, {PACK}")
 
 
 def _latest(chunks: DataFrame) -> DataFrame:
-    """One row of each chunk: of repeated ones that with the larger text."""
+    """One row of each chunk: of repeated ones that with the larger text. Only chunks that are repeated are compared."""
+    again = chunks.groupBy(*KEY).count().where("count > 1").select(*KEY)
+    n = again.count()
+    if not n:
+        return chunks
     order = Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("text"), *[F.desc(c) for c in chunks.columns if c not in (*KEY, "text")])
-    return chunks.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    first = lambda df: df.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    if n > BROADCAST_KEYS:
+        return first(chunks)
+    known = F.broadcast(again.toDF(*[f"_{c}" for c in KEY]).withColumn("_again", F.lit(True)))
+    named = chunks.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left").select(*chunks.columns, "_again")
+    return named.where("_again IS NULL").drop("_again").unionByName(first(named.where("_again").drop("_again")))
 
 
 def put(spark: SparkSession, path: str, chunks: DataFrame | None = None, gone: DataFrame | None = None, replaces: list[str] | None = None, mark: tuple[str, int] | None = None) -> dict:
@@ -170,27 +193,32 @@ def put(spark: SparkSession, path: str, chunks: DataFrame | None = None, gone: D
         if sorted(known.dtypes) != sorted(chunks.dtypes):
             raise ValueError(f"the index has chunks of {sorted(known.dtypes)}, not of {sorted(chunks.dtypes)}")
         chunks = chunks.select(known.columns)
-    schemas["chunks"] = _write(chunks, path, "chunks", segment, ["chunk_id"])
+    schemas["chunks"] = _write(chunks, path, "chunks", segment, [F.length("text"), F.col("chunk_id")])  # chunks of like length lie together, as their scores are alike
     alone = of | {"segments": [segment], "schemas": schemas}
     text = tokens(F.coalesce("text", F.lit("")))
     brought = read(spark, path, alone, "chunks")
     new = brought.select(*KEY, text.alias("tokens"))
     both = new.withColumn("sign", F.lit(1))
     if of["segments"]:
-        old = live(spark, path, of, read(spark, path, of, "chunks"))
+        old = read(spark, path, of, "chunks").select(*KEY, "position", *[c for c in replaces or [] if c not in KEY], "text")
+        keys = live(spark, path, of, old.drop("text"))  # texts follow for those that leave only
         same = replaces or KEY
-        leaving = old.join(brought.select(*same).distinct(), same, "left_semi").select(*KEY, text.alias("tokens"))
+        leaving = keys.join(brought.select(*same).distinct(), same, "left_semi").select(*KEY)
         if gone is not None:
-            leaving = leaving.unionByName(old.join(_owned(gone).select(*KEY).distinct(), KEY, "left_semi").select(*KEY, text.alias("tokens"))).dropDuplicates(KEY)
+            leaving = leaving.unionByName(keys.join(_owned(gone).select(*KEY).distinct(), KEY, "left_semi").select(*KEY)).dropDuplicates(KEY)
     else:
-        leaving = new.limit(0)
-    schemas["gone"] = _write(leaving.select(*KEY), path, "gone", segment, ["chunk_id"])
-    left = old.join(read(spark, path, alone | {"schemas": schemas}, "gone").select(*KEY), KEY, "left_semi").select(*KEY, text.alias("tokens")) if of["segments"] else leaving
-    both = both.unionByName(left.withColumn("sign", F.lit(-1)))
+        leaving = new.select(*KEY).limit(0)
+    schemas["gone"] = _write(leaving, path, "gone", segment, ["chunk_id"])
+    if of["segments"]:
+        left = read(spark, path, alone | {"schemas": schemas}, "gone").select(*KEY)
+        n = left.count()
+        if n:
+            leaves = live(spark, path, of, old.join(F.broadcast(left) if n <= BROADCAST_KEYS else left, KEY, "left_semi"))
+            both = both.unionByName(leaves.select(*KEY, text.alias("tokens"), F.lit(-1).alias("sign")))
     df = both.select(*OWNER, "sign", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*OWNER, "term").agg(F.sum("sign").alias("df")).where("df <> 0")
     schemas["terms"] = _write(df, path, "terms", segment, ["term"])
     schemas["whole"] = _write(both.groupBy(*OWNER).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.size("tokens")).alias("length")), path, "whole", segment, [])
-    schemas["postings"] = _write(_blocks(new), path, "postings", segment, ["term", "range"])
+    schemas["postings"] = _write(_blocks(new), path, "postings", segment, ["pack"], dealt=True)
     marks = of["marks"] | ({mark[0]: mark[1]} if mark else {})
     return publish(spark, path, of | {"segments": [*of["segments"], segment], "schemas": schemas, "marks": marks})
 
@@ -238,64 +266,39 @@ def scope_statistics(spark: SparkSession, path: str, of: dict, user: str | None
     return idf, whole
 
 
-def _part(tf: Column, length: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_length")))
-
-
 class _Search:
-    """The questions' terms with their weights, and for each question and range of chunks a bound of the scores in it."""
+    """The questions' terms with their weights, and the packs of postings in which they are looked for."""
 
-    def __init__(self, spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None, thread: str | None):
-        self.spark, self.path, self.k, self.of = spark, path, k, manifest(spark, path)
-        self.scope = user, thread
-        terms, whole = scope_statistics(spark, path, self.of, user, thread)
+    def __init__(self, spark: SparkSession, path: str, questions: DataFrame, user: str | None, thread: str | None):
+        of, scope = manifest(spark, path), (user, thread)
+        terms, whole = scope_statistics(spark, path, of, *scope)
         asked = asked_terms(questions).join(terms, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"))
-        self.small = asked.count() <= BROADCAST_ASKED
-        self.asked = F.broadcast(asked) if self.small else asked
-        self.whole = whole
-        self.postings = read(spark, path, self.of, "postings", user, thread)
-        heads = self.postings.select("term", "position", "range", "n", "max_tf", "min_length", *OWNER).join(self.asked, "term").join(F.broadcast(whole.select("mean_length")))
-        bound = F.greatest("weight", F.lit(0.0)) * _part(F.col("max_tf"), F.col("min_length"))
-        self.pairs = heads.groupBy("query_id", *OWNER, "position", "range").agg(F.sum(bound).alias("bound"), F.sum("n").alias("n"))
-
-    def scores(self, pairs: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, score) of all live chunks in the ranges of pairs; only their blocks are unpacked."""
-        keys = [*OWNER, "position", "range"]
-        wanted = pairs.select("query_id", *keys).join(self.asked, "query_id")
-        blocks = self.postings.join(wanted, [*keys, "term"]).select(*keys, "query_id", "weight", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
-        hit = blocks.select("query_id", *OWNER, "position", "weight", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
-        one = live(self.spark, self.path, self.of, hit.join(F.broadcast(self.whole.select("mean_length"))), *self.scope)
-        return one.groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("length"))).alias("score"))
-
-    def plan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The scores in the first ranges, the pairs that they come from, and the other pairs that can still reach the k best."""
-        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), *OWNER, "position", "range")
-        first = settled(self.pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= FIRST_RANGES).drop("_r"), "first-ranges")
-        scores = settled(self.scores(first), "first-scores")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        least = scores.withColumn("_k", F.row_number().over(best)).where(F.col("_k") == self.k).select("query_id", F.col("score").alias("least"))
-        rest = self.pairs.join(first.select("query_id", *OWNER, "position", "range"), ["query_id", *OWNER, "position", "range"], "left_anti")
-        rest = rest.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-        return scores, first, settled(rest, "other-ranges")
+        self.questions = question_blocks(asked, whole)
+        packs = read(spark, path, of, "postings", *scope)
+        place = [*OWNER, "position", "pack"]
+        if len(of["segments"]) > 1:
+            gone = read(spark, path, of, "gone", *scope).groupBy(*KEY).agg(F.max("position").alias("gone_at"))
+            every = packs.select(*place, F.explode("ids.chunk_id").alias("chunk_id"))
+            dead = settled(every.join(gone, KEY).where("gone_at > position").groupBy(*place).agg(F.collect_list("chunk_id").alias("gone"), F.count("*").alias("n")), "gone")
+            few = (dead.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_KEYS
+            packs = packs.join(F.broadcast(dead.drop("n")) if few else dead.drop("n"), place, "left")
+        key = F.transform("ids", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), *OWNER))
+        self.packs = packs.withColumn("ids", key)
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
     """S20, R4 over the newest version: (query_id, rank, chunk_id, score, owner) of the questions (query_id, text), over all owners or those named.
 
-    What BM25 gives over the live chunks: ranges of chunks whose bound cannot reach a question's k best are not scored."""
+    What BM25 gives over the live chunks. Packs of postings are read once for a block of questions; a task leaves out ranges of
+    chunks whose bound cannot reach a question's k best, and hands on its own k best only."""
     if not versions(spark, path):
         raise PySparkException(f"no index in {path}")
-    s = _Search(spark, path, questions, k, user, thread)
-    scores, _, rest = s.plan()
-    scored = scores.unionByName(s.scores(rest))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
-    return ranked.where("score > 0").select("query_id", "rank", "chunk_id", "score", *OWNER)
+    s = _Search(spark, path, questions, user, thread)
+    return best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES).select("query_id", "rank", "chunk_id", "score", *OWNER)
 
 
 def search_cost(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
-    """(query_id, postings, read): how many postings the question's terms have, and how many of them a search reads."""
-    s = _Search(spark, path, questions, k, user, thread)
-    _, first, rest = s.plan()
-    done = first.select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("read"))
-    return s.pairs.groupBy("query_id").agg(F.sum("n").alias("postings")).join(done, "query_id")
+    """(query_id, postings, read): how many postings the question's terms have, and how many of them a search scores."""
+    s = _Search(spark, path, questions, user, thread)
+    each = best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES, cost=True)
+    return each.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("read").alias("read"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quillmill.operators import analytics, hierarchy, index, metadata, rerank, retrieve, sheets
 from quillmill.plans import agent, sqlsurface
 
@@ -483,3 +484,47 @@ def test_few_cells_find_most(spark, sf_dir, tmp_path):
         recall = [len(ids(vectors.nearest(spark, path, asked, 10, probes=p)) & exact) / len(exact) for p in probes]
         print(recall)
         assert recall == sorted(recall) and recall[1] >= least and recall[2] == 1
+
+
+def test_a_range_join_meets_no_pairs_that_do_not_match(spark):
+    spans = spark.createDataFrame([(1, 5.0), (4, 1.0), (4, 9.0), (90, 0.0), (None, 0.0)], "s long, low double")
+    values = spark.createDataFrame([(i, i % 8) for i in range(40)] + [(99, None)], "v long, size int")
+    got = analytics.range_join(spans, "s", 2, values, "size")
+    assert sorted((r.s, r.low, r.v) for r in got.collect()) == sorted((s, b, i) for s, b in ((1, 5.0), (4, 1.0), (4, 9.0)) for i in range(40) if s <= i % 8 <= s + 2)
+    plan = __spark_entry__.queries()["sql_join_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bm25_in_small_blocks_and_packs(spark, monkeypatch):
+    import math
+    import random
+
+    for name, value in (("QUESTIONS", 2), ("CHUNKS", 3), ("BLOCKS", 1), ("OFTEN", 2)):
+        monkeypatch.setattr(retrieve, name, value)
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices("a b c d e f g h i j k l".split(), k=rng.randint(0, 9))) for i in range(60)} | {60: "a a b", 61: "a a b"}
+    asked = {q: " ".join(rng.choices("a b c d e f x".split(), k=3)) for q in range(9)}
+    lists = {i: t.split() for i, t in texts.items()}
+    n, mean = len(texts), sum(map(len, lists.values())) / len(texts)
+    raw = {t: math.log((n - d + 0.5) / (d + 0.5)) for t in "abcdefghijkl" if (d := sum(t in x for x in lists.values()))}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    want = []
+    for q, words in asked.items():
+        score = {i: sum(idf[w] * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for w in words.split() if w in x) for i, x in lists.items() if set(x) & set(words.split())}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        want += [(q, r, i, round(score[i], 9)) for r, i in enumerate(best) if score[i] > 0]
+    frame = lambda d, key: spark.createDataFrame([(i, t) for i, t in d.items()], f"{key} long, text string").repartition(3)
+    got = retrieve.bm25(frame(texts, "chunk_id"), frame(asked, "query_id"), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_blocks_of_vectors_are_small(spark):
+    vectors = spark.range(3000).selectExpr("id AS vec_id", "array(1.0, id) AS embedding", "1 AS label").coalesce(1)
+    assert max(r[0] for r in retrieve._packed(vectors, "vec_id").selectExpr("size(ids)").collect()) <= 1024
+
+
+def test_texts_are_not_shuffled_to_look_for_repeated_chunks(spark):
+    chunks = index._owned(spark.createDataFrame([(i, str(i)) for i in range(20)], "chunk_id long, text string"))
+    assert "Window" not in index._latest(chunks)._jdf.queryExecution().toString()
+    again = chunks.unionByName(chunks.where("chunk_id = 3").withColumn("text", F.lit("zz")))
+    assert {r.chunk_id: r.text for r in index._latest(again).collect()} == {i: "zz" if i == 3 else str(i) for i in range(20)} and index._latest(again).count() == 20
