@@ -17,7 +17,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import slices, tokenizer_path
+from .shared import hand_back, settle, slices, small_batches, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a task remembers before it starts anew.
@@ -127,6 +127,8 @@ def with_codec(
             for part in slices(batch):
                 rows += each(codec, part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+        codec = None
+        hand_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -152,4 +154,5 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
             out.append((doc, len(tokens), listed, hashlib.sha256(codec.decode(tokens)).hexdigest()))
         return out
 
-    return with_codec(docs, each, SCHEMA, vocabulary, pattern)
+    with small_batches(docs.sparkSession):
+        return settle(with_codec(docs, each, SCHEMA, vocabulary, pattern), "encoded")

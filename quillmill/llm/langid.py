@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, tokenizer_path
+from .shared import hand_back, settle, slices, small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -302,5 +302,8 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for texts in batches:
             found = [score_texts(table, langs, p, texts.slice(i, TEXTS).to_pylist())[1] for i in range(0, len(texts), TEXTS)]
             yield pa.array(np.concatenate([np.zeros(0), *found]))
+        table = None
+        hand_back()
 
-    return docs.where(share("text") >= least)
+    with small_batches(docs.sparkSession):
+        return settle(docs.where(share("text") >= least), "identified")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, slices, small_batches
+from .shared import hand_back, settle, slices, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 HALF = 0xFFFFFFFF
@@ -150,6 +150,7 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
                 node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], [simhash_of(h) for h in every]))
                 keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, pa.array(list(map(len, sets)), pa.int64()), fp, keys], names=["doc_id", "same", "node", "n", "fp", "bands"])
+        hand_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, "doc_id long, same long, node long, n long, fp long, bands array<long>")
 

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from quillmill.llm import bpe, decontam, langid, linededup, simhash
+from quillmill.llm import bpe, decontam, langid, linededup, shared, simhash
 
 
 def test_stages_one_by_one(spark, sf_dir):
@@ -72,3 +72,27 @@ def test_planted_copies_and_clean_documents(spark, sf_dir, tmp_path):
     kept = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id >= 1_000_000}
     assert set(kept) == stay and len(gone) > 40
     assert all(hashlib.sha256(texts[i].encode()).hexdigest() == digest for i, digest in kept.items())
+
+
+def test_python_gets_few_rows_at_once(odd, monkeypatch):
+    """The plans of language ID and of the encoding hand Python 1,000 rows at once, not the 10,000 that the session is left at."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    conf = odd.sparkSession.conf
+    before = conf.get(key)
+    for module, stage in ((langid, langid.keep_identified), (bpe, bpe.round_trip)):
+        monkeypatch.setattr(module, "settle", lambda df, tag: seen.append(conf.get(key)) or df)
+        stage(odd)
+    assert seen == ["1000", "1000"] and conf.get(key) == before
+
+
+def test_a_task_hands_back_free_memory():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = [bytearray(100_000) for _ in range(2000)]
+    above = bytearray(100_000)  # the heap's end stays in use, so the C library keeps what is freed below
+    del held
+    before = resident()
+    shared.hand_back()
+    assert resident() < before - 100_000_000 and len(above)
