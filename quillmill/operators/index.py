@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_table, tokens
-from ..session import settled
-from .retrieve import EPSILON, PACK, asked_terms, best_of, counts, packed, question_blocks
+from ..session import hand_back, settled, small_batches
+from .retrieve import EPSILON, PACK, asked_terms, best_of, counts, gathered, packed, question_blocks
 
 OWNER = ["user_id", "thread_id"]
 KEY = [*OWNER, "chunk_id"]
@@ -34,6 +34,12 @@ RANGE, PACKED = 64, 1024
 FIRST_RANGES = 4
 #: Keys of chunks that may be broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Chunks that a task hands to Python at once while packs are made.
+HANDED = 128
+#: How tables are written: small row groups, as a task has one in memory; as a pack has some MB, they and pages (compressed in memory) are measured each row, not each hundred.
+SMALL_GROUPS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
+#: How they are read: one column after the other, as ranges read at once lie in buffers outside the heap that threads keep.
+PLAIN = {"parquet.hadoop.vectored.io.enabled": "false"}
 TABLES = ["chunks", "gone", "postings", "terms", "whole"]
 
 
@@ -106,7 +112,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
 def read(spark: SparkSession, path: str, of: dict, table: str, user: str | None = None, thread: str | None = None) -> DataFrame:
     """A table over all segments of a version, of one user or thread if named; position counts the segments from 1."""
     paths = [f"{path}/{table}/seg={s}" for s in of["segments"]]
-    found = spark.read.schema(f"{of['schemas'][table]}, seg string, user_id string, thread_id string").option("basePath", f"{path}/{table}").parquet(*paths)
+    found = spark.read.schema(f"{of['schemas'][table]}, seg string, user_id string, thread_id string").options(**PLAIN).option("basePath", f"{path}/{table}").parquet(*paths)
     for column, value in zip(OWNER, (user, thread)):
         found = found if value is None else found.where(F.col(column) == value)
     return found.withColumn("position", F.array_position(F.array(*map(F.lit, of["segments"])), F.col("seg"))).drop("seg")
@@ -129,7 +135,7 @@ def chunks_of(spark: SparkSession, path: str, user: str | None = None, thread: s
 def _write(rows: DataFrame, path: str, table: str, segment: str, sort: list, dealt: bool = False) -> str:
     """Written by owner, so that a search reads its own only; a large thread is written by several tasks. Rows that are ``dealt`` lie by owner as it is. Gives the schema."""
     laid = (rows if dealt else rows.hint("rebalance", *OWNER)).sortWithinPartitions(*OWNER, *sort)
-    laid.write.partitionBy(*OWNER).parquet(f"{path}/{table}/seg={segment}")
+    laid.write.options(**SMALL_GROUPS).partitionBy(*OWNER).parquet(f"{path}/{table}/seg={segment}")
     return ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c not in OWNER)
 
 
@@ -143,7 +149,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
-        for batch in batches:
+        for batch in gathered(batches, most):
             owner = [batch.column(i).dictionary_encode().indices.to_numpy() for i in (0, 1)]
             new = [0, *(np.nonzero((np.diff(owner[0]) != 0) | (np.diff(owner[1]) != 0))[0] + 1).tolist(), batch.num_rows]
             for at, end in ((i, min(i + most, to)) for start, to in zip(new, new[1:]) for i in range(start, to, most)):
@@ -153,6 +159,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
                 number = pa.array([part.column(3)[0].as_py() * 2**33 + place])
                 place += 1
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), part.column(1).slice(0, 1), number, *row.columns], names=[*OWNER, "pack", *row.schema.names])
+        hand_back()
 
     kind = dict(chunks.dtypes)["chunk_id"]
     dealt = chunks.select(*KEY, F.spark_partition_id().cast("long").alias("part"), "tokens")
@@ -218,7 +225,8 @@ def put(spark: SparkSession, path: str, chunks: DataFrame | None = None, gone: D
     df = both.select(*OWNER, "sign", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*OWNER, "term").agg(F.sum("sign").alias("df")).where("df <> 0")
     schemas["terms"] = _write(df, path, "terms", segment, ["term"])
     schemas["whole"] = _write(both.groupBy(*OWNER).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.size("tokens")).alias("length")), path, "whole", segment, [])
-    schemas["postings"] = _write(_blocks(new), path, "postings", segment, ["pack"], dealt=True)
+    with small_batches(spark, HANDED):
+        schemas["postings"] = _write(_blocks(new), path, "postings", segment, ["pack"], dealt=True)
     marks = of["marks"] | ({mark[0]: mark[1]} if mark else {})
     return publish(spark, path, of | {"segments": [*of["segments"], segment], "schemas": schemas, "marks": marks})
 
@@ -294,11 +302,11 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, user: s
     if not versions(spark, path):
         raise PySparkException(f"no index in {path}")
     s = _Search(spark, path, questions, user, thread)
-    return best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES).select("query_id", "rank", "chunk_id", "score", *OWNER)
+    return best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES, handed=1).select("query_id", "rank", "chunk_id", "score", *OWNER)
 
 
 def search_cost(spark: SparkSession, path: str, questions: DataFrame, k: int, user: str | None = None, thread: str | None = None) -> DataFrame:
     """(query_id, postings, read): how many postings the question's terms have, and how many of them a search scores."""
     s = _Search(spark, path, questions, user, thread)
-    each = best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES, cost=True)
+    each = best_of(s.packs, s.questions, k, KEY_FOUND, FIRST_RANGES, cost=True, handed=1)
     return each.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("read").alias("read"))

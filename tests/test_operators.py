@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillmill.operators import analytics, hierarchy, index, metadata, rerank, retrieve, sheets
 from quillmill.plans import agent, sqlsurface
+from quillmill.session import small_batches
 
 
 def test_fusion_keeps_first_seen_order_among_equals(spark):
@@ -308,6 +309,24 @@ def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path, monkeyp
     assert cost[1][1] < cost[1][0] / 2 and set(cost) == {1, 2, 3}
 
 
+def test_a_task_hands_python_few_packs_at_once(spark, tmp_path, monkeypatch):
+    limit = lambda: int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    write, settled, seen, usual = index._write, retrieve.settled, {}, limit()
+    monkeypatch.setattr(index, "PACKED", 64)
+    monkeypatch.setattr(retrieve, "CHUNKS", 64)
+    monkeypatch.setattr(index, "_write", lambda rows, path, table, *a, **b: seen.update({table: limit()}) or write(rows, path, table, *a, **b))
+    monkeypatch.setattr(retrieve, "settled", lambda df, tag: seen.update({tag: limit()}) or settled(df, tag))
+    chunks = spark.createDataFrame([(i, f"one {i % 7} {i % 11}") for i in range(150)], "chunk_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "3 one"), (2, "10 6 absent")], "query_id long, text string")
+    index.put(spark, str(tmp_path), chunks)
+    found = index.search(spark, str(tmp_path), asked, 5)
+    assert seen["postings"] == index.HANDED and seen["found"] == 1 and limit() == usual
+    assert same_ranks(found, retrieve.bm25(chunks, asked, 5))
+    with small_batches(spark, 9):  # a pack is as large as before, however few rows come at once
+        packs = retrieve._counted(chunks.select("chunk_id", F.split("text", " ").alias("tokens"))).select(F.size("ids").alias("n")).collect()
+    assert sorted(r.n for r in packs) == [22, 64, 64]
+
+
 def test_an_index_in_parts_is_the_same_as_one_at_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "RANGE", 4)
     words = ["red fox", "blue whale whale", "green tree fox", "owl", "the owl and the fox", "whale song song song", "fox"]
