@@ -1,11 +1,12 @@
 """Sentence ends learned from a corpus (T1): abbreviations, words that begin sentences, and words that belong together across a period.
 
 The scores are the likelihood ratios of Kiss and Strunk (Unsupervised Multilingual Sentence Boundary Detection, 2006). Counting is
-one aggregation over words and one over pairs; the model is three short lists, and applying it is a column expression.
+one aggregation over words and one over pairs; the model is three lists, and applying it is a column expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ ABBREVIATION, STARTER, TOGETHER, ALWAYS = 0.3, 30.0, 7.88, 0.99
 MOST = 20_000
 #: What may stand before and behind a word.
 OPENING, CLOSING = r"^[\"'“‘«(\[{]+", r"[\"'”’»)\]},;:]+$"
-#: Marks a place between a sentence's last mark with white space and the next word.
-CUT = "\u0001"
+#: What a text is cut into: up to a sentence's last mark with the white space behind it, or what is left.
+PIECE = r"(?s).*?[.!?][\"'”’»)\]}]*\s+|.+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 class Ends(NamedTuple):
@@ -32,7 +34,8 @@ class Ends(NamedTuple):
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Words as they are; a text without any has an empty one."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), r"\s+")
 
 
 def _bare(word: Column) -> Column:
@@ -41,8 +44,7 @@ def _bare(word: Column) -> Column:
 
 def _type(word: Column) -> Column:
     """A word in lower case without its period; any number is ##."""
-    plain = F.regexp_replace(F.lower(word), r"\.$", "")
-    return F.when(plain.rlike(r"^[-+]?[0-9]+([.,:][0-9]+)*$"), F.lit("##")).otherwise(plain)
+    return F.when(word.rlike(r"^[-+]?[0-9]+([.,:][0-9]+)*\.?$"), F.lit("##")).otherwise(F.regexp_replace(F.lower(word), r"\.$", ""))
 
 
 def _is_initial(kind: Column) -> Column:
@@ -70,8 +72,9 @@ def _best(df: DataFrame, least: float, *columns: str) -> list[str]:
 def learn(docs: DataFrame, text: str = "text") -> Ends:
     """The lists that the texts of docs teach. Null and empty texts teach nothing; an empty table gives empty lists."""
     # Words are counted as they stand, with the next one where there may be a period, before anything is looked for in them.
-    follow = lambda w, i: F.struct(w.alias("w"), F.when(F.contains(w, F.lit(".")), F.get("w", i + 1)).alias("next"))
-    raw = docs.select(_words(F.col(text)).alias("w")).select(F.explode(F.transform("w", follow)).alias("p")).select("p.*").groupBy("w", "next").agg(F.count("*").alias("n"))
+    beside = F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")).alias("next"))
+    raw = docs.select(_words(F.col(text)).alias("w")).select(F.explode(beside).alias("p")).select("p.w", F.when(F.contains("p.w", F.lit(".")), F.col("p.next")).alias("next"))
+    raw = raw.where("w <> ''").groupBy("w", "next").agg(F.count("*").alias("n"))
     bare = raw.select(_bare(F.col("w")).alias("w"), _bare(F.col("next")).alias("next"), "n").where("w <> ''").withColumn("period", F.col("w").endswith("."))
     behind = lambda c: F.when(F.col("period"), c)
     pairs = bare.select(_type(F.col("w")).alias("a"), "period", F.col("w").endswith("..").alias("dots"), behind(_type(F.col("next"))).alias("b"), behind(F.col("next").rlike(r"^\p{Lu}")).alias("upper"), "n")
@@ -102,34 +105,54 @@ def learn(docs: DataFrame, text: str = "text") -> Ends:
     return Ends(abbreviations, starters, together)
 
 
-def is_end(before: Column, after: Column, ends: Ends) -> Column:
-    """Whether a sentence ends between two words, the first of which has a mark at its end."""
-    word, following = _bare(before), _bare(after)
-    a, b, upper = _type(word), _type(following), following.rlike(r"^[\p{Lu}\p{N}]")
-    listed = lambda x, some: x.isin(some) if some else F.lit(False)
-    starts = upper & listed(b, ends.starters)
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, wherever f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(F.trim(F.coalesce(text, F.lit(""))), F.lit(PIECE), F.lit(0))
+
+
+def _boundaries(pieces: Column) -> Column:
+    """For each piece but the last its last word and the next one's first (word, next), their types (a, b), and whether the next has a capital or a number."""
+    last = lambda p: F.regexp_extract(F.substring_index(F.rtrim(p, F.lit(BLANKS)), " ", -1), r"(?s)^(?:.*\s)?(.*)$", 1)
+    first = lambda p: F.regexp_extract(p, r"^\S*", 0)
+    words = F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(_bare(last(p)).alias("word"), _bare(first(F.get(pieces, i + 1))).alias("next")))
+    return F.transform(words, lambda x: F.struct(x["word"].alias("word"), x["next"].alias("next"), _type(x["word"]).alias("a"), _type(x["next"]).alias("b"), x["next"].rlike(r"^[\p{Lu}\p{N}]").alias("upper")))
+
+
+def _is_end(x: Callable[[str], Column], abbreviation: Column, starter: Column, together: Column) -> Column:
+    """Whether a sentence ends at a boundary, whose parts x gives, by what is listed."""
+    word, following, upper = x("word"), x("next"), x("upper")
+    starts = upper & starter
     return (
         F.when(~word.endswith("."), F.lit(True))  # ! and ?
         .when(word.endswith(".."), upper)
-        .when(listed(F.concat_ws(" ", a, b), ends.together), F.lit(False))
-        .when(listed(a, ends.abbreviations), starts)
-        .when(_is_initial(a) & upper, starts & ~following.rlike(r"^\p{Lu}\.$"))
-        .when((a == "##") & ~upper, F.lit(False))
+        .when(together, F.lit(False))
+        .when(abbreviation, starts)
+        .when(_is_initial(x("a")) & upper, starts & ~following.rlike(r"^\p{Lu}\.$"))
+        .when((x("a") == "##") & ~upper, F.lit(False))
         .otherwise(upper | ~following.rlike(r"^\p{Ll}"))
     )
 
 
+def _put_together(pieces: Column, ends: Column) -> Column:
+    """The sentences: pieces up to each of the numbers in ends, and to the last."""
+
+    def cut(all_: Column) -> Column:
+        start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(all_, j - 1) + 1)
+        return F.transform(all_, lambda end, j: F.btrim(F.array_join(F.slice(pieces, start(j) + 1, end - start(j) + 1), ""), F.lit(BLANKS)))
+
+    return F.filter(_bound(F.concat(ends, F.array(F.size(pieces) - 1)), cut), lambda s: s != "")
+
+
 def sentences(text: Column, ends: Ends) -> Column:
     """The sentences of a text, without the white space around them. A null text has none."""
-    marked = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"([.!?][\"'”’»)\]}]*)(\s+)", f"$1$2{CUT}")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    last = lambda s: F.element_at(F.split(F.rtrim(F.regexp_replace(s, r"\s+$", "")), r"\s+"), -1)
-    first = lambda s: F.get(F.split(s, r"\s+"), 0)
-
-    def add(state: Column, piece: Column) -> Column:
-        end = (state["now"] != "") & is_end(last(state["now"]), first(piece), ends)
-        done = F.when(end, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(end, piece).otherwise(F.concat(state["now"], piece)).alias("now"))
-
-    found = F.aggregate(F.split(marked, CUT), start, add, lambda s: F.concat(s["done"], F.array(s["now"])))
-    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    listed = lambda x, some: x.isin(some) if some else F.lit(False)
+
+    def found(pieces: Column) -> Column:
+        end = lambda x: _is_end(x.getField, listed(x["a"], ends.abbreviations), listed(x["b"], ends.starters), listed(F.concat_ws(" ", x["a"], x["b"]), ends.together))
+        return _put_together(pieces, F.filter(F.transform(_boundaries(pieces), lambda x, i: F.when(end(x), i)), lambda i: i.isNotNull()))
+
+    return _bound(_pieces(text), found)

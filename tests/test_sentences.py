@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -84,3 +85,15 @@ def test_only_words_with_a_period_are_counted_with_the_next(spark, monkeypatch):
     S.learn(spark.createDataFrame([("a b a c a d. E a x. y",)], "text string"))
     rows = {(r.a, r.b): r.n for r in kept["word-pairs"].collect()}
     assert rows == {("a", None): 4, ("b", None): 1, ("c", None): 1, ("d", "e"): 1, ("e", None): 1, ("x", "y"): 1, ("y", None): 1}
+
+
+def test_a_place_is_judged_by_its_own_words(spark):
+    ends = S.Ends(["dr"], ["the"], ["nr ##"])
+    texts = ["dr. x " * 6000, "A\u0001b came. Then\tc.\n\nThe end. \n", "\t. a.\x0b\x0cB. ", "Nr. 5 is it. \"Dr.\" The one.) the other... no", " \n", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    got = {r.doc_id: r.s for r in docs.select("doc_id", S.sentences(F.col("text"), ends).alias("s")).collect()}
+    assert time.time() - began < 10  # the sentence so far is not gone through at each of 6,000 places
+    assert got[0] == [texts[0].strip()] and got[4] == got[5] == []
+    assert got[1] == ["A\u0001b came.", "Then\tc.", "The end."] and got[2] == [". a.\x0b\x0cB."]
+    assert got[3] == ["Nr. 5 is it.", "\"Dr.\"", "The one.) the other... no"]
