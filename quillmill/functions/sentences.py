@@ -1,7 +1,7 @@
 """Sentence ends learned from a corpus (T1): abbreviations, words that begin sentences, and words that belong together across a period.
 
 The scores are the likelihood ratios of Kiss and Strunk (Unsupervised Multilingual Sentence Boundary Detection, 2006). Counting is
-one aggregation over words and one over pairs; the model is three lists, and applying it is a column expression.
+one aggregation over words and one over pairs; the model is three lists, and applying it is a column expression, or joins where a list is long.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..session import settled
 
 #: Scores from which a word is an abbreviation, begins sentences, or a pair belongs together; chance of a period behind an abbreviation.
 ABBREVIATION, STARTER, TOGETHER, ALWAYS = 0.3, 30.0, 7.88, 0.99
-#: Entries of each list at most, those with the largest scores.
+#: Entries up to which a list is one; a longer one stays a table.
 MOST = 20_000
 #: What may stand before and behind a word.
 OPENING, CLOSING = r"^[\"'“‘«(\[{]+", r"[\"'”’»)\]},;:]+$"
@@ -26,11 +26,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 class Ends(NamedTuple):
-    """Abbreviations without their period; words that begin sentences; pairs of words with a period between them, joined by a blank."""
+    """Abbreviations without their period; words that begin sentences; pairs of words with a period between them, joined by a blank.
 
-    abbreviations: list[str]
-    starters: list[str]
-    together: list[str]
+    Each is whole: a list, or a table (entry, score) if it has more than MOST entries."""
+
+    abbreviations: list[str] | DataFrame
+    starters: list[str] | DataFrame
+    together: list[str] | DataFrame
 
 
 def _words(text: Column) -> Column:
@@ -65,8 +67,21 @@ def _ratio(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return -2 * (by_chance - first - second)
 
 
-def _best(df: DataFrame, least: float, *columns: str) -> list[str]:
-    return [" ".join(r[c] for c in columns) for r in df.where(F.col("score") >= least).orderBy(F.desc("score"), *columns).limit(MOST).collect()]
+def _best(scored: DataFrame, least: float, tag: str) -> DataFrame:
+    """All of scored (entry, score) that reach ``least``."""
+    return settled(scored.where(F.col("score") >= least), tag)
+
+
+def _entries(table: DataFrame) -> list[str] | DataFrame:
+    return table if table.count() > MOST else [r.entry for r in table.orderBy(F.desc("score"), "entry").collect()]
+
+
+def _marked(df: DataFrame, by: Column, entries: list[str] | DataFrame, name: str) -> DataFrame:
+    """df with a column ``name``: whether ``by`` is one of the entries."""
+    if isinstance(entries, list):
+        return df.withColumn(name, by.isin(entries) if entries else F.lit(False))
+    known = entries.select(F.col("entry").alias("_entry"), F.lit(True).alias("_known"))
+    return df.withColumn("_by", by).join(known, F.col("_by") == F.col("_entry"), "left").withColumn(name, F.coalesce("_known", F.lit(False))).drop("_by", "_entry", "_known")
 
 
 def learn(docs: DataFrame, text: str = "text") -> Ends:
@@ -89,20 +104,21 @@ def learn(docs: DataFrame, text: str = "text") -> Ends:
     inner = F.length(F.regexp_replace("a", r"[^.]", ""))
     letters = F.length("a") - inner
     score = ratio * F.exp(-letters.cast("double")) * (inner + 1) * F.pow(letters, -without.cast("double"))
-    short = kinds.where(F.col("a").rlike(r"^\p{L}[\p{L}\p{M}]*(\.\p{L}[\p{L}\p{M}]*)*$") & (F.col("with") > 0)).select("a", score.alias("score"))
-    abbreviations = _best(short, ABBREVIATION, "a")
-    known = F.col("a").isin(abbreviations or [""]) | _is_initial(F.col("a"))
+    short = kinds.where(F.col("a").rlike(r"^\p{L}[\p{L}\p{M}]*(\.\p{L}[\p{L}\p{M}]*)*$") & (F.col("with") > 0)).select(F.col("a").alias("entry"), score.alias("score"))
+    abbreviations = _best(short, ABBREVIATION, "abbreviations")
+    ended = _marked(counted.where("period"), F.col("a"), abbreviations, "known").withColumn("known", F.col("known") | _is_initial(F.col("a")))
     # Words behind a period that ends a sentence, and words behind one that need not.
-    breaks = counted.where(F.col("period") & ~known & (F.col("a") != "##") & F.col("upper"))
+    breaks = ended.where(~F.col("known") & (F.col("a") != "##") & F.col("upper"))
     many = breaks.agg(F.sum("n")).first()[0] or 0
     at = breaks.groupBy(F.col("b").alias("a")).agg(F.sum("n").alias("ab"))
     begin = at.join(kinds, "a").where(F.col("a").rlike(r"^\p{L}") & (n / float(many or 1) > F.col("all") / F.col("ab")))
-    starters = _best(begin.select("a", _ratio(F.lit(float(many or 1)), F.col("all").cast("double"), F.col("ab").cast("double"), n).alias("score")), STARTER, "a")
-    near = counted.where(F.col("period") & (known | (F.col("a") == "##")) & F.col("b").rlike(r"^\p{L}")).groupBy("a", "b").agg(F.sum("n").alias("ab"))
+    starters = _best(begin.select(F.col("a").alias("entry"), _ratio(F.lit(float(many or 1)), F.col("all").cast("double"), F.col("ab").cast("double"), n).alias("score")), STARTER, "starters")
+    near = ended.where((F.col("known") | (F.col("a") == "##")) & F.col("b").rlike(r"^\p{L}")).groupBy("a", "b").agg(F.sum("n").alias("ab"))
     near = near.join(kinds.select("a", F.col("all").alias("na")), "a").join(kinds.select(F.col("a").alias("b"), F.col("all").alias("nb")), "b").where((F.col("ab") > 1) & (n / F.col("na") > F.col("nb") / F.col("ab")))
-    near = near.where(~F.col("b").isin(starters or [""]))
-    together = _best(near.select("a", "b", _ratio(F.col("na").cast("double"), F.col("nb").cast("double"), F.col("ab").cast("double"), n).alias("score")), TOGETHER, "a", "b")
-    return Ends(abbreviations, starters, together)
+    near = near.join(starters.select(F.col("entry").alias("b")), "b", "left_anti")
+    pair = F.concat_ws(" ", "a", "b").alias("entry")
+    together = _best(near.select(pair, _ratio(F.col("na").cast("double"), F.col("nb").cast("double"), F.col("ab").cast("double"), n).alias("score")), TOGETHER, "together")
+    return Ends(*map(_entries, (abbreviations, starters, together)))
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -148,7 +164,9 @@ def _put_together(pieces: Column, ends: Column) -> Column:
 
 
 def sentences(text: Column, ends: Ends) -> Column:
-    """The sentences of a text, without the white space around them. A null text has none."""
+    """The sentences of a text, without the white space around them. A null text has none. Of ends that have tables ``with_sentences`` gives them."""
+    if not all(isinstance(e, list) for e in ends):
+        raise ValueError("lists of this length are joined, see with_sentences")
     listed = lambda x, some: x.isin(some) if some else F.lit(False)
 
     def found(pieces: Column) -> Column:
@@ -156,3 +174,16 @@ def sentences(text: Column, ends: Ends) -> Column:
         return _put_together(pieces, F.filter(F.transform(_boundaries(pieces), lambda x, i: F.when(end(x), i)), lambda i: i.isNotNull()))
 
     return _bound(_pieces(text), found)
+
+
+def with_sentences(docs: DataFrame, ends: Ends, text: str = "text") -> DataFrame:
+    """docs with their texts' ``sentences``, by ends of any number: what is not a list is joined to the places where a sentence may end."""
+    if all(isinstance(e, list) for e in ends):
+        return docs.withColumn("sentences", sentences(F.col(text), ends))
+    cut = settled(docs.withColumns({"_row": F.monotonically_increasing_id(), "_pieces": _pieces(F.col(text))}), "pieces")
+    met = cut.select("_row", F.posexplode(_boundaries(F.col("_pieces"))).alias("_at", "x")).select("_row", "_at", "x.*")
+    for by, entries, name in ((F.col("a"), ends.abbreviations, "abbreviation"), (F.col("b"), ends.starters, "starter"), (F.concat_ws(" ", "a", "b"), ends.together, "together")):
+        met = _marked(met, by, entries, name)
+    at = met.where(_is_end(F.col, F.col("abbreviation"), F.col("starter"), F.col("together"))).groupBy("_row").agg(F.array_sort(F.collect_list("_at")).alias("_ends"))
+    whole = cut.join(at, "_row", "left").withColumn("_ends", F.coalesce("_ends", F.array().cast("array<int>")))
+    return whole.withColumn("sentences", _put_together(F.col("_pieces"), F.col("_ends"))).drop("_row", "_pieces", "_ends")

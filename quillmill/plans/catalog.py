@@ -96,8 +96,8 @@ def sentence_chunks(spark, d):
 def learned_sentences(spark, d):
     """Every document's sentences by ends that are learned from all documents."""
     docs = documents(spark, d)
-    found = S.sentences(F.col("text"), S.learn(docs))
-    return docs.select("doc_id", F.posexplode(found).alias("place", "sentence"))
+    found = S.with_sentences(docs.select("doc_id", "text"), S.learn(docs))
+    return found.select("doc_id", F.posexplode("sentences").alias("place", "sentence"))
 
 
 @query(f"SELECT doc_id, i AS window_no, array_to_string(ws[i * {T.WINDOW_WORDS} + 1 : (i + 1) * {T.WINDOW_WORDS}], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {T.WINDOW_WORDS} - 1) // {T.WINDOW_WORDS})) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))")

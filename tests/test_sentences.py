@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import sentences as S
@@ -97,3 +98,19 @@ def test_a_place_is_judged_by_its_own_words(spark):
     assert got[0] == [texts[0].strip()] and got[4] == got[5] == []
     assert got[1] == ["A\u0001b came.", "Then\tc.", "The end."] and got[2] == [". a.\x0b\x0cB."]
     assert got[3] == ["Nr. 5 is it.", "\"Dr.\"", "The one.) the other... no"]
+
+
+def test_lists_of_any_length_are_whole(spark, monkeypatch):
+    texts = corpus(200)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string")
+    lists = S.learn(docs)
+    assert min(map(len, lists)) > 1
+    monkeypatch.setattr(S, "MOST", 1)
+    tables = S.learn(docs)
+    assert [{r.entry for r in t.collect()} for t in tables] == [set(x) for x in lists]
+    one = S.Ends(lists.abbreviations, tables.starters, lists.together)
+    for ends in (lists, tables, one):
+        got = {r.doc_id: r.sentences for r in S.with_sentences(docs, ends).collect()}
+        assert got == {**dict(enumerate(texts)), 900: [], 901: []}
+    with pytest.raises(ValueError):
+        S.sentences(F.col("text"), tables)
